@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lawframe.llm import chat
+from lawframe.llm import chat, tokens
 
 
 def queries() -> dict:
-    return {"op4_chat": chat.op4_chat}
+    return {"op2_tokens": tokens.op2_tokens, "op4_chat": chat.op4_chat}
 
 
 def oracle_sql() -> dict:
