@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The tables that broadcast themselves are at most this many rows of one or two numbers.
 BROADCAST_ROWS = 1_000_000
@@ -50,3 +51,8 @@ def slices(batches: Iterator, size: int = 8 << 20) -> Iterator:
         step = max(1, batch.num_rows * size // max(size, batch.nbytes))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def schema_of(df: DataFrame, kept: list[str], added: str) -> StructType:
+    """The columns `kept` of `df` followed by those of the DDL string `added`."""
+    return StructType([df.schema[c] for c in kept] + StructType.fromDDL(added).fields)

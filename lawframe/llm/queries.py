@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lawframe.llm import chat, tokens
+from lawframe.llm import chat, packing, tokens
 
 
 def queries() -> dict:
-    return {"op2_tokens": tokens.op2_tokens, "op4_chat": chat.op4_chat}
+    return {"op2_tokens": tokens.op2_tokens, "op4_chat": chat.op4_chat, "op8_packing": packing.op8_packing}
 
 
 def oracle_sql() -> dict:

@@ -20,7 +20,7 @@ from operator import sub
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lawframe.llm.common import slices, table, texts
+from lawframe.llm.common import schema_of, slices, table, texts
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -140,7 +140,7 @@ class PrefixCounter:
 
 def count_tokens(docs: DataFrame, model: str, limit: int, key: str = "doc_id") -> DataFrame:
     """Per row of `docs`: n_bytes, n_tokens, over_limit, and fit_chars, the longest prefix within the limit."""
-    schema = docs.select(key).schema.add("n_bytes", "bigint").add("n_tokens", "bigint").add("over_limit", "boolean").add("fit_chars", "bigint")
+    schema = schema_of(docs, [key], "n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
     def scan(batches):
         import pyarrow as pa
