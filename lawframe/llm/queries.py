@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lawframe.llm import chat, packing, tokens
+from lawframe.llm import audio, chat, packing, tokens, urls
 
 
 def queries() -> dict:
-    return {"op2_tokens": tokens.op2_tokens, "op4_chat": chat.op4_chat, "op8_packing": packing.op8_packing}
+    return {"op2_tokens": tokens.op2_tokens, "op4_chat": chat.op4_chat, "op8_packing": packing.op8_packing, "op9_urls": urls.op9_urls, "op10_audio": audio.op10_audio}
 
 
 def oracle_sql() -> dict:
