@@ -1,11 +1,86 @@
-"""Corpus pipeline over `documents`."""
+"""Corpus pipeline over `documents`: quality, near duplicates, repeated passages, source mix, packing.
 
-STAGES = []
+Each stage takes the documents that the one before kept and returns documents (doc_id, text, lang, source, n_chars, and
+whatever else the table has); the last returns packed pieces. Stages are pure functions of their input, so a lost
+executor only costs recomputation.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lawframe.llm import minhash, mixing, packing, quality, suffix
+from lawframe.llm.common import small, stored
+
+
+def _with_text(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` in order, n_chars counted anew where there is such a column."""
+    if "n_chars" in docs.columns:
+        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return df.select(*docs.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose calibrated chance of label 1 is at least 0.3."""
+    vectors, net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, vectors, net, docs.columns).filter("score >= 0.3").drop("score")
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the row with the least doc_id (null last), once."""
+    classes = stored(minhash.near_duplicates(docs), "classes")
+    group = F.coalesce(F.col("class_id").cast("string"), F.hex("copy")).alias("group")
+    first = classes.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first"))
+    placed = classes.withColumn("group", group).join(first, "group")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
+    own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+    def those(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        keys = small(keys.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")))
+        return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_copy")), how)
+
+    kept = those(stored(placed.filter(~stays).select("doc_id", "copy").distinct(), "others"), "left_anti", docs)
+    repeated = stored(classes.groupBy("doc_id", "copy").count().filter("count > 1").select("doc_id", "copy"), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    once = those(repeated, "left_semi", kept).dropDuplicates(["doc_id", "text"])
+    return those(repeated, "left_anti", kept).unionByName(once)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that repeated 400-byte strings cover; characters cut in half go, empty texts stay."""
+    made = suffix.remove_repeats(docs, *docs.columns)
+    whole = F.col("n_removed") == 0
+    return _with_text(made.withColumn("text", F.when(whole, F.decode("text", "UTF-8")).otherwise(F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("text").cast("string"))), F.lit("�"), F.lit("")))), docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as far, as their source's blocks are taken."""
+    return _with_text(mixing.materialise(mixing.mix(docs, *docs.columns)), docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_one_of_each_group),
+    ("repeated_passages", remove_repeated_passages),
+    ("source_mix", mix_sources),
+    ("packing", pack_tokens),
+]
+#: Not one of the stages can be put in SQL; tests/llm/test_pipeline.py checks them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

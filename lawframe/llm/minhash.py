@@ -183,7 +183,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id and class_id (least doc_id of its class) of every row."""
+    """doc_id, copy (hash of the text) and class_id (least doc_id of its class) of every row."""
     docs = docs.select("doc_id", "text")
     made = stored(signatures(docs), "signatures")
     classes = stored(made.groupBy("copy").agg(F.min("doc_id").alias("member"), F.first("bands").alias("bands")), "classes")
@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if more.limit(1).count():
             roots = components(links.union(more))
     named = classes.join(roots.withColumnRenamed("node", "member"), "member", "left").select("copy", F.coalesce("root", "member").alias("class_id"))
-    return made.select("doc_id", "copy").join(named, "copy").select("doc_id", "class_id")
+    return made.select("doc_id", "copy").join(named, "copy").select("doc_id", "copy", "class_id")
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
