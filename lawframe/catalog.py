@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from lawframe.plans import search_queries, text_queries
 
-from lawframe.functions.vectors import cosine
 
-
-def knn_search(spark, sf_dir: str) -> DataFrame:
-    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    query = points.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = points.join(F.broadcast(query)).select("vec_id", F.round(cosine("embedding", "q"), 5).alias("score"))
-    return scored.orderBy(F.desc("score"), "vec_id").limit(6)
-
-
-KNN_SQL = """
-select p.vec_id, round(list_cosine_similarity(p.embedding::double[], q.embedding::double[]), 5) as score
-from embeddings p, embeddings q where q.vec_id = 0
-order by score desc, p.vec_id limit 6
-"""
+def _all() -> dict:
+    return text_queries.QUERIES | search_queries.QUERIES
 
 
 def queries() -> dict:
-    return {"V1_knn_search": knn_search}
+    return {name: run for name, (run, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {"V1_knn_search": KNN_SQL}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
