@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lawframe.plans import search_queries, text_queries
+from lawframe.plans import search_queries, structure_queries, text_queries
 
 
 def _all() -> dict:
-    return text_queries.QUERIES | search_queries.QUERIES
+    return text_queries.QUERIES | search_queries.QUERIES | structure_queries.QUERIES
 
 
 def queries() -> dict:
