@@ -8,6 +8,7 @@ import zipfile
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +43,6 @@ def html_text(html: str | None, joint: str = "\n") -> str:
 
 
 def html_column(html: Column, joint: str = "\n") -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def extract(batch: pd.Series) -> pd.Series:
         return batch.map(lambda x: html_text(x, joint))
