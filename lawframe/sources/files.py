@@ -120,7 +120,7 @@ def read_documents(spark: SparkSession, path: str, pdf=None) -> DataFrame:
     files = read_binary(spark, path).withColumn("file_type", file_type(F.col("path")))
 
     def extract(batches):
-        import pandas as pd
+
 
         for batch in batches:
             made = []
@@ -142,7 +142,7 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """(path, row, cells map<string,string>) of workbooks below a folder."""
 
     def extract(batches):
-        import pandas as pd
+
 
         for batch in batches:
             rows = [(p, i, r) for p, content in zip(batch["path"], batch["content"], strict=True) for i, r in enumerate(xlsx_rows(content))]
