@@ -56,3 +56,23 @@ def slices(batches: Iterator, size: int = 8 << 20) -> Iterator:
 def schema_of(df: DataFrame, kept: list[str], added: str) -> StructType:
     """The columns `kept` of `df` followed by those of the DDL string `added`."""
     return StructType([df.schema[c] for c in kept] + StructType.fromDDL(added).fields)
+
+
+class Memo:
+    """Answers that a worker keeps, at most about `most`; when full, those that were asked for again stay."""
+
+    def __init__(self, most: int):
+        self.most, self.found, self.again = most, {}, set()
+
+    def missing(self, asked: set) -> list:
+        """What of `asked` is not known; the caller then adds it to `found`."""
+        known = asked & self.found.keys()
+        new = asked - known
+        if len(self.found) + len(new) > self.most:
+            stay = self.again | known
+            if len(stay) > self.most // 2:
+                stay = known
+            self.found, self.again = {k: self.found[k] for k in stay}, set()
+        else:
+            self.again |= known
+        return list(new)

@@ -19,10 +19,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import schema_of, slices, stored, table, texts
+from lawframe.llm.common import Memo, schema_of, slices, stored, table, texts
 
-#: Unit encodings kept by a worker before it starts anew, and how many are encoded in one call.
-KEPT, CALL = 500_000, 4096
+#: Unit and word encodings that a worker keeps, and how many are encoded in one call.
+KEPT, CALL = 600_000, 4096
 #: Latin letters, then marks that are neither letters, digits, spaces nor apostrophes.
 WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -44,17 +44,17 @@ class WordEncoder:
         vocab = self.lib.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.units: dict[bytes, bytes] = {}
+        self.units, self.words = Memo(KEPT), Memo(KEPT)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, units: set[bytes]) -> None:
-        new = [u for u in units if u not in self.units]
+        new = self.units.missing(units)
         parted = [WORD.fullmatch(u.decode()) for u in new]
         # letters are one pre-token, the marks behind them another: many words go in one call, parted by the pieces
         # that end words
-        words, known = list({m[1] for m in parted if m}), {}
+        words, known = self.words.missing({m[1].lower() for m in parted if m}), self.words.found
         for at in range(0, len(words), CALL):
             some = words[at : at + CALL]
             ids = self.ids([" ".join(some)])[0]
@@ -63,18 +63,16 @@ class WordEncoder:
                 raise ValueError("pieces that end words do not match the words")
             raw, edges = ids.tobytes(), [0, *(stops * 4).tolist()]
             known.update((w, raw[a:b]) for w, a, b in zip(some, edges, edges[1:], strict=False))
-        rest = list({m[2] for m in parted if m} | {u.decode() for u, m in zip(new, parted, strict=True) if not m})
+        rest, marks = list({m[2] for m in parted if m} | {u.decode() for u, m in zip(new, parted, strict=True) if not m}), {}
         for at in range(0, len(rest), CALL):
-            known.update(zip(rest[at : at + CALL], (x.tobytes() for x in self.ids(rest[at : at + CALL])), strict=True))
-        self.units.update((u, known[m[1]] + known[m[2]] if m else known[u.decode()]) for u, m in zip(new, parted, strict=True))
+            marks.update(zip(rest[at : at + CALL], (x.tobytes() for x in self.ids(rest[at : at + CALL])), strict=True))
+        self.units.found.update((u, known[m[1].lower()] + marks[m[2]] if m else marks[u.decode()]) for u, m in zip(new, parted, strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text (UTF-8) its ids, little-endian unsigned 32-bit."""
         split = [t.split() for t in texts]
-        if len(self.units) > KEPT:
-            self.units.clear()
         self.learn(set().union(*split))
-        return [b"".join(map(self.units.__getitem__, parts)) for parts in split]
+        return [b"".join(map(self.units.found.__getitem__, parts)) for parts in split]
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -20,12 +20,12 @@ from operator import sub
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lawframe.llm.common import schema_of, slices, table, texts
+from lawframe.llm.common import Memo, schema_of, slices, table, texts
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-#: Unit tables kept by a worker before it starts anew.
-KEPT = 500_000
+#: Unit tables that a worker keeps.
+KEPT = 800_000
 UNIT = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+")
 
 
@@ -45,7 +45,7 @@ class PrefixCounter:
         for piece in self.rank:
             self.longest[piece[-2:]] = max(len(piece), self.longest.get(piece[-2:], 1))
         self.standing: dict[tuple[str, str], bool] = {}
-        self.units: dict[bytes, bytes] = {}
+        self.units = Memo(KEPT)
 
     def merged(self, text: str) -> list[str]:
         """BPE of a short string: again and again merge the best ranked pair, the leftmost of equals."""
@@ -100,16 +100,14 @@ class PrefixCounter:
 
     def learn(self, units: set[bytes]) -> None:
         """Make the tables of units that are not known yet."""
-        new = sorted((u.decode(), u) for u in units if u not in self.units)
+        new = sorted((u.decode(), u) for u in self.units.missing(units))
         plain, fed = [x for x in new if x[0][:1] != "\n"], [x for x in new if x[0][:1] == "\n"]
         for group, mark in ((plain, MARK), (fed, "")):
-            self.units.update(zip((u for _, u in group), self.tables([mark + t for t, _ in group]), strict=True))
+            self.units.found.update(zip((u for _, u in group), self.tables([mark + t for t, _ in group]), strict=True))
 
     def prefix_counts(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """For each text (UTF-8) count[i]: the tokens of its first i code points, for i from 0 to its length."""
         split = [None if self.odd(t) else t.replace(b"\n", b" \n").split(b" ") for t in texts]
-        if len(self.units) > KEPT:
-            self.units.clear()
         self.learn(set().union(*(x for x in split if x)))
         for text, parts in zip(texts, split, strict=True):
             if not text:
@@ -120,7 +118,7 @@ class PrefixCounter:
                 ranked = sorted(set(units))
                 found = b"".join(map(dict(zip(ranked, self.tables(ranked), strict=True)).__getitem__, units))
             else:
-                found = b"".join(map(self.units.__getitem__, parts))
+                found = b"".join(map(self.units.found.__getitem__, parts))
             counts = np.frombuffer(found, np.int16).cumsum(dtype=np.int64)
             counts[0] = 0  # what stands before the first code point is the mark that the library puts there
             yield counts
