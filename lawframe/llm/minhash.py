@@ -7,9 +7,10 @@ two texts agree in a coordinate with the probability of their (weighted) Jaccard
 ranks up to about K ln K / its total weight, so long texts throw few darts an element.
 
 Equal texts are classes from the start (by hash) and send one member on. Coordinates are banded; in each bucket every
-member is paired with a few anchors (least by several orders), pairs are verified exactly on their shingles, and links
-are closed to components. Members of one bucket that are still in different components are then all verified against
-each other, so no link that shares a bucket is lost, while a large group of near copies costs a few pairs a member.
+member is paired with a few anchors (the least, and the most central ones), pairs are verified exactly on their
+shingles, and links are closed to components. Where a bucket's members are still in different components, those outside
+the largest are compared with all others that shared buckets connect, in blocks and exactly. So no link that shares a
+bucket is lost, while a large group of near copies costs a few pairs a member.
 
 Edge cases: a null text is empty; empty texts are one class; a text of fewer than five words is one shingle of all its
 words; words are runs between white space, compared as they are; repeated rows are copies; rows with null doc_id are
@@ -23,6 +24,7 @@ from math import ceil, log
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lawframe.llm.common import schema_of, slices, small, stored, table, texts
 
@@ -129,9 +131,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return df.mapInArrow(scan, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b: doc_ids of different texts) whose shingles are alike enough, exactly."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, elements: its sorted shingle hashes as bytes) of the documents that `ids` names."""
     wanted = texts(docs, "doc_id").join(small(ids), "doc_id", "left_semi")
     schema = schema_of(wanted, ["doc_id"], "elements binary")
 
@@ -142,7 +143,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             made = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], schema.names)
 
-    sets = stored(wanted.mapInArrow(scan, schema), "shingles")
+    return stored(wanted.mapInArrow(scan, schema), "shingles")
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b: doc_ids of different texts) whose shingles are alike enough, exactly."""
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sides = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("right")), "b").join(
         sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("left")), "a"
     )
@@ -163,6 +169,49 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return sides.select("a", "b", "left", "right").mapInArrow(compare, linked)
 
 
+def _linked_in_blocks(open_: DataFrame, docs: DataFrame, asked_bytes: int = 1 << 20, held_bytes: int = 4 << 20) -> DataFrame:
+    """Links (a, b) between components of one cluster, for rows (member, root, least: the least of a shared bucket).
+
+    A cluster is what shared buckets connect. Its members outside of its main component are the queries; they meet all
+    its members in blocks of bounded size, are compared exactly there, and one link to each other component comes out.
+    """
+    clusters = components(open_.filter("member <> least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct())
+    members = open_.select("member", "root").distinct().join(clusters.withColumnsRenamed({"node": "member", "root": "cluster"}), "member")
+    sets = shingle_sets(docs, members.select(F.col("member").alias("doc_id")))
+    sized = members.join(sets.withColumnRenamed("doc_id", "member"), "member")
+    shares = members.groupBy("cluster", "root").agg(F.count("*").alias("share")).groupBy("cluster").agg(F.max_by("root", F.struct("share", "root")).alias("main"))
+    total = sized.join(shares, "cluster").groupBy("cluster", "main").agg(F.sum(F.length("elements")).alias("bytes"), F.sum(F.when(F.col("root") != F.col("main"), F.length("elements"))).alias("asked"))
+    plan = total.select("cluster", "main", (1 + F.floor(F.col("bytes") / held_bytes)).alias("blocks"), (1 + F.floor(F.col("asked") / asked_bytes)).alias("parts"))
+    rows = sized.join(plan, "cluster").select("cluster", "member", "root", "elements", "main", F.pmod(F.xxhash64("member"), "blocks").alias("block"), F.pmod(F.xxhash64("member"), "parts").alias("part"))
+    packed = F.collect_list(F.struct("member", "root", "elements"))
+    held = rows.groupBy("cluster", "block").agg(packed.alias("held"))
+    asked = rows.filter("root <> main").groupBy("cluster", "part").agg(packed.alias("asked"))
+    schema = StructType([StructField("a", docs.schema["doc_id"].dataType), StructField("b", docs.schema["doc_id"].dataType)])
+
+    def compare(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, 1):
+            found = []
+            for some, all_ in zip(batch.column("asked").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                sizes = np.array([len(x["elements"]) // 8 for x in all_])
+                values = np.frombuffer(b"".join(x["elements"] for x in all_), U)
+                order = values.argsort(kind="stable")
+                owner, values = np.repeat(np.arange(len(all_)), sizes)[order], values[order]
+                for x in some:
+                    own = np.frombuffer(x["elements"], U)
+                    low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                    hits = high - low
+                    at = np.repeat(low - (hits.cumsum() - hits), hits) + np.arange(int(hits.sum()))
+                    both = np.bincount(owner[at], minlength=len(all_))
+                    near = np.flatnonzero(both >= ALIKE * (len(own) + sizes - both))
+                    others = {all_[i]["root"]: all_[i]["member"] for i in near.tolist() if all_[i]["root"] != x["root"]}
+                    found += [(min(x["member"], m), max(x["member"], m)) for m in others.values()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], batch.schema.field("asked").type.value_type.field("member").type), pa.array([f[1] for f in found], batch.schema.field("asked").type.value_type.field("member").type)], ["a", "b"])
+
+    return asked.join(held, "cluster").select("asked", "held").mapInArrow(compare, schema)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each one's component. Label propagation with pointer jumping, a table a round."""
     edges = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct(), "edges")
@@ -188,31 +237,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     made = stored(signatures(docs), "signatures")
     classes = stored(made.groupBy("copy").agg(F.min("doc_id").alias("member"), F.first("bands").alias("bands")), "classes")
     keyed = classes.filter("member is not null").select("member", F.explode("bands").alias("key"))
-    order = [F.xxhash64("member", F.lit(k)) for k in range(1, ANCHORS)]
-    buckets = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.array_distinct(F.array(F.min("member"), *(F.min_by("member", o) for o in order))).alias("anchors")
-    ).filter("n > 1")
-    full = stored(keyed.join(buckets, "key").select("key", "member", "n", "anchors"), "buckets")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    full = stored(keyed.join(sizes, "key"), "buckets")
+    # anchors: the least member, and of each third of members the one whose buckets are largest, which is most central
+    central = full.groupBy("member").agg(F.sum("n").alias("weight"))
+    third = lambda k: F.when(F.pmod(F.xxhash64("member"), F.lit(ANCHORS - 1)) == k, F.struct("weight", "member"))
+    anchors = full.join(central, "member").groupBy("key").agg(F.array_compact(F.array_distinct(F.array(F.min("member"), *(F.max_by("member", third(k)) for k in range(ANCHORS - 1))))).alias("anchors"))
     first = stored(
-        full.select("member", F.explode("anchors").alias("anchor")).filter("member <> anchor")
+        full.join(anchors, "key").select("member", F.explode("anchors").alias("anchor")).filter("member <> anchor")
         .select(F.least("member", "anchor").alias("a"), F.greatest("member", "anchor").alias("b")).distinct(),
         "pairs",
     )
     links = stored(verified(first, docs), "links")
     roots = components(links)
-    # what share a bucket without being in one component: all against all, but for what is verified already
+    # buckets whose members are not in one component yet, and what these buckets connect
     placed = full.join(roots.withColumnRenamed("node", "member"), "member", "left").select("key", "member", F.coalesce("root", "member").alias("root"))
-    shares = placed.groupBy("key", "root").agg(F.count("*").alias("share"))
-    split = shares.groupBy("key").agg(F.count("*").alias("roots"), F.sum("share").alias("n"), F.max_by("root", F.struct("share", "root")).alias("main"))
-    open_ = stored(placed.join(split.filter("roots > 1 and n > 2").select("key", "main"), "key"), "open")
-    # those outside a bucket's main component, against all others in it
-    left = open_.filter("root <> main").select("key", F.col("member").alias("x"), F.col("root").alias("rx"))
-    right = open_.select("key", F.col("member").alias("y"), F.col("root").alias("ry"))
-    crossed = left.join(right, "key").filter("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    second = crossed.distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(second, "pairs")
-    if second.limit(1).count():
-        more = stored(verified(second, docs), "links")
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min("member").alias("least"))
+    open_ = stored(placed.join(split.filter("low <> high and n > 2").select("key", "least"), "key").select("member", "root", "least").distinct(), "open")
+    if open_.limit(1).count():
+        more = stored(_linked_in_blocks(open_, docs), "links")
         if more.limit(1).count():
             roots = components(links.union(more))
     named = classes.join(roots.withColumnRenamed("node", "member"), "member", "left").select("copy", F.coalesce("root", "member").alias("class_id"))
