@@ -11,20 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawframe.llm import minhash, mixing, packing, quality, suffix
-from lawframe.llm.common import small, stored
+from lawframe.llm.common import free, small, stored
 
 
-def _with_text(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of `docs` in order, n_chars counted anew where there is such a column."""
-    if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+def _counted(df: DataFrame) -> DataFrame:
+    """`df` with n_chars counted anew, where there is such a column."""
+    return df.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType)) if "n_chars" in df.columns else df
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated chance of label 1 is at least 0.3."""
     vectors, net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, vectors, net, docs.columns).filter("score >= 0.3").drop("score")
+    name = free(docs, "score")
+    return quality.score(docs, vectors, net, docs.columns, name=name).filter(F.col(name) >= 0.3).drop(name)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +36,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 
     def those(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        keys = small(keys.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")))
-        return rows.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (own == F.col("_copy")), how)
+        at, mark = free(rows, "_id"), free(rows, "_copy")
+        keys = small(keys.select(F.col("doc_id").alias(at), F.col("copy").alias(mark)))
+        return rows.join(keys, F.col("doc_id").eqNullSafe(F.col(at)) & (own == F.col(mark)), how)
 
     kept = those(stored(placed.filter(~stays).select("doc_id", "copy").distinct(), "others"), "left_anti", docs)
     repeated = stored(classes.groupBy("doc_id", "copy").count().filter("count > 1").select("doc_id", "copy"), "repeated")
@@ -50,14 +50,13 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeated 400-byte strings cover; characters cut in half go, empty texts stay."""
-    made = suffix.remove_repeats(docs, *docs.columns)
-    whole = F.col("n_removed") == 0
-    return _with_text(made.withColumn("text", F.when(whole, F.decode("text", "UTF-8")).otherwise(F.replace(F.try_validate_utf8(F.make_valid_utf8(F.col("text").cast("string"))), F.lit("�"), F.lit("")))), docs)
+    made = suffix.remove_repeats(docs, *docs.columns, whole_characters=True)
+    return _counted(made.select(F.col("row").withField("text", F.col("text").cast("string")).alias("row")).select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often, and as far, as their source's blocks are taken."""
-    return _with_text(mixing.materialise(mixing.mix(docs, *docs.columns)), docs)
+    return _counted(mixing.materialise(mixing.mix(docs, *docs.columns)))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

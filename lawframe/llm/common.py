@@ -37,14 +37,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lawframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the tables that this driver has stored. Frames that read them can't be used any more."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows; otherwise as it is, so the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores behind it as it takes to be no column of `df`."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_of(df: DataFrame, columns: list[str]):
+    """The columns as one struct `row`, so that their names meet no others."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+
+
 def slices(batches: Iterator, size: int = 8 << 20) -> Iterator:
     """Arrow batches cut so that none holds much more than `size` bytes (a single row may)."""
     for batch in batches:

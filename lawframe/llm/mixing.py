@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import small, stored, table
+from lawframe.llm.common import row_of, small, stored, table
 
 WORD, REST = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
 
@@ -71,10 +71,11 @@ def apportion(votes: list[float], seats: int, most: list[int]) -> list[int]:
 
 
 def mix(docs: DataFrame, *carried: str, weights: tuple = (5, 2, 1), most: int = 3, block: int = 64, seed: int = 11, shard_words: int = 1 << 18, most_shards: int = 65_536) -> DataFrame:
-    """doc_id, source and `carried` of each document, with size, source_size, target, taken, and how blocks are taken
-    (at: words before it in its shard; blocks, rounds, more, step, shift: of its shard)."""
+    """doc_id and source of each document and `row`, a struct of its `carried` columns if there are any, with size,
+    source_size, target, taken, and how blocks are taken (at: words before it in its shard; blocks, rounds, more, step,
+    shift: of its shard)."""
     spark = docs.sparkSession
-    kept = ["doc_id", "source", *(c for c in carried if c not in ("doc_id", "source"))]
+    kept = ["doc_id", "source", *(["row"] if carried else [])]
     sized = stored(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
     totals = sorted(sized.groupBy("source").agg(F.sum("size")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
     sizes = [r[1] for r in totals]
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, *carried: str, weights: tuple = (5, 2, 1), most: int =
 
     from pyspark.sql import Window
 
-    rows = sharded(sized if len(kept) == 2 else docs.select(*kept, size_of(F.col("text")).alias("size")))
+    rows = sharded(docs.select("doc_id", "source", row_of(docs, carried), size_of(F.col("text")).alias("size")) if carried else sized)
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0)))
     joined = placed.join(held, F.col("source").eqNullSafe(F.col("of")) & (F.col("shard") == F.col("of_shard"))).drop("of", "of_shard")
@@ -130,17 +131,18 @@ def _overlap(j: Column, block: int) -> tuple[Column, Column]:
 
 
 def materialise(mixed: DataFrame, block: int = 64) -> DataFrame:
-    """A mix that carries text, as documents: each whole as often as `rounds`, then once more its further blocks alone."""
-    words = mixed.withColumn("words", F.when(F.col("more") > 0, F.regexp_extract_all("text", F.lit(WORD + REST), F.lit(0))))
+    """The rows that a mix carries (text among them): each whole as often as `rounds`, then once more its further blocks
+    alone."""
+    words = mixed.withColumn("words", F.when(F.col("more") > 0, F.regexp_extract_all("row.text", F.lit(WORD + REST), F.lit(0))))
 
     def part(j: Column) -> Column:
         begin, length = _overlap(j, block)
         return F.array_join(F.slice("words", (begin + 1).cast("int"), length.cast("int")), "")
 
     rest = F.array_join(F.transform(taken_blocks(block), part), "")
-    whole = F.array_repeat(F.col("text"), F.when(F.col("size") > 0, F.col("rounds")).otherwise(0).cast("int"))
-    made = words.withColumn("made", F.concat(whole, F.filter(F.array(F.coalesce(rest, F.lit(""))), lambda t: t != "")))
-    return made.drop("words").withColumn("text", F.explode("made")).drop("made")
+    whole = F.array_repeat(F.col("row.text"), F.when(F.col("size") > 0, F.col("rounds")).otherwise(0).cast("int"))
+    made = words.select("row", F.explode(F.concat(whole, F.filter(F.array(F.coalesce(rest, F.lit(""))), lambda t: t != ""))).alias("made"))
+    return made.select(F.col("row").withField("text", F.col("made")).alias("row")).select("row.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import schema_of, slices, table, texts
+from lawframe.llm.common import free, schema_of, slices, table, texts
 
 SLOTS, SHAPES, DIM, NONZERO = 8192, 512, 32, 4
 KEPT = 400_000
@@ -206,17 +206,18 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, seed: i
     return vectors, fit(np.array([r[2] for r in rows]), np.array([r[1] for r in rows]) == 1)
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network, keep: list[str], seed: int = 1) -> DataFrame:
-    """`keep` columns of `docs` and the score of each text, kept in one pass."""
-    df = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
-    schema = schema_of(df, keep, "score double")
+def score(docs: DataFrame, vectors: np.ndarray, net: Network, keep: list[str], seed: int = 1, name: str = "score") -> DataFrame:
+    """`keep` columns of `docs` and the score of each text under `name`, which must not be one of them."""
+    raw = free(docs, "_text")
+    df = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(raw))
+    schema = schema_of(df, keep, f"{name} double")
 
     def scan(batches):
         import pyarrow as pa
 
         forms = index_vectors(SHAPES, seed + 1)
         for batch in slices(batches):
-            x = [pooled(t, vectors, forms) for t in batch.column("_text").to_pylist()]
+            x = [pooled(t, vectors, forms) for t in batch.column(raw).to_pylist()]
             p = net.probability(np.array(x, float)) if x else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p)], schema.names)
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import schema_of, slices, small, stored, table
+from lawframe.llm.common import row_of, schema_of, slices, small, stored, table
 
 LENGTH, WINDOW = 400, 64
 CORE = LENGTH - WINDOW + 1
@@ -299,13 +299,17 @@ def _start_by_start(contexts: DataFrame) -> DataFrame:
     return found.select("core", "context", "first", F.col("first").alias("last"))
 
 
-def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
-    """doc_id and `carried` columns of every row, the text without repeated bytes (as bytes), n_bytes, n_removed, n_spans."""
-    extra = [c for c in carried if c not in ("doc_id", "text")]
+def remove_repeats(docs: DataFrame, *carried: str, whole_characters: bool = False) -> DataFrame:
+    """doc_id of every row, `row` (a struct of its `carried` columns, if there are any), the text without repeated bytes
+    (as bytes), n_bytes, n_removed, n_spans.
+
+    With `whole_characters` the halves of characters that were cut go too.
+    """
+    extra = ["row"] if carried else []
     spans = stored(repeated_spans(docs), "spans")
     _free(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", *extra, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_key"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
+    rows = docs.select("doc_id", *([row_of(docs, carried)] if carried else []), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_key"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
     touched = small(spans.select(F.col("key").alias("_key"), F.col("mark").alias("_mark")))
     whole = rows.join(touched, ["_key", "_mark"], "left_anti").select("doc_id", *extra, F.col("_text").alias("text"), F.length("_text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"))
     cutting = rows.join(touched, ["_key", "_mark"], "left_semi").join(spans.withColumnsRenamed({"key": "_key", "mark": "_mark", "spans": "_spans"}), ["_key", "_mark"])
@@ -322,6 +326,8 @@ def remove_repeats(docs: DataFrame, *carried: str) -> DataFrame:
                 np.add.at(edge, [r["last"] + LENGTH for r in runs], -1)
                 gone = edge[:-1].cumsum() > 0
                 left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                if whole_characters:
+                    left = left.decode("utf-8", "ignore").encode()
                 made.append((left, len(raw), int(gone.sum()), len(_spans(gone)[0])))
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *extra)), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else [()] * 4, kinds, strict=True))], schema.names)

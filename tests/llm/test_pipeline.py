@@ -52,3 +52,18 @@ def test_duplicates_with_nulls_and_repeats(spark, sf_dir):
     got = corpus_pipeline.keep_one_of_each_group(spark, odd, sf_dir).collect()
     rows = H.texts_of(odd)
     assert len(got) == len(H.classes_by_brute_force(rows)) and odd.columns == list(got[0].asDict())
+
+
+def test_odd_documents_through_all_stages(spark, sf_dir):
+    docs = H.odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, sf_dir)
+        assert after.count() >= 0 and (name == "packing" or after.columns == docs.columns)
+        docs = after
+
+
+def test_empty_documents_through_all_stages(spark, sf_dir):
+    docs = H.odd_documents(spark, empty=True)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.count() == 0
