@@ -106,7 +106,7 @@ def repeated_starts(contexts: list[tuple[int, bytes, bytes, int]], shards: int =
         owner.append(of[order] + at)
         offset.append(start[order])
         transforms.append(symbols[before][order])
-        ids.append(np.full(len(order), number, np.uint16))
+        ids.append(np.full(len(order), number, np.uint8))
     owner, offset, transform, interleave = map(np.concatenate, (owner, offset, transforms, ids))
     common, interleave = merge(transform, interleave, WINDOW)
     rows = interleave.argsort(kind="stable")  # merged row of each shard row, shard by shard
@@ -152,18 +152,18 @@ def merge(transform: np.ndarray, interleave: np.ndarray, depth: int) -> tuple[np
     `transform` holds the shards' transforms one behind the other, `interleave` the shard of each row.
     """
     n = len(transform)
-    common = np.full(n, depth, np.int16)
-    common[0] = 0
+    common = np.zeros(n, np.uint8)  # passes that a row has not yet parted from the one before
     block = np.zeros(n, np.int32)
-    for done in range(depth):
+    for _ in range(depth):
         merged = np.empty_like(transform)
         merged[interleave.argsort(kind="stable")] = transform
         turn = merged.argsort(kind="stable")
         symbol, block, interleave = merged[turn], block[turn], interleave[turn]
-        parts = np.r_[True, (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])]
-        common[parts & (common == depth)] = done
+        parts = np.ones(n, bool)
+        np.not_equal(symbol[1:], symbol[:-1], out=parts[1:])
+        parts[1:] |= block[1:] != block[:-1]
+        common += ~parts
         block = parts.cumsum(dtype=np.int32)
-    common[0] = 0
     return common, interleave
 
 
@@ -185,7 +185,7 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 8_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 1_500) -> DataFrame:
     """(key, mark, spans array<struct<first, last>>): runs of starts of repeated strings, for each text that has any."""
     spark, keyed = docs.sparkSession, _keyed(docs)
     counted = schema_of(keyed, ["key", "mark"], "nth int, core long, context long, n long")
