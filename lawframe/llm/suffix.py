@@ -89,7 +89,7 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     return place, first, last, core.view(np.int64), context.view(np.int64)
 
 
-def repeated_starts(contexts: list[tuple[int, bytes, bytes, int]], shards: int = 8) -> list[np.ndarray]:
+def repeated_starts(contexts: list[tuple[int, bytes, bytes, int]], shards: int = 4) -> list[np.ndarray]:
     """For each context (core, bytes before the anchor, bytes behind the core, count) which of its starts are repeated.
 
     Start j of a context begins j bytes into it; it has len(left) + len(right) - WINDOW + 2 starts.
@@ -154,9 +154,10 @@ def merge(transform: np.ndarray, interleave: np.ndarray, depth: int) -> tuple[np
     n = len(transform)
     common = np.zeros(n, np.uint8)  # passes that a row has not yet parted from the one before
     block = np.zeros(n, np.int32)
+    shards = range(int(interleave.max()) + 1)
     for _ in range(depth):
         merged = np.empty_like(transform)
-        merged[interleave.argsort(kind="stable")] = transform
+        merged[np.concatenate([np.flatnonzero(interleave == k) for k in shards])] = transform
         turn = merged.argsort(kind="stable")
         symbol, block, interleave = merged[turn], block[turn], interleave[turn]
         parts = np.ones(n, bool)
@@ -185,7 +186,7 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 1_500) -> DataFrame:
+def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800) -> DataFrame:
     """(key, mark, spans array<struct<first, last>>): runs of starts of repeated strings, for each text that has any."""
     spark, keyed = docs.sparkSession, _keyed(docs)
     counted = schema_of(keyed, ["key", "mark"], "nth int, core long, context long, n long")
