@@ -83,20 +83,15 @@ def schema_of(df: DataFrame, kept: list[str], added: str) -> StructType:
 
 
 class Memo:
-    """Answers that a worker keeps, at most about `most`; when full, those that were asked for again stay."""
+    """Answers that a worker keeps, at most about `most`; when full, those of the last two calls stay."""
 
     def __init__(self, most: int):
-        self.most, self.found, self.again = most, {}, set()
+        self.most, self.found, self.last = most, {}, set()
 
     def missing(self, asked: set) -> list:
         """What of `asked` is not known; the caller then adds it to `found`."""
-        known = asked & self.found.keys()
-        new = asked - known
+        new = [x for x in asked if x not in self.found]
         if len(self.found) + len(new) > self.most:
-            stay = self.again | known
-            if len(stay) > self.most // 2:
-                stay = known
-            self.found, self.again = {k: self.found[k] for k in stay}, set()
-        else:
-            self.again |= known
-        return list(new)
+            self.found = {k: self.found[k] for k in self.last | asked if k in self.found}
+        self.last = asked
+        return new

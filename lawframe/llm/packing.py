@@ -23,6 +23,7 @@ from lawframe.llm.common import Memo, schema_of, slices, stored, table, texts
 
 #: Unit and word encodings that a worker keeps, and how many are encoded in one call.
 KEPT, CALL = 600_000, 4096
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Latin letters, then marks that are neither letters, digits, spaces nor apostrophes.
 WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -45,28 +46,42 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
         self.units, self.words = Memo(KEPT), Memo(KEPT)
+        self.marks: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, units: set[bytes]) -> None:
         new = self.units.missing(units)
-        parted = [WORD.fullmatch(u.decode()) for u in new]
         # letters are one pre-token, the marks behind them another: many words go in one call, parted by the pieces
         # that end words
-        words, known = self.words.missing({m[1].lower() for m in parted if m}), self.words.found
+        stems, rest = {}, []
+        for u in new:
+            stem = u.rstrip(MARKS)
+            if stem.isalpha():
+                stems[u] = stem.lower()
+            elif m := WORD.fullmatch(u.decode()):
+                stems[u] = m[1].lower().encode()
+            else:
+                rest.append(u)
+        words, known = self.words.missing(set(stems.values())), self.words.found
         for at in range(0, len(words), CALL):
             some = words[at : at + CALL]
-            ids = self.ids([" ".join(some)])[0]
+            ids = self.ids([b" ".join(some).decode()])[0]
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
                 raise ValueError("pieces that end words do not match the words")
             raw, edges = ids.tobytes(), [0, *(stops * 4).tolist()]
             known.update((w, raw[a:b]) for w, a, b in zip(some, edges, edges[1:], strict=False))
-        rest, marks = list({m[2] for m in parted if m} | {u.decode() for u, m in zip(new, parted, strict=True) if not m}), {}
+        tails = {u: u[len(stem) :] for u, stem in stems.items()}
+        rest += {t for t in tails.values() if t not in self.marks}
         for at in range(0, len(rest), CALL):
-            marks.update(zip(rest[at : at + CALL], (x.tobytes() for x in self.ids(rest[at : at + CALL])), strict=True))
-        self.units.found.update((u, known[m[1].lower()] + marks[m[2]] if m else marks[u.decode()]) for u, m in zip(new, parted, strict=True))
+            self.marks.update(zip(rest[at : at + CALL], (x.tobytes() for x in self.ids([u.decode() for u in rest[at : at + CALL]])), strict=True))
+        marks, found = self.marks, self.units.found
+        found.update({u: known[stem] + marks[tails[u]] if tails[u] else known[stem] for u, stem in stems.items()})
+        found.update({u: marks[u] for u in rest})
+        if len(marks) > KEPT:
+            marks.clear()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text (UTF-8) its ids, little-endian unsigned 32-bit."""
@@ -89,7 +104,7 @@ def tokenised(docs: DataFrame, path: str, closing_id: int) -> DataFrame:
         if path not in _encoders:
             _encoders[path] = WordEncoder(path)
         encoder, part, before, close = _encoders[path], TaskContext.get().partitionId(), 0, np.uint32(closing_id).tobytes()
-        for batch in slices(batches, 4 << 20):
+        for batch in slices(batches):
             ids = [np.frombuffer(x + close, np.uint32).astype("<u4") for x in encoder.encode(batch.column("text").to_pylist())]
             sizes = np.array([len(x) for x in ids], np.int64)
             starts = before + sizes.cumsum() - sizes
