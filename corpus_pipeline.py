@@ -29,9 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the least doc_id (null last), once."""
     classes = stored(minhash.near_duplicates(docs), "classes")
-    group = F.coalesce(F.col("class_id").cast("string"), F.hex("copy")).alias("group")
-    first = classes.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first"))
-    placed = classes.withColumn("group", group).join(first, "group")
+    first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first"))
+    placed = classes.join(first, "root")
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy"))
     own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
 

@@ -6,15 +6,16 @@ names one of K coordinates. Of the darts below an element's weight the earliest
 two texts agree in a coordinate with the probability of their (weighted) Jaccard similarity, and a text only looks at
 ranks up to about K ln K / its total weight, so long texts throw few darts an element.
 
-Equal texts are classes from the start (by hash) and send one member on. Coordinates are banded; in each bucket every
+Equal texts are one node from the start, named by their hash, whatever their doc_ids, and send one member on. Coordinates are banded; in each bucket every
 member is paired with a few anchors (the least, and the most central ones), pairs are verified exactly on their
 shingles, and links are closed to components. Where a bucket's members are still in different components, those outside
 the largest are compared with all others that shared buckets connect, in blocks and exactly. So no link that shares a
 bucket is lost, while a large group of near copies costs a few pairs a member.
 
 Edge cases: a null text is empty; empty texts are one class; a text of fewer than five words is one shingle of all its
-words; words are runs between white space, compared as they are; repeated rows are copies; rows with null doc_id are
-left out of classes' names (the least doc_id names a class) but keep their class; an empty table gives no rows.
+words; words are runs between white space, compared as they are; repeated rows are copies; different texts with one
+doc_id are linked only if they are alike; a class is named by its least doc_id, null where all of its rows have none, so
+`root` (the least hash of its texts) tells classes apart where names are null or repeated; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from math import ceil, log
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from lawframe.llm.common import schema_of, slices, small, stored, table, texts
 
@@ -131,26 +132,30 @@ def signatures(docs: DataFrame) -> DataFrame:
     return df.mapInArrow(scan, schema)
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, elements: its sorted shingle hashes as bytes) of the documents that `ids` names."""
-    wanted = texts(docs, "doc_id").join(small(ids), "doc_id", "left_semi")
-    schema = schema_of(wanted, ["doc_id"], "elements binary")
+def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(copy, elements: its sorted shingle hashes as bytes) of the texts in `nodes` (copy, name: a doc_id that has the text)."""
+    hashed = texts(docs, "doc_id").withColumn("copy", F.unhex(F.md5("text")))
+    named = small(nodes.select(F.col("copy").alias("node"), "name"))
+    # by name as well, so that of exact copies those with another doc_id stay behind; repeated rows are still there
+    found = hashed.join(named, (F.col("copy") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("name")), "left_semi")
+    wanted = found.groupBy("copy").agg(F.first("text").alias("text"))
+    schema = schema_of(wanted, ["copy"], "elements binary")
 
     def scan(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
             made = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(made, pa.binary())], schema.names)
 
     return stored(wanted.mapInArrow(scan, schema), "shingles")
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b: doc_ids of different texts) whose shingles are alike enough, exactly."""
-    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sides = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("right")), "b").join(
-        sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("left")), "a"
+def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b: hashes of different texts) whose shingles are alike enough, exactly."""
+    sets = shingle_sets(docs, names.join(small(pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct()), "copy", "left_semi"))
+    sides = pairs.join(sets.select(F.col("copy").alias("b"), F.col("elements").alias("right")), "b").join(
+        sets.select(F.col("copy").alias("a"), F.col("elements").alias("left")), "a"
     )
     linked = schema_of(pairs, ["a", "b"], "")
 
@@ -169,7 +174,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return sides.select("a", "b", "left", "right").mapInArrow(compare, linked)
 
 
-def _linked_in_blocks(open_: DataFrame, docs: DataFrame, asked_bytes: int = 1 << 20, held_bytes: int = 4 << 20) -> DataFrame:
+def _linked_in_blocks(open_: DataFrame, docs: DataFrame, names: DataFrame, asked_bytes: int = 1 << 20, held_bytes: int = 4 << 20) -> DataFrame:
     """Links (a, b) between components of one cluster, for rows (member, root, least: the least of a shared bucket).
 
     A cluster is what shared buckets connect. Its members outside of its main component are the queries; they meet all
@@ -177,8 +182,8 @@ def _linked_in_blocks(open_: DataFrame, docs: DataFrame, asked_bytes: int = 1 <<
     """
     clusters = components(open_.filter("member <> least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct())
     members = open_.select("member", "root").distinct().join(clusters.withColumnsRenamed({"node": "member", "root": "cluster"}), "member")
-    sets = shingle_sets(docs, members.select(F.col("member").alias("doc_id")))
-    sized = members.join(sets.withColumnRenamed("doc_id", "member"), "member")
+    sets = shingle_sets(docs, names.join(small(members.select(F.col("member").alias("copy"))), "copy", "left_semi"))
+    sized = members.join(sets.withColumnRenamed("copy", "member"), "member")
     shares = members.groupBy("cluster", "root").agg(F.count("*").alias("share")).groupBy("cluster").agg(F.max_by("root", F.struct("share", "root")).alias("main"))
     total = sized.join(shares, "cluster").groupBy("cluster", "main").agg(F.sum(F.length("elements")).alias("bytes"), F.sum(F.when(F.col("root") != F.col("main"), F.length("elements"))).alias("asked"))
     plan = total.select("cluster", "main", (1 + F.floor(F.col("bytes") / held_bytes)).alias("blocks"), (1 + F.floor(F.col("asked") / asked_bytes)).alias("parts"))
@@ -186,7 +191,7 @@ def _linked_in_blocks(open_: DataFrame, docs: DataFrame, asked_bytes: int = 1 <<
     packed = F.collect_list(F.struct("member", "root", "elements"))
     held = rows.groupBy("cluster", "block").agg(packed.alias("held"))
     asked = rows.filter("root <> main").groupBy("cluster", "part").agg(packed.alias("asked"))
-    schema = StructType([StructField("a", docs.schema["doc_id"].dataType), StructField("b", docs.schema["doc_id"].dataType)])
+    schema = StructType.fromDDL("a binary, b binary")
 
     def compare(batches):
         import pyarrow as pa
@@ -207,7 +212,7 @@ def _linked_in_blocks(open_: DataFrame, docs: DataFrame, asked_bytes: int = 1 <<
                     near = np.flatnonzero(both >= ALIKE * (len(own) + sizes - both))
                     others = {all_[i]["root"]: all_[i]["member"] for i in near.tolist() if all_[i]["root"] != x["root"]}
                     found += [(min(x["member"], m), max(x["member"], m)) for m in others.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], batch.schema.field("asked").type.value_type.field("member").type), pa.array([f[1] for f in found], batch.schema.field("asked").type.value_type.field("member").type)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
 
     return asked.join(held, "cluster").select("asked", "held").mapInArrow(compare, schema)
 
@@ -235,11 +240,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (hash of the text) and class_id (least doc_id of its class) of every row."""
+    """doc_id, copy (hash of the text), root (least hash of its class) and class_id (least doc_id of its class) of every row."""
     docs = docs.select("doc_id", "text")
     made = stored(signatures(docs), "signatures")
-    classes = stored(made.groupBy("copy").agg(F.min("doc_id").alias("member"), F.first("bands").alias("bands")), "classes")
-    keyed = classes.filter("member is not null").select("member", F.explode("bands").alias("key"))
+    classes = stored(made.groupBy("copy").agg(F.min("doc_id").alias("name"), F.first("bands").alias("bands")), "classes")
+    names = classes.select("copy", "name")
+    keyed = classes.select(F.col("copy").alias("member"), F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     full = stored(keyed.join(sizes, "key"), "buckets")
     # anchors: the least member, and of each third of members the one whose buckets are largest, which is most central
@@ -251,18 +257,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.least("member", "anchor").alias("a"), F.greatest("member", "anchor").alias("b")).distinct(),
         "pairs",
     )
-    links = stored(verified(first, docs), "links")
+    links = stored(verified(first, docs, names), "links")
     roots = components(links)
     # buckets whose members are not in one component yet, and what these buckets connect
     placed = full.join(roots.withColumnRenamed("node", "member"), "member", "left").select("key", "member", F.coalesce("root", "member").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.min("member").alias("least"))
     open_ = stored(placed.join(split.filter("low <> high and n > 2").select("key", "least"), "key").select("member", "root", "least").distinct(), "open")
     if open_.limit(1).count():
-        more = stored(_linked_in_blocks(open_, docs), "links")
+        more = stored(_linked_in_blocks(open_, docs, names), "links")
         if more.limit(1).count():
             roots = components(links.union(more))
-    named = classes.join(roots.withColumnRenamed("node", "member"), "member", "left").select("copy", F.coalesce("root", "member").alias("class_id"))
-    return made.select("doc_id", "copy").join(named, "copy").select("doc_id", "copy", "class_id")
+    # only now hashes turn into doc_ids: a linked class has the least of its texts' names
+    linked = stored(names.join(roots.withColumnRenamed("node", "copy"), "copy"), "linked")
+    least = linked.groupBy("root").agg(F.min("name").alias("class_id"))
+    classed = linked.join(small(least), "root").select("copy", "root", "class_id")
+    named = names.join(classed, "copy", "left").select("copy", F.coalesce("root", "copy").alias("root"), F.when(F.col("root").isNull(), F.col("name")).otherwise(F.col("class_id")).alias("class_id"))
+    return made.select("doc_id", "copy").join(named, "copy").select("doc_id", "copy", "root", "class_id")
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

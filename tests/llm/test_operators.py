@@ -234,6 +234,21 @@ def test_near_duplicate_chain(spark):
     assert sorted(map(frozenset, got.values()), key=min) == H.classes_by_brute_force(list(enumerate(texts)))
 
 
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """Near copies with and without doc_id are linked; unlike texts with one doc_id are not, nor does that doc_id chain others."""
+    a, b, c = H.prose(11, 200), H.prose(12, 200), H.prose(13, 200)
+    rows = [(None, a), (None, a + " more"), (None, b), (9, b + " more"), (5, c), (5, H.prose(14, 200)), (6, c + " more"), (5, H.prose(15, 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    of = {hashlib.md5(t.encode()).digest(): i for i, (_, t) in enumerate(rows)}
+    groups, names = defaultdict(set), {}
+    for r in minhash.near_duplicates(df).collect():
+        i = of[bytes(r["copy"])]
+        groups[bytes(r["root"])].add(i)
+        names[i] = r["class_id"]
+    assert sorted(map(frozenset, groups.values()), key=min) == H.classes_by_brute_force(rows) == [{0, 1}, {2, 3}, {4, 6}, {5}, {7}]
+    assert names == {0: None, 1: None, 2: 9, 3: 9, 4: 5, 5: 5, 6: 5, 7: 5}
+
+
 def test_dart_minhash_estimates():
     rng = np.random.default_rng(2)
     errors = []

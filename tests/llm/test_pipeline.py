@@ -54,6 +54,15 @@ def test_duplicates_with_nulls_and_repeats(spark, sf_dir):
     assert len(got) == len(H.classes_by_brute_force(rows)) and odd.columns == list(got[0].asDict())
 
 
+def test_near_copies_with_null_and_repeated_ids(spark, sf_dir):
+    a, b, c = H.prose(11, 200), H.prose(12, 200), H.prose(13, 200)
+    rows = [(None, a), (None, a + " more"), (None, b), (9, b + " more"), (5, c), (5, H.prose(14, 200)), (6, c + " more"), (5, H.prose(15, 200))]
+    got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    left = sorted(map(tuple, got), key=str)
+    assert len(left) == 5 and (rows[0] in left) != (rows[1] in left)
+    assert all(rows[i] in left for i in (3, 4, 5, 7)) and rows[2] not in left and rows[6] not in left
+
+
 def test_odd_documents_through_all_stages(spark, sf_dir):
     docs = H.odd_documents(spark)
     for name, stage in corpus_pipeline.STAGES:
