@@ -65,6 +65,14 @@ def test_near_duplicates_within_a_batch(spark):
     assert [r[0] for r in S.without_near_duplicates(rows, stored, intra_batch=True).select("record_id").collect()] == ["a"]
 
 
+def test_near_duplicate_behind_many_later_copies(spark):
+    """The only earlier near copy of `r` is less alike than 17 later exact copies."""
+    near, far = [1.0, 0.0], [1.0, 0.03]
+    rows = spark.createDataFrame([("e", far), ("r", near), *((f"s{i:02}", near) for i in range(17))], "record_id string, embedding array<float>")
+    stored = spark.createDataFrame([("z", [0.0, 1.0])], "record_id string, embedding array<float>")
+    assert [r[0] for r in S.without_near_duplicates(rows, stored, intra_batch=True).select("record_id").collect()] == ["e"]
+
+
 def test_poison_messages(spark):
     raw = spark.createDataFrame([('{"query_id": "1", "query_text": "a"}',), ('{"query_id": "2"}',), ("junk",)], "value string")
     good, bad = streams.messages(raw)
