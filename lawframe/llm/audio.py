@@ -137,14 +137,16 @@ def _table(frame: bytes, header: Header) -> dict:
 def parse(data: bytes) -> Stream:
     """Tags, table, frames and durations of a stream, resynchronising where it is damaged."""
     out, at, end, synced = Stream(), 0, len(data), False
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        out.tags.append(("TIT1", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")))
+    # an ID3v1 tag counts only where reading comes to its begin: bytes of a frame that reaches the end are none
+    last = end - 128 if end >= 128 and data[end - 128 : end - 125] == b"TAG" else end
     ticks: dict[int, int] = {}
     while at < end:
+        if at == last:
+            out.tags.insert(0, ("TIT1", data[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1")))
+            break
         header = header_of(data[at : at + 4])
         after = at + header.size if header else 0
-        if header and after <= end and (synced or after == end or header_of(data[after : after + 4]) or data[after : after + 3] == b"ID3"):
+        if header and (after <= last or after == end) and (synced or after in (last, end) or header_of(data[after : after + 4]) or data[after : after + 3] == b"ID3"):
             guard = 4 + 2 * header.protected
             if not out.offsets and not out.table and header.layer == 3 and (found := _table(data[at:after], header)):
                 out.table = found
@@ -166,6 +168,7 @@ def parse(data: bytes) -> Stream:
         later = data.find(b"\xff", at + 1, end)
         tagged = data.find(b"ID3", at + 1, end if later < 0 else later)
         jump = tagged if tagged >= 0 else later if later >= 0 else end
+        jump = min(jump, last) if at < last else jump
         out.skipped += jump - at
         at = jump
     out.duration = sum((Fraction(n, rate) for rate, n in ticks.items()), Fraction(0))

@@ -406,6 +406,16 @@ def test_audio_resynchronises():
     assert audio.parse(b"") == audio.Stream() and audio.parse(b"\xff" * 50).offsets == []
 
 
+def test_audio_tag_only_behind_frames():
+    """`TAG` 128 bytes before the end: inside the last frame it is payload, behind it an ID3v1 tag."""
+    payload = audio.payload_of(b"a" * 576 + b"b" * 521 + b"TAG" + b"c" * 52)
+    media = audio.write(payload)
+    assert media[-128:-125] == b"TAG" and audio.read(media)[0] == payload
+    clean = audio.write(audio.payload_of(b"hello " * 1000))
+    tagged = audio.parse(clean + b"TAG" + b"song".ljust(125, b"\0"))
+    assert tagged.offsets == audio.parse(clean).offsets and ("TIT1", "song") in tagged.tags and tagged.skipped == 0
+
+
 def test_audio_headers():
     for bits, want in ((0xFFFB9064, (3, 128, 44100, 417)), (0xFFF39064, (3, 80, 22050, 261)), (0xFFFD9004, (2, 160, 44100, 522)), (0xFFFF9000, (1, 288, 44100, 312))):
         h = audio.header_of(bits.to_bytes(4))
