@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic hash of the multiset of a text's paragraphs.
 
 Every non-empty paragraph (line) is hashed to a wide vector, and the vectors are added: 16 lanes modulo 2**64 decide
-equality, whatever the order of paragraphs. Its word pairs are hashed to sparse vectors of 12 x 16 lanes modulo 2**16,
+equality, whatever the order of paragraphs. Its pairs of adjacent words (overlapping) are hashed to sparse vectors of 12 x 16 lanes modulo 2**16,
 pair by pair into the level that its trailing zero bits name (so level k holds about one in 2**(k+1)); lanes that differ
 between two sums tell how many pairs do, at a level where not all lanes differ, and so give a likeness. Sums make
 insertion and deletion of paragraphs an addition or subtraction.
@@ -50,9 +50,8 @@ class Fingerprint:
         pieces: list[int] = []
         for line in lines:
             words = line.split(b" ")
-            pieces += [h64(a + b" " + b) for a, b in zip(words[::WORDS], words[1::WORDS], strict=False)]
-            if len(words) % WORDS:
-                pieces.append(h64(words[-1]))
+            # overlapping, so that a word put in or taken out changes only the pairs around it
+            pieces += [h64(b" ".join(pair)) for pair in zip(*(words[k:] for k in range(WORDS)), strict=False)] or [h64(line)]
         whole = np.array([h64(x, 1) for x in lines], U)
         dense = _mix(whole[:, None] ^ SALTS).sum(0, dtype=U) if lines else np.zeros(LANES, U)
         found = np.array(pieces, U)

@@ -199,6 +199,13 @@ def test_homomorphism_and_likeness():
     assert whole.likeness(of(*lines[:30], *(H.prose(100 + i, 40) for i in range(10)))) > 0.35 > whole.likeness(of(*(H.prose(200 + i, 40) for i in range(40))))
 
 
+def test_likeness_of_a_line_with_one_word_put_in_front():
+    of = fingerprint.Fingerprint.of
+    line = H.prose(5, 1000).encode()
+    assert of(line).likeness(of(b"word " + line)) > 0.9
+    assert of(b"one").pairs == of(b"one two").pairs == 1 and of(b"one two three").pairs == 2
+
+
 # 6 near duplicates
 
 
