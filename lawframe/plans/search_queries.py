@@ -16,7 +16,7 @@ def _points(spark, sf_dir):
 
 SCORE = "round(list_cosine_similarity(p.embedding::double[], q.embedding::double[]), 5)"
 POINTS = "with pts as (select vec_id as record_id, embedding, label, case when label % 2 = 0 then 'qa_768' else 'doc_768' end as collection from embeddings), "
-SCORED = POINTS + f"scored as (select q.record_id as query_id, p.record_id, p.collection, p.label, {SCORE} as similarity_score from pts p, pts q where q.record_id < 20), "
+SCORED = POINTS + f"scored as (select q.record_id as query_id, p.record_id, p.collection, p.label, {SCORE} as similarity_score from pts p, pts q where q.record_id % 20 = 0), "
 
 
 def knn_search(spark, sf_dir):
@@ -33,7 +33,7 @@ from embeddings p, embeddings q where q.vec_id = 0 order by score desc, p.vec_id
 
 def _hits(spark, sf_dir, k):
     points = _points(spark, sf_dir)
-    queries = points.filter("record_id < 20").select(F.col("record_id").alias("query_id"), "embedding")
+    queries = points.filter("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), "embedding")
     return S.knn_join(queries, points, k, "collection")
 
 
@@ -58,7 +58,7 @@ def keyword_knn(spark, sf_dir):
     from lawframe.functions.text import matches_any
 
     kept = points.filter(matches_any(F.col("content"), ["label 3", "LABEL 7"]))
-    queries = points.filter("record_id < 20").select(F.col("record_id").alias("query_id"), "embedding")
+    queries = points.filter("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), "embedding")
     return S.best_per_record(S.knn_join(queries, kept, 10)).select("query_id", "record_id", "similarity_score")
 
 

@@ -18,7 +18,7 @@ def _law(spark, sf_dir):
     i = lambda n: (n + 1).cast("string")
 
     def line(x, n):
-        word = F.concat(F.lit("zz "), F.left(x, F.lit(20)))
+        word = F.concat(F.lit("zz "), x)
         return (
             F.when(n % 11 == 0, F.concat(F.lit("Chương "), i(n), F.lit(". "), word)).when(n % 5 == 1, F.concat(F.lit("Điều "), i(n), F.lit(" - "), word))
             .when(n % 3 == 2, F.concat(i(n), F.lit(") "), word)).when(n % 7 == 3, F.concat(F.lit("d. "), word)).otherwise(word)
@@ -29,7 +29,7 @@ def _law(spark, sf_dir):
 
 LAW = r"""
 with recursive raw as (select doc_id::varchar as doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) - 1 as ord from documents),
-law as (select doc_id, ord, trim('zz ' || left(x, 20)) as word,
+law as (select doc_id, ord, regexp_replace('zz ' || x, '\s+$', '') as word,
   case when ord % 11 = 0 then 'chapter' when ord % 5 = 1 then 'article' when ord % 3 = 2 then 'clause' when ord % 7 = 3 then 'point' end as marker from raw),
 kinds as (select doc_id, list_filter(['chapter', 'article', 'clause', 'point'], lambda m: list_contains(list(marker), m)) as markers from law group by 1),
 lines as (select l.*, list_position(markers, marker)::int as level, case marker when 'chapter' then 'ch' || (ord + 1) when 'article' then 'art' || lpad((ord + 1)::varchar, greatest(3, length((ord + 1)::varchar))::int, '0')

@@ -14,22 +14,22 @@ def _docs(spark, sf_dir, *columns):
 
 
 def sanitize(spark, sf_dir):
-    quoted = F.concat(F.lit("a\\b \"q\" 'r' "), F.left("text", F.lit(40)))
+    quoted = F.concat(F.lit("a\\b \"q\" 'r' "), F.col("text"))
     return _docs(spark, sf_dir, "doc_id", T.sanitize(quoted).alias("clean"))
 
 
 SANITIZE = r"""
-select doc_id, replace(replace(replace('a\b "q" ''r'' ' || left(text, 40), '\', '\\'), '"', '\"'), '''', '\''') as clean from documents
+select doc_id, replace(replace(replace('a\b "q" ''r'' ' || text, '\', '\\'), '"', '\"'), '''', '\''') as clean from documents
 """
 
 
 def tables_removed(spark, sf_dir):
-    text = F.concat(F.left("text", F.lit(50)), F.lit("<table>\nx</table>tail<table>y\n</table>"))
+    text = F.concat(F.col("text"), F.lit("<table>\nx</table>tail<table>y\n</table>"))
     return _docs(spark, sf_dir, "doc_id", T.remove_tables(text).alias("plain"))
 
 
 TABLES_REMOVED = """
-select doc_id, regexp_replace(left(text, 50) || '<table>' || chr(10) || 'x</table>tail<table>y' || chr(10) || '</table>', '<table>.*?</table>', '', 'gs') as plain
+select doc_id, regexp_replace(text || '<table>' || chr(10) || 'x</table>tail<table>y' || chr(10) || '</table>', '<table>.*?</table>', '', 'gs') as plain
 from documents
 """
 
@@ -182,14 +182,14 @@ select doc_id, case when doc_id % 2 = 0 then source || '|b' else 'two|words' end
 
 def tagged(spark, sf_dir):
     title = F.when(F.col("doc_id") % 4 == 0, F.lit("<title>broken")).otherwise(F.concat(F.lit("<title>"), "source", F.lit("</title>")))
-    raw = F.concat(F.lit("<id="), F.col("doc_id").cast("string"), F.lit(">\n"), title, F.lit("\n<published_date>2024-09-22</published_date>\n<categories><C 1><"), "lang", F.lit("></categories>\n<content>\n "), F.left("text", F.lit(30)), F.lit("</content></id=x>"))
+    raw = F.concat(F.lit("<id="), F.col("doc_id").cast("string"), F.lit(">\n"), title, F.lit("\n<published_date>2024-09-22</published_date>\n<categories><C 1><"), "lang", F.lit("></categories>\n<content>\n "), F.col("text"), F.lit("</content></id=x>"))
     r = T.tagged_record(raw)
     return _docs(spark, sf_dir, "doc_id", r["record_id"].alias("record_id"), r["title"].alias("title"), F.array_join(r["categories"], "|").alias("categories"), r["content"].alias("content"))
 
 
 TAGGED = r"""
 select doc_id, case when doc_id % 4 > 0 then doc_id::varchar end as record_id, case when doc_id % 4 > 0 then source end as title,
-  case when doc_id % 4 > 0 then 'C 1|' || lang end as categories, case when doc_id % 4 > 0 then regexp_replace(left(text, 30), '^\s+|\s+$', '', 'g') end as content
+  case when doc_id % 4 > 0 then 'C 1|' || lang end as categories, case when doc_id % 4 > 0 then regexp_replace(text, '^\s+|\s+$', '', 'g') end as content
 from documents
 """
 
@@ -233,7 +233,7 @@ select event_id, ['S', 'BOOL', 'L', 'M', 'N', 'N'][event_id % 6 + 1] as kind,
 
 
 def record_json(spark, sf_dir):
-    made = F.to_json(F.struct(F.col("source").alias("title"), F.left("text", F.lit(20)).alias("content")))
+    made = F.to_json(F.struct(F.col("source").alias("title"), F.col("text").alias("content")))
     back = F.from_json(made, "record_id string, title string, content string, hierarchy_level int, language string, validation_status boolean")
     return _docs(
         spark, sf_dir, "doc_id", back["title"].alias("title"), back["content"].alias("content"), F.coalesce(back["hierarchy_level"], F.lit(1)).alias("hierarchy_level"),
@@ -243,8 +243,8 @@ def record_json(spark, sf_dir):
 
 
 RECORD_JSON = """
-select doc_id, source as title, left(text, 20) as content, 1 as hierarchy_level, 'vi' as language, false as validation_status,
-  'DOC_' || translate(left(base64(unhex(sha256(source || '|' || left(text, 20)))), 10), '+/', '-_') as record_id from documents
+select doc_id, source as title, text as content, 1 as hierarchy_level, 'vi' as language, false as validation_status,
+  'DOC_' || translate(left(base64(unhex(sha256(source || '|' || text))), 10), '+/', '-_') as record_id from documents
 """
 
 
