@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawframe.functions.text import is_upper, remove_tables, strip
+from lawframe.scratch import stored
 
 # Marker patterns by level. Group 1 is the marker, 2 its value, 3 what follows on the line.
 MARKERS = {
@@ -59,21 +60,26 @@ def segments(docs: DataFrame) -> DataFrame:
     return kept.withColumn("doc_number", F.row_number().over(_by("part"))).select("doc_id", "doc_number", "content")
 
 
-def detected(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
-    """(doc_id, markers): kinds of marker on any line outside tables, in hierarchy order."""
+def _markers(order: tuple) -> Column:
+    """Kinds of marker on any line of `text` outside tables, in hierarchy order."""
     lines = F.split(remove_tables(F.col("text")), "\n")
 
     def occurs(pattern: str) -> Column:
         return F.exists(lines, lambda x: x.rlike(pattern))
 
-    found = F.array_compact(F.array(*(F.when(occurs(MARKERS[m]), F.lit(m)) for m in order)))
-    return docs.select("doc_id", found.alias("markers"))
+    return F.array_compact(F.array(*(F.when(occurs(MARKERS[m]), F.lit(m)) for m in order)))
+
+
+def detected(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
+    """(doc_id, markers): kinds of marker on any line outside tables, in hierarchy order."""
+    return docs.select("doc_id", _markers(order).alias("markers"))
 
 
 def marked_lines(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
     """Lines that are not blank with their marker (null for text), its level and parts, and whether a marker line
     without a title has absorbed them as its title."""
-    kinds = docs.join(detected(docs, order).withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).drop("_id")
+    # texts are dealt by document, so none of the windows over its lines shuffles again
+    kinds = docs.select("doc_id", "text").repartition("doc_id").withColumn("markers", _markers(order))
     lines = kinds.select("doc_id", "markers", F.posexplode(F.split("text", "\n")).alias("ord", "line")).withColumn("line", strip(F.col("line"))).filter("line <> ''")
     marker = F.coalesce(*(F.when(F.array_contains("markers", m) & F.col("line").rlike(MARKERS[m]), F.lit(m)) for m in order))
 
@@ -104,7 +110,12 @@ def sections(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
     """
     lines = marked_lines(docs, order).withColumn("section", F.sum(F.col("starts").cast("int")).over(_by())).filter("section > 0")
     text = F.when(~F.col("starts") & ~F.col("absorbed"), F.col("line"))
-    bodies = lines.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("ord", text.alias("text")))), lambda r: r["text"].isNotNull()), lambda r: r["text"]), "\n").alias("body"))
+    # each section has one line that starts it; the others are its body
+    fields = ("marker", "value", "level", "ord", "header", "title", "line")
+    rows = lines.groupBy("doc_id", "section").agg(
+        F.first(F.when(F.col("starts"), F.struct(*fields)), True).alias("head"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(text.isNotNull(), F.struct("ord", text.alias("text"))))), lambda r: r["text"]), "\n").alias("body"),
+    ).select("doc_id", "section", "head.*", "body")
     value = F.col("value")
     part = (
         F.when(F.col("marker") == "part", F.concat(F.lit("p"), value)).when(F.col("marker") == "chapter", F.concat(F.lit("ch"), value))
@@ -112,7 +123,7 @@ def sections(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
         .when(F.col("marker") == "clause", F.concat(F.lit("cl_"), F.lpad(value, F.greatest(F.lit(2), F.length(value)), F.lit("0"))))
         .otherwise(F.concat(F.lit("pt_"), value))
     )
-    heads = lines.filter("starts").withColumn("part", part)
+    heads = rows.withColumn("part", part)
     w = _before()
     for level in range(1, len(order)):
         last = F.last(F.when(F.col("level") == level, F.struct("ord", "part")), True).over(w)
@@ -120,7 +131,7 @@ def sections(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
         heads = heads.withColumn(f"a{level}", F.when((F.col("level") > level) & (last["ord"] > F.coalesce(lower, F.lit(-1))), last["part"]))
     above = F.concat_ws("_", F.col("doc_id").cast("string"), *(f"a{level}" for level in range(1, len(order))))
     made = heads.withColumn("parent_id", above).withColumn("section_id", F.concat_ws("_", above, "part"))
-    return made.join(bodies, ["doc_id", "section"]).select(
+    return made.select(
         "doc_id", "section_id", "parent_id", "marker", F.col("value").alias("marker_value"), "level", "ord", "header", "title",
         F.when((F.col("title") == "") & (F.col("body") == ""), F.col("line")).otherwise(F.col("body")).alias("content"),
     )
@@ -132,23 +143,48 @@ def promoted(found: DataFrame) -> DataFrame:
 
 
 def cleaned(found: DataFrame, depth: int = 4) -> DataFrame:
-    """Parents' contents without their direct children's contents and titles, deepest level first."""
-    rows = found
+    """Parents' contents without their direct children's contents and titles, deepest level first.
+
+    Each level is written once, so that plans don't grow with the depth.
+    """
+    found = stored(found, "sections")
+    done = stored(found.filter(F.coalesce(F.col("level") >= depth, F.lit(True))), "level")
+    taken = lambda acc, x: strip(F.when(x == "", acc).otherwise(F.replace(acc, x, F.lit(""))))
     for level in range(depth - 1, 0, -1):
-        children = rows.groupBy("doc_id", F.col("parent_id").alias("_parent")).agg(F.array_sort(F.collect_list(F.struct("ord", "content", "title"))).alias("_children"))
-        taken = lambda acc, x: strip(F.when(x == "", acc).otherwise(F.replace(acc, x, F.lit(""))))
+        children = done.groupBy(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent")).agg(F.array_sort(F.collect_list(F.struct("ord", "content", "title"))).alias("_children"))
         less = F.aggregate("_children", F.col("content"), lambda acc, c: taken(taken(acc, c["content"]), c["title"]))
-        joined = rows.join(children.withColumnRenamed("doc_id", "_doc"), (F.col("doc_id") == F.col("_doc")) & (F.col("section_id") == F.col("_parent")), "left")
-        rows = joined.withColumn("content", F.when((F.col("level") == level) & F.col("_children").isNotNull(), less).otherwise(F.col("content"))).drop("_doc", "_parent", "_children")
-    return rows
+        joined = found.filter(F.col("level") == level).join(children, (F.col("doc_id") == F.col("_doc")) & (F.col("section_id") == F.col("_parent")), "left")
+        rows = joined.withColumn("content", F.when(F.col("_children").isNotNull(), less).otherwise(F.col("content"))).drop("_doc", "_parent", "_children")
+        done = done.unionByName(stored(rows, "level"))
+    return done
+
+
+def _cuts(section_id: Column) -> Column:
+    """The places of '_' in an id."""
+    return F.filter(F.sequence(F.lit(1), F.length(section_id)), lambda i: F.substr(section_id, i, F.lit(1)) == "_")
 
 
 def find_section(found: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For (doc_id, wanted) the section of that id, else the first whose id ends in '_' and the wanted marker."""
-    joined = wanted.join(found, "doc_id")
-    exact, suffix = F.col("section_id") == F.col("wanted"), F.endswith("section_id", F.concat(F.lit("_"), F.col("wanted")))
-    ranked = joined.filter(exact | suffix).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "wanted").orderBy((~exact).cast("int"), "ord")))
-    return ranked.filter("_n = 1").drop("_n")
+    """For (doc_id, wanted) the section of that id, else the first whose id ends in '_' and the wanted marker.
+
+    Ids and what follows each of their '_' are the join key, so sections meet the wanted ids alone that they answer.
+    """
+    key = F.col("section_id")
+    names = F.concat(F.array(key), F.transform(_cuts(key), lambda i: F.substr(key, i + 1)))
+    named = found.withColumn("wanted", F.explode(F.array_distinct(names)))
+    order = Window.partitionBy("doc_id", "wanted").orderBy((F.col("section_id") != F.col("wanted")).cast("int"), "ord")
+    return wanted.join(named, ["doc_id", "wanted"]).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def full_headers(found: DataFrame) -> DataFrame:
+    """(doc_id, section_id, reference): a section's header and those of all sections whose ids its own goes on from,
+    the nearest first. The cut ids are the join key."""
+    key = F.col("section_id")
+    above = found.select("doc_id", "section_id", "header", F.explode_outer(F.transform(_cuts(key), lambda i: F.substr(key, F.lit(1), i - 1))).alias("_up"))
+    up = found.select(F.col("doc_id").alias("_doc"), F.col("section_id").alias("_id"), F.col("header").alias("_header"))
+    joined = above.join(up, (F.col("doc_id") == F.col("_doc")) & (F.col("_up") == F.col("_id")), "left")
+    listed = F.sort_array(F.collect_list(F.when(F.col("_id").isNotNull(), F.struct(F.length("_id").alias("n"), "_header"))), False)
+    return joined.groupBy("doc_id", "section_id").agg(F.concat_ws(", ", F.first("header"), F.transform(listed, lambda r: r["_header"])).alias("reference"))
 
 
 def reconstructed(found: DataFrame, full: bool = False, compact: bool = False) -> DataFrame:
@@ -169,8 +205,8 @@ def reconstructed(found: DataFrame, full: bool = False, compact: bool = False) -
     return joined.withColumn("text", strip(F.col("text"))) if compact else joined
 
 
-def forms(appendices: DataFrame) -> DataFrame:
-    """(doc_id, form_id, first, last): spans of lines of the forms in appendices (doc_id, text); `last` is exclusive."""
+def scored_forms(appendices: DataFrame) -> DataFrame:
+    """(doc_id, ord, line, begins): lines, and whether a form begins there."""
     lines, w = exploded(appendices), _by()
     line, before, after = F.col("line"), F.lag("line").over(w), F.lead("line").over(w)
     table = lambda x: x.contains("<table>") | x.contains("</table>")
@@ -180,8 +216,13 @@ def forms(appendices: DataFrame) -> DataFrame:
         (table(before), 10), (table(after), 10), (_squeezed(after).contains("cộnghòaxãhội"), 10),
     )
     points = sum((F.when(F.coalesce(rule, F.lit(False)), n).otherwise(0) for rule, n in rules), F.lit(0))
-    scored = lines.withColumn("points", points).withColumn("lines", F.count("*").over(Window.partitionBy("doc_id")))
-    starts = scored.filter("points >= 50")
+    return lines.withColumn("begins", points >= 50)
+
+
+def forms(appendices: DataFrame) -> DataFrame:
+    """(doc_id, form_id, first, last): spans of lines of the forms in appendices (doc_id, text); `last` is exclusive."""
+    w, scored = _by(), scored_forms(appendices).withColumn("lines", F.count("*").over(Window.partitionBy("doc_id")))
+    starts = scored.filter("begins")
     return starts.select(
         "doc_id",
         F.format_string("form_%02d", F.row_number().over(w)).alias("form_id"),
@@ -192,8 +233,12 @@ def forms(appendices: DataFrame) -> DataFrame:
 
 
 def appendix_sections(appendices: DataFrame) -> DataFrame:
-    """(doc_id, section, content): each form, and what no form covers as one section 'Appendix Content'."""
-    lines, spans = exploded(appendices), forms(appendices).select("doc_id", "form_id", "first", "last")
-    inside = lines.join(spans, "doc_id", "left").groupBy("doc_id", "ord", "line").agg(F.max(F.when((F.col("ord") >= F.col("first")) & (F.col("ord") < F.col("last")), F.col("form_id"))).alias("form_id"))
-    rows = inside.groupBy("doc_id", F.coalesce("form_id", F.lit("Appendix Content")).alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda r: r["line"]), "\n").alias("content"))
+    """(doc_id, section, content): each form, and what no form covers as one section 'Appendix Content'.
+
+    A form reaches to the next one or the end, so a line's form is the count of those that have begun.
+    """
+    begun = F.sum(F.col("begins").cast("int")).over(_by())
+    lines = scored_forms(appendices).withColumn("form", begun)
+    section = F.when(F.col("form") > 0, F.format_string("form_%02d", F.col("form"))).otherwise("Appendix Content")
+    rows = lines.groupBy("doc_id", section.alias("section")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda r: r["line"]), "\n").alias("content"))
     return rows.filter(strip(F.col("content")) != "")

@@ -61,27 +61,26 @@ select lang as category, id as document_id, 'Name of ' || doc_id as document_nam
 def file_order(spark, sf_dir):
     n = F.col("doc_id")
     names = _table(spark, sf_dir, "documents").select(F.when(n % 3 == 0, F.concat("source", F.lit("_x.png"))).otherwise(F.concat(F.lit("p"), n % 50, F.lit(".png"))).alias("name")).distinct()
-    suffix = F.regexp_extract("name", r"(\d+)(?:\.[^.]*)?$", 1).try_cast("int")
-    ranked = names.withColumn("position", F.row_number().over(Window.orderBy(suffix.asc_nulls_last(), "name")).cast("bigint"))
-    return ranked.filter("position <= 100")
+    return files.by_numeric_suffix(names)
 
 
 FILE_ORDER = """
 with n as (select distinct case when doc_id % 3 = 0 then source || '_x.png' else 'p' || (doc_id % 50) || '.png' end as name from documents),
 s as (select name, try_cast(regexp_extract(name, '(\\d+)(\\.[^.]*)?$', 1) as int) as k from n)
-select name, position from (select name, row_number() over (order by k nulls last, name) as position from s) where position <= 100
+select name, position from (select name, row_number() over (order by k nulls last, name) as position from s)
 """.replace("\\\\", "\\")
 
 
 def upload_counts(spark, sf_dir):
+    """Two thirds of the points are new; of the stored third every second one is offered again."""
     e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), "embedding")
-    stored, new = e.filter("record_id % 3 = 0"), e.filter("record_id % 2 = 0")
+    stored, new = e.filter("record_id % 3 = 0"), e.filter("record_id % 3 > 0 or record_id % 2 = 0")
     fresh = K.delete(new, stored, "record_id")
     return K.upload_counts(new, stored, S.without_near_duplicates(fresh, stored, 0.3))
 
 
 UPLOAD_COUNTS = """
-with n as (select vec_id, embedding::double[] as e from embeddings where vec_id % 2 = 0), s as (select vec_id, embedding::double[] as e from embeddings where vec_id % 3 = 0),
+with n as (select vec_id, embedding::double[] as e from embeddings where vec_id % 3 > 0 or vec_id % 2 = 0), s as (select vec_id, embedding::double[] as e from embeddings where vec_id % 3 = 0),
 f as (select n.vec_id, max(round(list_cosine_similarity(n.e, s.e), 5)) as best from n, s where n.vec_id % 3 > 0 group by 1)
 select (select count(*) from n) as total, (select count(*) from n where vec_id % 3 = 0) as known, (select count(*) from f where best >= 0.3) as near_duplicate, (select count(*) from f where best < 0.3) as uploaded
 """
@@ -96,15 +95,17 @@ REPAIRED = "select conv_id as doc_id, md5(string_agg(trim(text), chr(10) || chr(
 
 
 def audit(spark, sf_dir):
-    q = _table(spark, sf_dir, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("query_id"), F.lit("q").alias("query_text"), F.lit("a").alias("response_text"))
-    hits = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("query_id"), F.col("doc_id").alias("rank"), F.col("doc_id").alias("record_id"), F.lit(None).cast("string").alias("document_id"), F.col("lang").alias("title"), F.lit("s").alias("source"), F.lit("c").alias("chunk_id"))
-    shown = lambda h: F.concat_ws("|", h["record_id"], h["document_id"], h["title"])
+    """Every document whose number is divisible by 20 is a question; its hits are the documents up to the next one."""
+    docs, n = _table(spark, sf_dir, "documents"), F.col("doc_id")
+    q = docs.filter("doc_id % 20 = 0").select(n.alias("query_id"), F.col("text").alias("query_text"), F.col("source").alias("response_text"))
+    hits = docs.select((n - n % 20).alias("query_id"), n.alias("rank"), n.alias("record_id"), F.lit(None).cast("string").alias("document_id"), F.col("lang").alias("title"), F.col("source"), F.lit("c").alias("chunk_id"))
+    shown = lambda h: F.concat_ws("|", h["record_id"], h["document_id"], h["title"], h["source"])
     return K.audit_rows(q, hits).select("query_id", "query_text", F.md5(F.array_join(F.transform("hits", shown), ";")).alias("hits_md5"))
 
 
 AUDIT = """
-with h as (select doc_id % 20 as query_id, string_agg(doc_id || '|N/A|' || lang, ';' order by doc_id) as hits from documents group by 1)
-select item_id as query_id, 'q' as query_text, md5(hits) as hits_md5 from benchmark left join h on query_id = item_id where item_id < 20
+with h as (select doc_id - doc_id % 20 as query_id, string_agg(doc_id || '|N/A|' || lang || '|' || source, ';' order by doc_id) as hits from documents group by 1)
+select doc_id as query_id, text as query_text, md5(hits) as hits_md5 from documents left join h on query_id = doc_id where doc_id % 20 = 0
 """
 
 
@@ -117,12 +118,15 @@ NULL_FREE = "select item_id as query_id, case when item_id % 2 = 0 then length(t
 
 
 def budget(spark, sf_dir):
-    chunks = _table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("doc_id"), F.col("doc_id").cast("int").alias("ord"), F.col("text").alias("content"))
+    """The lines of each document that are not blank, as the chunks that a model repairs under its limits."""
+    docs = _table(spark, sf_dir, "documents")
+    chunks = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "content")).filter("trim(content) <> ''")
     return ingest.repaired_budget(chunks).select("doc_id", "ord", "tokens", "window")
 
 
 BUDGET = r"""
-with recursive c as (select doc_id % 10 as doc_id, doc_id::int as ord, row_number() over (partition by doc_id % 10 order by doc_id) as n, trunc(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) * 1.3)::int + 2048 as tokens from documents),
+with recursive l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as ord, unnest(string_split(text, chr(10))) as content from documents),
+c as (select doc_id, ord::int as ord, row_number() over (partition by doc_id order by ord) as n, trunc(len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) * 1.3)::int + 2048 as tokens from l where trim(content) <> ''),
 f as (select doc_id, n, ord, tokens, tokens as used, 1 as requests, 0 as w from c where n = 1
   union all select c.doc_id, c.n, c.ord, c.tokens, case when requests >= 30 or used + c.tokens > 20000 then c.tokens else used + c.tokens end, case when requests >= 30 or used + c.tokens > 20000 then 1 else requests + 1 end, w + (requests >= 30 or used + c.tokens > 20000)::int
   from f join c on c.doc_id = f.doc_id and c.n = f.n + 1)
@@ -141,10 +145,12 @@ select doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) as text_md5 from
 
 def full_references(spark, sf_dir):
     """Section rows with the headers of all ancestors behind their own."""
-    found = H.sections(_law(spark, sf_dir))
-    up = found.select(F.col("doc_id").alias("_d"), F.col("section_id").alias("_s"), F.col("header").alias("_h"))
-    joined = found.join(up, (F.col("doc_id") == F.col("_d")) & F.startswith("section_id", F.concat("_s", F.lit("_"))), "left")
-    return joined.groupBy("doc_id", "section_id").agg(F.concat_ws(", ", F.first("header"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct(F.length("_s").alias("n"), "_h"))), False), lambda r: r["_h"]), ", ")).alias("reference")).filter("reference <> ''").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("reference")).alias("longest"))
+    found = H.full_headers(H.sections(_law(spark, sf_dir)))
+    return found.select("doc_id", "section_id", "reference")
+
+
+FULL_REFERENCES = LAW + """, up as (select s.doc_id, s.section_id, string_agg(a.header, ', ' order by length(a.section_id) desc) as above from sections s join sections a on a.doc_id = s.doc_id and starts_with(s.section_id, a.section_id || '_') group by 1, 2)
+select s.doc_id, s.section_id, any_value(s.header) || coalesce(', ' || any_value(above), '') as reference from sections s left join up using (doc_id, section_id) group by 1, 2"""
 
 
 def enums(spark, sf_dir):
@@ -194,6 +200,6 @@ select day, user_id, tokens, rank from r where rank <= 3
 QUERIES = {
     "K7_raw_point": (raw_point, RAW_POINT), "K8_scroll_filter": (scroll, SCROLL), "K9_point_lookup": (point_lookup, POINT_LOOKUP), "P5_folder_catalog": (folder, FOLDER),
     "P6_file_order": (file_order, FILE_ORDER), "K10_upload_counts": (upload_counts, UPLOAD_COUNTS), "K11_repaired_text": (repaired, REPAIRED), "K12_audit_log": (audit, AUDIT),
-    "K13_null_free": (null_free, NULL_FREE), "P7_repair_budget": (budget, BUDGET), "S8_reconstruct_compact": (compact, COMPACT), "S9_full_references": (full_references, None),
+    "K13_null_free": (null_free, NULL_FREE), "P7_repair_budget": (budget, BUDGET), "S8_reconstruct_compact": (compact, COMPACT), "S9_full_references": (full_references, FULL_REFERENCES),
     "T19_enum_predicates": (enums, ENUMS), "T20_page_tables": (flat_pages, FLAT_PAGES), "U8_session_windows": (sessions, SESSIONS), "U9_daily_top_users": (monthly_top, MONTHLY_TOP),
 }

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawframe.scratch import numbered
+
 TYPES = {"txt": "txt", "pdf": "pdf", "docx": "docx", "html": "html", "htm": "html", "csv": "csv", "xlsx": "xlsx", "xls": "xls", "json": "json", "jsonl": "jsonl"}
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -195,6 +197,6 @@ def folder_catalog(paths: DataFrame, base: str) -> DataFrame:
 
 
 def by_numeric_suffix(files: DataFrame, name: str = "name") -> DataFrame:
-    """Files ordered by the number at the end of their stem, those without one last."""
+    """Files with their `position` by the number at the end of their stem, those without one last, then by name."""
     suffix = F.regexp_extract(name, r"(\d+)(?:\.[^.]*)?$", 1).try_cast("int")
-    return files.orderBy(suffix.asc_nulls_last(), name)
+    return numbered(files, suffix.asc_nulls_last(), F.col(name))

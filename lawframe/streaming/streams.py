@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawframe.scratch import scratch_path
+
 MESSAGE = "query_id string, query_text string, llm_provider string, timestamp bigint"
 
 
@@ -16,7 +18,7 @@ def messages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def deduplicated(stream: DataFrame, key: str = "query_id", at: str = "ts", late: str = "1 hour") -> DataFrame:
-    """First delivery of each key within the watermark."""
+    """First delivery of each key within the watermark: `late` is how far apart deliveries may be, and bounds the state."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
@@ -37,11 +39,22 @@ def arriving_texts(spark: SparkSession, folder: str, glob: str = "*.txt", per_tr
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """What is there now, run through `stream` into a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def available(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What is there now, run through `stream` into the shared folder: appended rows by the file sink, a complete
+    result by one folder a micro-batch, of which the last counts."""
+    spark, at = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
+    rows, writer = f"{at}/rows", stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", rows).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(rows)
+    done: list[int] = []
+
+    def put(frame: DataFrame, number: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{rows}/{number}")
+        done.append(number)
+
+    writer.foreachBatch(put).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{rows}/{max(done)}") if done else spark.createDataFrame([], stream.schema)
 
 
 def batches(stream: DataFrame, handle, checkpoint: str) -> None:
