@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables that broadcast themselves have at most this many rows of a few short columns.
-BROADCAST_ROWS = 1_000_000
+#: Tables that broadcast themselves have at most so many bytes, a row counting for ROW besides its columns.
+BROADCAST_BYTES, ROW = 64 << 20, 16
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -32,9 +32,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows; otherwise as it is, so the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it holds at most `most` bytes (ROW a row besides); otherwise as it is, so the join
+    shuffles. What is counted ends where the bound is passed."""
+    fixed = ROW + 8 * len(df.columns)
+    long = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() not in ("string", "binary") else F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]
+    rows = most // fixed
+    size = df.limit(rows + 1).select((F.lit(fixed) + sum(long, F.lit(0))).cast("bigint").alias("bytes")).agg(F.count("*"), F.sum("bytes")).first()
+    return F.broadcast(df) if size[0] <= rows and (size[1] or 0) <= most else df
 
 
 def numbered(df: DataFrame, *order, name: str = "position") -> DataFrame:
