@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Tables that broadcast themselves have at most so many bytes, a row counting for ROW besides its columns.
 BROADCAST_BYTES, ROW = 64 << 20, 16
+#: Bytes of a row group, which a writing task holds in memory.
+ROW_GROUP = 16 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,7 +30,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back: lineage ends here, lost executors lose nothing."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
