@@ -73,3 +73,45 @@ def breakpoint_chunks(clauses: DataFrame, percentile: float = 0.95) -> DataFrame
     far = clauses.withColumn("far", 1 - cosine(F.col("embedding"), F.lag("embedding").over(w)))
     limit = far.withColumn("limit", F.percentile("far", F.lit(percentile)).over(Window.partitionBy("doc_id")))
     return limit.select("doc_id", "ord", F.sum(F.coalesce((F.col("far") > F.col("limit")).cast("int"), F.lit(0))).over(w).alias("chunk"))
+
+
+def double_merged(clauses: DataFrame, initial: float = 0.4, merging: float = 0.5, most_chars: int = 5000) -> DataFrame:
+    """(doc_id, ord, chunk): runs of clauses each similar enough to the one before, then neighbouring runs joined whose
+    mean vectors are similar enough, while a chunk's characters fit."""
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    near = cosine(F.col("embedding"), F.lag("embedding").over(w))
+    runs = clauses.withColumn("_cut", (F.coalesce(near, F.lit(1.0)) < initial).cast("int")).withColumn("_run", F.sum("_cut").over(w))
+    at = runs.select("doc_id", "_run", "content", F.posexplode("embedding").alias("i", "x")).groupBy("doc_id", "_run", "i").agg(F.avg("x").alias("x"))
+    vectors = at.groupBy("doc_id", "_run").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]).alias("v"))
+    sizes = runs.groupBy("doc_id", "_run").agg(F.sum(F.length("content")).alias("size"))
+    by = Window.partitionBy("doc_id").orderBy("_run")
+    listed = vectors.join(sizes, ["doc_id", "_run"]).withColumn("near", F.coalesce(cosine(F.col("v"), F.lag("v").over(by)), F.lit(0.0)))
+    folded = listed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("_run", "size", "near"))).alias("runs"))
+    start = F.struct(F.lit(-1).alias("chunk"), F.lit(0).cast("bigint").alias("size"), F.array().cast("array<int>").alias("chunks"))
+
+    def step(s: Column, r: Column) -> Column:
+        opens = (s["chunk"] < 0) | (r["near"] < merging) | (s["size"] + r["size"] > most_chars)
+        chunk = F.when(opens, s["chunk"] + 1).otherwise(s["chunk"])
+        return F.struct(chunk.alias("chunk"), F.when(opens, r["size"]).otherwise(s["size"] + r["size"]).alias("size"), F.array_append(s["chunks"], chunk).alias("chunks"))
+
+    numbered = folded.withColumn("chunks", F.aggregate("runs", start, step, lambda s: s["chunks"])).select("doc_id", F.explode(F.arrays_zip("runs", "chunks")).alias("z"))
+    return runs.join(numbered.select("doc_id", F.col("z.runs._run").alias("_run"), F.col("z.chunks").alias("chunk")), ["doc_id", "_run"]).select("doc_id", "ord", "chunk")
+
+
+def topics(clauses: DataFrame, window: int = 3, least: float = 0.8) -> DataFrame:
+    """(doc_id, ord, chunk): a clause stays with the topic while it is similar enough to one of the `window` before it."""
+    w = Window.partitionBy("doc_id").orderBy("ord")
+    near = F.greatest(F.lit(-1.0), *(F.coalesce(cosine(F.col("embedding"), F.lag("embedding", i).over(w)), F.lit(-1.0)) for i in range(1, window + 1)))
+    scored = clauses.withColumn("_new", (near < least).cast("int"))
+    return scored.select("doc_id", "ord", (F.sum("_new").over(w) - F.first("_new").over(w)).cast("bigint").alias("chunk"))
+
+
+#: Splitters by name, over clauses (doc_id, ord, content, embedding); sentences go by `token_windows`.
+SPLITTERS = {"semantic_chunking": breakpoint_chunks, "semantic_double_merge_chunking": double_merged, "topic_node_parser": topics}
+
+
+def split_by(clauses: DataFrame, method: str) -> DataFrame:
+    try:
+        return SPLITTERS[method](clauses)
+    except KeyError:
+        raise ValueError(f"unknown method {method}") from None

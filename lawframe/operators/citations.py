@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lawframe.functions.text import CITATION, KINDS, issue_year, strip
 from lawframe.operators.tfidf import STOP_WORDS, pair_similarity
+from lawframe.scratch import stored
 
 # Issuing bodies and their abbreviations.
 ISSUERS = {
@@ -155,7 +156,9 @@ def _agreeing(mentioned: DataFrame, catalog: DataFrame, properties: tuple) -> Da
 
 def weighted_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cutoff: float = 0.75) -> DataFrame:
     """(id, mention, document_id, full_name, score, rank). Where the present properties weigh at least 0.7 and rows agree
-    in all of them, the latest of these; else the candidates of that kind, number and issuer by TF-IDF."""
+    in all of them, the latest of these; else the candidates of that kind, number and issuer by TF-IDF. Mentions are
+    written once: each pattern of properties reads them."""
+    mentioned = stored(mentioned, "mentions")
     weight = sum((F.when(F.col(p) != "", w).otherwise(0.0) for p, w in PROPERTY_WEIGHTS.items()), F.lit(0.0))
     scored = mentioned.withColumn("confidence", F.round(weight, 6))
     sure = _agreeing(scored.filter(F.col("confidence") >= CONFIDENT), catalog, ("document_number", "issue_year", "issuer_body"))
@@ -173,6 +176,7 @@ def weighted_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cut
 def dynamic_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cutoff: float = 0.5) -> DataFrame:
     """(id, mention, document_id, score, rank): present properties weigh by reliability, made to sum to one; rows must
     agree in all; extra words add their weight times the TF-IDF similarity of the two texts."""
+    mentioned = stored(mentioned, "mentions")
     total = sum((F.when(F.col(p) != "", w).otherwise(0.0) for p, w in RELIABILITY.items()), F.lit(0.0))
     share = lambda p: F.when(F.col(p) != "", RELIABILITY[p]).otherwise(0.0) / F.nullif(F.col("total"), F.lit(0.0))
     rows = _agreeing(mentioned.withColumn("total", total), catalog, ("document_number", "issue_year", "issuer_body"))
@@ -195,3 +199,15 @@ def link_documents(records: DataFrame, catalog: DataFrame) -> DataFrame:
     best = best_match(cited, catalog).select(F.col("id").alias("record_id"), F.col("document_id").alias("_id"), F.col("filename").alias("_file"))
     joined = records.join(best, "record_id", "left")
     return joined.withColumn("document_id", F.coalesce("_id", "document_id")).withColumn("source", F.coalesce("_file", "source")).drop("_id", "_file")
+
+
+def search(questions: DataFrame, catalog: DataFrame, top_n: int = 2, cutoff: float = 0.75) -> DataFrame:
+    """(id, mention, document_id, full_name, score, rank) of questions (id, text): every citation in a question with the
+    documents that it may stand for."""
+    found = questions.select("id", F.explode(structured_mentions(F.col("text"))).alias("m")).select("id", "m.*")
+    return weighted_match(found, catalog, top_n, cutoff)
+
+
+def is_statute(full_name: Column) -> Column:
+    """Whether a document's name opens with a kind of statute."""
+    return F.coalesce(full_name.rlike("(?iU)^(" + "|".join(STATUTES) + ")"), F.lit(False))

@@ -9,17 +9,41 @@ from lawframe.functions import text as T
 
 
 def section_records(found: DataFrame, appendix_level: int = 5) -> DataFrame:
-    """One record a section. A missing title or content is the parent's; a title without any is the content."""
-    parents = found.select(F.col("doc_id").alias("_doc"), F.col("section_id").alias("_id"), F.col("title").alias("_title"), F.col("content").alias("_content"))
+    """One record a section.
+
+    Chapters and articles without a title have their content as one, and keep their own content. Clauses and points
+    inherit what they lack, a clause its article's title and content, a point its clause's as that came to be. A section
+    with others below it is named by its title alone, hashed twice.
+    """
+    above = found.select(F.col("doc_id").alias("_doc"), F.col("ord").alias("_ord"), F.struct("marker", "title", "content").alias("_up"), F.col("parent_ord").alias("_next"))
+    rows = found
+    for i, key in ((1, "parent_ord"), (2, "_next1")):
+        rows = rows.join(above.withColumnsRenamed({"_up": f"_up{i}", "_next": f"_next{i}"}), (F.col("doc_id") == F.col("_doc")) & (F.col(key) == F.col("_ord")), "left").drop("_doc", "_ord")
+    below = found.filter("parent_ord is not null").select(F.col("doc_id").alias("_doc"), F.col("parent_ord").alias("_ord")).distinct().withColumn("_has", F.lit(True))
+    rows = rows.join(below, (F.col("doc_id") == F.col("_doc")) & (F.col("ord") == F.col("_ord")), "left")
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
-    rows = found.join(parents, (F.col("doc_id") == F.col("_doc")) & (F.col("parent_id") == F.col("_id")), "left")
-    filled = rows.withColumn("_t", F.coalesce(blank("title"), blank("_title"), F.col("content"))).withColumn("content", F.coalesce(blank("content"), F.col("_content"), F.lit(""))).withColumn("title", F.col("_t"))
+    inherits = lambda c: F.col(c).isin("clause", "point")
+    higher = lambda c: F.when(inherits("_up1.marker"), blank(f"_up2.{c}"))
+    named = F.coalesce(blank("_up1.title"), higher("title"), F.when(inherits("_up1.marker"), blank("_up2.content")).otherwise(blank("_up1.content")))
+    title = F.coalesce(blank("title"), F.when(inherits("marker") & F.col("_up1").isNotNull(), named).otherwise(blank("content")), F.lit(""))
+    content = F.coalesce(blank("content"), F.when(inherits("marker"), F.coalesce(blank("_up1.content"), higher("content"))), F.lit(""))
+    filled = rows.withColumn("_t", title).withColumn("content", content).withColumn("title", F.col("_t"))
     return filled.select(
-        T.unique_id(F.col("title"), F.col("content"), "DOC").alias("record_id"), F.col("doc_id").alias("document_id"), "title", "content", F.col("section_id").alias("chunk_id"),
+        T.unique_id(F.col("title"), F.when(F.col("_has") & ~inherits("marker"), F.col("title")).otherwise(F.col("content")), "DOC").alias("record_id"),
+        F.col("doc_id").alias("document_id"), "title", "content", F.col("section_id").alias("chunk_id"),
         T.hierarchy_level(F.col("marker"), F.lit(0), appendix_level).cast("int").alias("hierarchy_level"), F.lit("vi").alias("language"), F.lit(False).alias("validation_status"), F.lit("").alias("summary"),
     )
 
 
+def appendix_records(appendices: DataFrame) -> DataFrame:
+    """Appendices (document_id, appendix_id, doc_name, content) as records of the first level, named by their ids."""
+    name = F.trim("doc_name")
+    return appendices.select(
+        T.unique_id(F.col("appendix_id"), name, "APPENDIX").alias("record_id"), "document_id", name.alias("title"), F.trim("content").alias("content"), F.col("appendix_id").alias("chunk_id"),
+        F.lit(1).alias("hierarchy_level"), F.lit("vi").alias("language"), F.lit(False).alias("validation_status"), F.lit("").alias("summary"),
+    )
+
+
 def qa_records(pairs: DataFrame) -> DataFrame:
     """(question, answer, metadata JSON or null) to records; categories join the metadata's, 'QA' without any."""
     extra = F.from_json(F.coalesce("metadata", F.lit("{}")), "categories ARRAY<STRING>, relationships ARRAY<STRING>, published_date STRING, source STRING, language STRING, summary STRING")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawframe.functions.text import cache_key
@@ -73,3 +73,26 @@ def audit_rows(queries: DataFrame, hits: DataFrame) -> DataFrame:
     shown = F.struct("rank", *(F.coalesce(F.col(c).cast("string"), F.lit("N/A")).alias(c) for c in fields))
     listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(shown)).alias("hits"))
     return queries.join(listed, "query_id", "left")
+
+
+def cleared(cache: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """The cache without some keys, or empty."""
+    return cache.limit(0) if keys is None else delete(cache, keys, "cache_key")
+
+
+def log_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(developer, raw) rows of a log (level, message, log_type): raw ones apart, everything else for developers."""
+    raw = F.coalesce(F.col("log_type") == "raw", F.lit(False))
+    return rows.filter(~raw), rows.filter(raw).select("message")
+
+
+# Who may read and moderate, and the tiers there are.
+MODERATORS, TIERS = ("ADMIN", "MODERATOR"), ("UNLIMITED", "PAY_AS_YOU_GO", "PREPAID_BASIC", "PREPAID_PRO", "PREPAID_ENTERPRISE")
+
+
+def may_moderate(role: Column) -> Column:
+    return F.coalesce(role.isin(*MODERATORS), F.lit(False))
+
+
+def known_tier(tier: Column, tiers: tuple = TIERS) -> Column:
+    return F.coalesce(tier.isin(*tiers), F.lit(False))

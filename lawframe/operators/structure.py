@@ -14,13 +14,17 @@ from lawframe.scratch import stored
 
 # Marker patterns by level. Group 1 is the marker, 2 its value, 3 what follows on the line.
 MARKERS = {
-    "part": r"(?iU)^\s*(Phần\s+([IVXLCDM]+))(?:\s*[-.]?\s*(.*))?$",
+    "roman_chapter": r"(?iU)^\s*(([IVXLCDM]{2,}|[IVXLCDM]\b))\s*[-.]?\s*(.+)$",
     "chapter": r"(?iU)^\s*(Chương\s+(\w+))(?:\s*[-.]?\s*(.*))?$",
     "article": r"(?iU)^\s*(Điều\s+(\d+))(?:\s*[-.]?\s*(.*))?$",
     "clause": r"^\s*((\d+))\s*[-.)]?(?:\s+(.+))?$",
     "point": r"(?U)^\s*(([^\W\d_]))\s*[-.)]?(?:\s+(.+))?$",
 }
 ORDER = ("chapter", "article", "clause", "point")
+#: With parts that a Roman numeral alone marks; any letter of one counts, so points may open parts.
+ROMAN_ORDER = ("chapter", "roman_chapter", "article", "clause", "point")
+# How the variant names the headers of its sections.
+NAMES = {"chapter": "Chương", "roman_chapter": "Phần", "article": "Điều", "clause": "Khoản", "point": "Điểm"}
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -61,13 +65,22 @@ def segments(docs: DataFrame) -> DataFrame:
 
 
 def _markers(order: tuple) -> Column:
-    """Kinds of marker on any line of `text` outside tables, in hierarchy order."""
+    """Kinds of marker on the lines of `text` outside tables, in hierarchy order. A line tells of one kind at most: the
+    first that it fits and no line before it has told of."""
     lines = F.split(remove_tables(F.col("text")), "\n")
+    if "roman_chapter" not in order:  # no line fits two kinds, so lines need no order
 
-    def occurs(pattern: str) -> Column:
-        return F.exists(lines, lambda x: x.rlike(pattern))
+        def occurs(pattern: str) -> Column:
+            return F.exists(lines, lambda x: x.rlike(pattern))
 
-    return F.array_compact(F.array(*(F.when(occurs(MARKERS[m]), F.lit(m)) for m in order)))
+        return F.array_compact(F.array(*(F.when(occurs(MARKERS[m]), F.lit(m)) for m in order)))
+
+    def step(seen: Column, x: Column) -> Column:
+        first = F.coalesce(*(F.when(~F.array_contains(seen, m) & x.rlike(MARKERS[m]), F.lit(m)) for m in order))
+        return F.when(first.isNull(), seen).otherwise(F.array_append(seen, first))
+
+    told = F.aggregate(lines, F.array().cast("array<string>"), step)
+    return F.filter(F.array(*map(F.lit, order)), lambda m: F.array_contains(told, m))
 
 
 def detected(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
@@ -103,10 +116,11 @@ def marked_lines(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
 
 
 def sections(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
-    """SECTION rows (doc_id, section_id, parent_id, marker, marker_value, level, ord, header, title, content).
+    """SECTION rows (doc_id, section_id, parent_id, parent_ord, marker, marker_value, level, ord, header, title, content).
 
     A section's ancestor at level l is the latest earlier section of that level, provided none of a lower level came
-    since. Text between markers belongs to the section before it; text before the first marker is dropped.
+    since. Text between markers belongs to the section before it; text before the first marker is dropped. Headers are
+    the markers as they stand; with ROMAN_ORDER a kind's name and its value.
     """
     lines = marked_lines(docs, order).withColumn("section", F.sum(F.col("starts").cast("int")).over(_by())).filter("section > 0")
     text = F.when(~F.col("starts") & ~F.col("absorbed"), F.col("line"))
@@ -118,7 +132,7 @@ def sections(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
     ).select("doc_id", "section", "head.*", "body")
     value = F.col("value")
     part = (
-        F.when(F.col("marker") == "part", F.concat(F.lit("p"), value)).when(F.col("marker") == "chapter", F.concat(F.lit("ch"), value))
+        F.when(F.col("marker").isin("chapter", "roman_chapter"), F.concat(F.lit("ch"), value))
         .when(F.col("marker") == "article", F.concat(F.lit("art"), F.lpad(value, F.greatest(F.lit(3), F.length(value)), F.lit("0"))))
         .when(F.col("marker") == "clause", F.concat(F.lit("cl_"), F.lpad(value, F.greatest(F.lit(2), F.length(value)), F.lit("0"))))
         .otherwise(F.concat(F.lit("pt_"), value))
@@ -128,18 +142,22 @@ def sections(docs: DataFrame, order: tuple = ORDER) -> DataFrame:
     for level in range(1, len(order)):
         last = F.last(F.when(F.col("level") == level, F.struct("ord", "part")), True).over(w)
         lower = F.last(F.when(F.col("level") < level, F.col("ord")), True).over(w)
-        heads = heads.withColumn(f"a{level}", F.when((F.col("level") > level) & (last["ord"] > F.coalesce(lower, F.lit(-1))), last["part"]))
-    above = F.concat_ws("_", F.col("doc_id").cast("string"), *(f"a{level}" for level in range(1, len(order))))
+        heads = heads.withColumn(f"a{level}", F.when((F.col("level") > level) & (last["ord"] > F.coalesce(lower, F.lit(-1))), last))
+    above = F.concat_ws("_", F.col("doc_id").cast("string"), *(f"a{level}.part" for level in range(1, len(order))))
     made = heads.withColumn("parent_id", above).withColumn("section_id", F.concat_ws("_", above, "part"))
+    names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
     return made.select(
-        "doc_id", "section_id", "parent_id", "marker", F.col("value").alias("marker_value"), "level", "ord", "header", "title",
+        "doc_id", "section_id", "parent_id", F.greatest(F.lit(None).cast("int"), *(f"a{level}.ord" for level in range(1, len(order)))).alias("parent_ord"),
+        "marker", F.col("value").alias("marker_value"), "level", "ord",
+        (F.concat_ws(" ", names[F.col("marker")], F.col("value")) if "roman_chapter" in order else F.col("header")).alias("header"), "title",
         F.when((F.col("title") == "") & (F.col("body") == ""), F.col("line")).otherwise(F.col("body")).alias("content"),
     )
 
 
 def promoted(found: DataFrame) -> DataFrame:
-    """Sections without content get their title as content."""
-    return found.withColumn("content", F.when(F.col("content") == "", F.col("title")).otherwise(F.col("content")))
+    """Sections without content have their title as content, and no title."""
+    bare = (F.col("content") == "") & (F.col("title") != "")
+    return found.withColumn("_bare", bare).withColumn("content", F.when(F.col("_bare"), F.col("title")).otherwise(F.col("content"))).withColumn("title", F.when(F.col("_bare"), "").otherwise(F.col("title"))).drop("_bare")
 
 
 def cleaned(found: DataFrame, depth: int = 4) -> DataFrame:
@@ -151,9 +169,9 @@ def cleaned(found: DataFrame, depth: int = 4) -> DataFrame:
     done = stored(found.filter(F.coalesce(F.col("level") >= depth, F.lit(True))), "level")
     taken = lambda acc, x: strip(F.when(x == "", acc).otherwise(F.replace(acc, x, F.lit(""))))
     for level in range(depth - 1, 0, -1):
-        children = done.groupBy(F.col("doc_id").alias("_doc"), F.col("parent_id").alias("_parent")).agg(F.array_sort(F.collect_list(F.struct("ord", "content", "title"))).alias("_children"))
+        children = done.groupBy(F.col("doc_id").alias("_doc"), F.col("parent_ord").alias("_parent")).agg(F.array_sort(F.collect_list(F.struct("ord", "content", "title"))).alias("_children"))
         less = F.aggregate("_children", F.col("content"), lambda acc, c: taken(taken(acc, c["content"]), c["title"]))
-        joined = found.filter(F.col("level") == level).join(children, (F.col("doc_id") == F.col("_doc")) & (F.col("section_id") == F.col("_parent")), "left")
+        joined = found.filter(F.col("level") == level).join(children, (F.col("doc_id") == F.col("_doc")) & (F.col("ord") == F.col("_parent")), "left")
         rows = joined.withColumn("content", F.when(F.col("_children").isNotNull(), less).otherwise(F.col("content"))).drop("_doc", "_parent", "_children")
         done = done.unionByName(stored(rows, "level"))
     return done
@@ -187,22 +205,88 @@ def full_headers(found: DataFrame) -> DataFrame:
     return joined.groupBy("doc_id", "section_id").agg(F.concat_ws(", ", F.first("header"), F.transform(listed, lambda r: r["_header"])).alias("reference"))
 
 
+def bottom_up(found: DataFrame, name: str, make, depth: int = 5) -> DataFrame:
+    """Sections with a column `name`, a string made of the section and `make(children)`, the children's own in order.
+
+    One level after the other from the deepest, each written once."""
+    found, done = stored(found, "sections"), None
+    none = F.array().cast("array<string>")
+    for level in range(depth, 0, -1):
+        rows = found.filter(F.col("level") == level if level < depth else F.col("level") >= depth)
+        if done is None:
+            rows = rows.withColumn("_children", none)
+        else:
+            listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", name))), lambda r: r[name])
+            children = done.groupBy(F.col("doc_id").alias("_doc"), F.col("parent_ord").alias("_parent")).agg(listed.alias("_children"))
+            rows = rows.join(children, (F.col("doc_id") == F.col("_doc")) & (F.col("ord") == F.col("_parent")), "left").drop("_doc", "_parent").withColumn("_children", F.coalesce("_children", none))
+        made = stored(rows.withColumn(name, make(F.col("_children"))).drop("_children"), "level")
+        done = made if done is None else done.unionByName(made)
+    return done
+
+
+def _depth() -> Column:
+    """How far below the first level a section hangs."""
+    return F.size(F.split("section_id", "_(?=art|ch|cl_|pt_)")) - 2
+
+
+def _shown(*parts: Column) -> Column:
+    """The parts that are not empty, each a line indented by its section's depth."""
+    pad = F.repeat(F.lit("    "), F.col("_depth").cast("int"))
+    return F.array_join(F.transform(F.filter(F.array(*parts), lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.concat(pad, x, F.lit("\n"))), "")
+
+
+def compact_texts(found: DataFrame, full: bool = False) -> DataFrame:
+    """Sections with `text`, theirs and their subsections', headers in full mode alone. What a section yields is stripped
+    before it goes into the one above, so the first lines lose their indents and siblings touch."""
+    rows = found.withColumn("_depth", _depth())
+    own = _shown(F.col("header") if full else F.lit(""), F.col("title"), F.col("content"))
+    return bottom_up(rows, "text", lambda children: strip(F.concat(own, F.array_join(children, "")))).drop("_depth")
+
+
+def tree_json(found: DataFrame) -> DataFrame:
+    """(doc_id, json): a document's sections as a JSON array of {id, header, title, content, subsections}."""
+    own = F.to_json(F.struct(F.col("section_id").alias("id"), "header", "title", "content"))
+    rows = found.withColumn("_own", own)
+    head = F.expr("left(_own, length(_own) - 1)")
+    made = bottom_up(rows, "json", lambda children: F.concat(head, F.lit(',"subsections":['), F.array_join(children, ","), F.lit("]}")))
+    top = made.filter("parent_ord is null").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda r: r["json"]).alias("rows"))
+    return top.select("doc_id", F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]")).alias("json"))
+
+
 def reconstructed(found: DataFrame, full: bool = False, compact: bool = False) -> DataFrame:
-    """(doc_id, text): sections in order, four spaces a level; `full` names ancestors after the header; `compact` keeps
-    headers for full mode alone and strips the whole."""
-    depth = F.size(F.split("section_id", "_(?=art|ch|cl_|pt_)")) - 2
-    pad = F.repeat(F.lit("    "), depth.cast("int"))
-    rows = found
-    if full and not compact:
-        chain = found.select("doc_id", F.col("section_id").alias("parent_id"), F.col("header").alias("h1"), F.col("parent_id").alias("p1"))
-        for i in range(1, 4):
-            rows = rows.join(chain.withColumnsRenamed({"parent_id": "_p", "h1": f"_h{i}", "p1": f"_p{i}", "doc_id": "_d"}), (F.col("doc_id") == F.col("_d")) & (F.col("parent_id" if i == 1 else f"_p{i - 1}") == F.col("_p")), "left").drop("_p", "_d")
-        head = F.concat_ws(", ", *(F.nullif(F.col(c), F.lit("")) for c in ("header", "_h1", "_h2", "_h3")))
-    else:
-        head = F.col("header") if full or not compact else F.lit("")
-    shown = F.array_join(F.transform(F.filter(F.array(head, F.col("title"), F.col("content")), lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.concat(pad, x, F.lit("\n"))), "")
-    joined = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("text")))), lambda r: r["text"]), "").alias("text"))
-    return joined.withColumn("text", strip(F.col("text"))) if compact else joined
+    """(doc_id, text): sections in order, four spaces a level; `full` names ancestors after the header; `compact` as
+    `compact_texts`, the first level's sections on lines of their own."""
+    if compact:
+        top = compact_texts(found, full).filter("parent_ord is null").groupBy("doc_id")
+        return top.agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"]), "\n")).alias("text"))
+    rows, head = found.withColumn("_depth", _depth()), F.col("header")
+    if full:
+        chain = found.select("doc_id", F.col("ord").alias("parent_ord"), F.col("header").alias("h"), F.col("parent_ord").alias("p"))
+        for i in range(1, 5):
+            rows = rows.join(chain.withColumnsRenamed({"parent_ord": "_o", "h": f"_h{i}", "p": f"_p{i}", "doc_id": "_d"}), (F.col("doc_id") == F.col("_d")) & (F.col("parent_ord" if i == 1 else f"_p{i - 1}") == F.col("_o")), "left").drop("_o", "_d")
+        head = F.concat_ws(", ", *(F.nullif(F.col(c), F.lit("")) for c in ("header", "_h1", "_h2", "_h3", "_h4")))
+    shown = _shown(head, F.col("title"), F.col("content"))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("text")))), lambda r: r["text"]), "").alias("text"))
+
+
+def whole_file(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """(path, text) of files whose documents (path, doc_number, doc_id) have sections `found`: each document in full
+    mode, a line of 80 dashes behind it."""
+    texts = documents.join(reconstructed(found, full=True), "doc_id", "left")
+    block = F.concat(F.coalesce("text", F.lit("")), F.lit("\n" + "-" * 80 + "\n\n"))
+    return texts.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_number", block.alias("text")))), lambda r: r["text"]), "").alias("text"))
+
+
+def section_in_files(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, file, text) for ids (wanted) and sections with a `file`: the section and what is below it, indented from
+    there, from the first file by name that has it. Ids and their cuts are the join key."""
+    key = F.col("section_id")
+    names = F.concat(F.array(key), F.transform(_cuts(key), lambda i: F.substr(key, F.lit(1), i - 1)))
+    rows = found.withColumn("wanted", F.explode(F.array_distinct(names))).join(wanted.select("wanted").distinct(), "wanted")
+    marks = lambda c: F.size(F.split(c, "(?:^|_)(?=art|ch|cl_|pt_)"))
+    shown = rows.withColumn("_depth", marks("section_id") - marks("wanted")).withColumn("_text", _shown(F.col("header"), F.col("title"), F.col("content")))
+    texts = shown.groupBy("wanted", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "_text"))), lambda r: r["_text"]), "").alias("text"))
+    return texts.filter("text <> ''").groupBy("wanted").agg(F.min("file").alias("file"), F.min_by("text", "file").alias("text"))
 
 
 def scored_forms(appendices: DataFrame) -> DataFrame:

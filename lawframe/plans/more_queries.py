@@ -138,9 +138,25 @@ def compact(spark, sf_dir):
     return H.reconstructed(H.sections(_law(spark, sf_dir)), full=True, compact=True).select("doc_id", F.md5("text").alias("text_md5"))
 
 
-COMPACT = LAW + r""", t as (select doc_id, string_agg(concat(repeat('    ', d), header, chr(10), case when title <> '' then repeat('    ', d) || title || chr(10) else '' end, case when content <> '' then repeat('    ', d) || content || chr(10) else '' end), '' order by ord) as text
-  from (select *, len(regexp_extract_all(section_id, '_(art|ch|cl_|pt_)'))::int - 1 as d from sections) group by 1)
-select doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) as text_md5 from t"""
+_OWN = """concat(repeat('    ', d), header, chr(10), case when title <> '' then repeat('    ', d) || title || chr(10) else '' end, case when content <> '' then repeat('    ', d) || content || chr(10) else '' end)"""
+def compact_sql(own: str) -> str:
+    """Tables l1 to l4 (doc_id, parent_ord, ord, t): each level's sections, `own` and those below, stripped."""
+    made = r""", o as (select *, """ + own + r""" as own from (select *, len(regexp_extract_all(section_id, '_(art|ch|cl_|pt_)'))::int - 1 as d from sections)),
+l4 as (select doc_id, parent_ord, ord, regexp_replace(own, '^\s+|\s+$', '', 'g') as t from o where level = 4)
+"""
+    for n in (3, 2, 1):
+        lower = " union all ".join(f"select * from l{m}" for m in range(4, n, -1))
+        made += rf""", k{n} as (select doc_id, parent_ord, string_agg(t, '' order by ord) as kids from ({lower}) group by all),
+l{n} as (select o.doc_id, o.parent_ord, o.ord, regexp_replace(own || coalesce(kids, ''), '^\s+|\s+$', '', 'g') as t from o left join k{n} on k{n}.doc_id = o.doc_id and k{n}.parent_ord = o.ord where level = {n})
+"""
+    return made + ", texts as (select * from l1 union all select * from l2 union all select * from l3 union all select * from l4)"
+
+
+_TEXT = "case when title <> '' then repeat('    ', d) || title || chr(10) else '' end, case when content <> '' then repeat('    ', d) || content || chr(10) else '' end)"
+OWN = "concat(repeat('    ', d), header, chr(10), " + _TEXT
+OWN_BARE = "concat(" + _TEXT
+COMPACT = LAW + compact_sql(OWN) + r"""
+select doc_id, md5(regexp_replace(string_agg(t, chr(10) order by ord), '^\s+|\s+$', '', 'g')) as text_md5 from texts where parent_ord is null group by 1"""
 
 
 def full_references(spark, sf_dir):
@@ -154,13 +170,17 @@ select s.doc_id, s.section_id, any_value(s.header) || coalesce(', ' || any_value
 
 
 def enums(spark, sf_dir):
-    from lawframe.functions.text import is_upper
+    from lawframe.operators.citations import is_statute
 
     c = _table(spark, sf_dir, "customer")
-    return c.select("c_custkey", F.col("c_mktsegment").isin("BUILDING", "MACHINERY").alias("allowed"), is_upper(F.col("c_mktsegment")).alias("upper"), F.col("c_name").rlike("^Customer").alias("prefixed"))
+    n = F.col("c_custkey")
+    role = F.get(F.array(*map(F.lit, ("ADMIN", "MODERATOR", "USER"))), (n % 4).cast("int"))
+    tier = F.when(n % 3 == 0, "PREPAID_PRO").otherwise(F.col("c_mktsegment"))
+    name = F.concat(F.when(n % 5 == 0, "Bộ luật ").when(n % 5 == 1, "LUẬT ").otherwise(""), "c_name")
+    return c.select("c_custkey", K.may_moderate(role).alias("moderates"), K.known_tier(tier).alias("known"), is_statute(name).alias("statute"))
 
 
-ENUMS = "select c_custkey, c_mktsegment in ('BUILDING', 'MACHINERY') as allowed, upper(c_mktsegment) = c_mktsegment and lower(c_mktsegment) <> c_mktsegment as upper, starts_with(c_name, 'Customer') as prefixed from customer"
+ENUMS = "select c_custkey, c_custkey % 4 < 2 as moderates, c_custkey % 3 = 0 as known, c_custkey % 5 < 2 as statute from customer"
 
 
 def flat_pages(spark, sf_dir):

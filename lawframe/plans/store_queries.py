@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lawframe.functions.language import STOP_WORDS as LANGUAGE_WORDS
 from lawframe.functions.language import language
 from lawframe.functions.text import cache_key
 from lawframe.operators import citations as M
@@ -14,6 +15,14 @@ from lawframe.operators import usage as U
 from lawframe.sources.files import html_column
 
 
+def language_sql(text: str) -> str:
+    """The language of a text in SQL."""
+    words = f"list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}]+'), lambda w: w <> '')"
+    scores = ", ".join("(len(list_filter({}, lambda w: w in ({}))), {})".format(words, ", ".join(f"'{w}'" for w in known), -i) for i, known in enumerate(LANGUAGE_WORDS.values()))
+    codes = ", ".join(f"'{c}'" for c in LANGUAGE_WORDS)
+    return f"(select case when (m).n > 0 then [{codes}][1 - (m).o] end from (select list_max([{scores}]::struct(n bigint, o bigint)[]) as m))"
+
+
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -329,6 +338,9 @@ def languages(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", "lang", language(F.col("text")).alias("detected"))
 
 
+LANGUAGES = f"select doc_id, lang, {language_sql('text')} as detected from documents"
+
+
 def pages_text(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", html_column(F.col("html")).alias("text"), html_column(F.col("html"), " ").alias("line"))
 
@@ -373,6 +385,6 @@ QUERIES = {
     "U6_sliding_rate_limit": (sliding, SLIDING), "U7_fixed_window_limit": (windows, WINDOWS), "Q1_qa_records": (qa_pairs, QA_PAIRS), "Q2_history_array": (history, HISTORY),
     "F1_tfidf_query": (tfidf_query, TFIDF_QUERY), "F2_token_db": (token_db, TOKEN_DB), "F3_top_tokens": (top_tokens, TOP_TOKENS), "M1_mentions_regex": (mentions, MENTIONS),
     "M2_mentions_structured": (structured, STRUCTURED), "M3_best_match_theta": (best_match, BEST_MATCH), "M4_weighted_match": (weighted, WEIGHTED),
-    "M5_dynamic_weight_match": (dynamic, DYNAMIC), "M6_partial_names": (partial_names, PARTIAL_NAMES), "M7_mentions_walk": (walked, None), "P3_language_detect": (languages, None),
+    "M5_dynamic_weight_match": (dynamic, DYNAMIC), "M6_partial_names": (partial_names, PARTIAL_NAMES), "M7_mentions_walk": (walked, None), "P3_language_detect": (languages, LANGUAGES),
     "P4_html_text": (pages_text, None), "X1_stream_daily_usage": (stream_daily, DAILY), "X2_stream_dedup": (stream_dedup, "select event_id, user_id from events"), "G6_answer_pipeline": (answered, None),
 }

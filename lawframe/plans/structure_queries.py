@@ -44,7 +44,8 @@ anc as (select *,
   last_value(case when level < 2 then ord end ignore nulls) over w as b2, last_value(case when level < 3 then ord end ignore nulls) over w as b3
   from lines where marker is not null window w as (partition by doc_id order by ord rows between unbounded preceding and 1 preceding)),
 sec as (select a.doc_id, marker, level, ord::int as ord, header, word as title, content,
-  concat_ws('_', a.doc_id, case when level > 1 and o1 is not null then p1 end, case when level > 2 and o2 > coalesce(b2, -1) then p2 end, case when level > 3 and o3 > coalesce(b3, -1) then p3 end) as parent_id, part
+  concat_ws('_', a.doc_id, case when level > 1 and o1 is not null then p1 end, case when level > 2 and o2 > coalesce(b2, -1) then p2 end, case when level > 3 and o3 > coalesce(b3, -1) then p3 end) as parent_id, part,
+  coalesce(case when level > 3 and o3 > coalesce(b3, -1) then o3 end, case when level > 2 and o2 > coalesce(b2, -1) then o2 end, case when level > 1 then o1 end)::int as parent_ord
   from anc a join bodies b on a.doc_id = b.doc_id and a.section = b.section),
 sections as (select *, parent_id || '_' || part as section_id from sec)
 """
@@ -87,8 +88,8 @@ select doc_id, md5(text) as text_md5, length(text)::int as length from t"""
 def cleaned(spark, sf_dir):
     """Parents whose content repeats their children's: two levels, composed."""
     docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.left("source", F.lit(4)).alias("s"))
-    parent = docs.select("doc_id", F.lit("p").alias("section_id"), F.lit("").alias("parent_id"), F.lit(1).alias("level"), F.lit(0).alias("ord"), F.lit("").alias("title"), F.concat(F.lit("own "), "s", F.lit(" child text")).alias("content"))
-    child = docs.select("doc_id", F.lit("p_c").alias("section_id"), F.lit("p").alias("parent_id"), F.lit(2).alias("level"), F.lit(1).alias("ord"), F.col("s").alias("title"), F.lit("child text").alias("content"))
+    parent = docs.select("doc_id", F.lit("p").alias("section_id"), F.lit("").alias("parent_id"), F.lit(None).cast("int").alias("parent_ord"), F.lit(1).alias("level"), F.lit(0).alias("ord"), F.lit("").alias("title"), F.concat(F.lit("own "), "s", F.lit(" child text")).alias("content"))
+    child = docs.select("doc_id", F.lit("p_c").alias("section_id"), F.lit("p").alias("parent_id"), F.lit(0).alias("parent_ord"), F.lit(2).alias("level"), F.lit(1).alias("ord"), F.col("s").alias("title"), F.lit("child text").alias("content"))
     return S.cleaned(parent.unionByName(child)).select("doc_id", "section_id", "content")
 
 
@@ -184,18 +185,24 @@ select doc_id, ((pos - 1) // 108)::int as "window", md5(array_to_string(w[pos:po
 
 
 def records(spark, sf_dir):
-    """Records of articles and clauses, a clause without title or content inheriting its article's."""
+    """Records of chapters, articles, clauses and points with what they inherit."""
     from lawframe.operators.records import section_records
 
     found = S.sections(_law(spark, sf_dir))
     return section_records(found).select("document_id", "chunk_id", "record_id", "title", "content", "hierarchy_level")
 
 
-RECORDS = LAW + """, filled as (select s.doc_id, s.section_id, s.marker, coalesce(nullif(s.title, ''), nullif(p.title, ''), s.content) as title, coalesce(nullif(s.content, ''), p.content, '') as content
-  from sections s left join sections p on s.doc_id = p.doc_id and s.parent_id = p.section_id)
-select doc_id as document_id, section_id as chunk_id, 'DOC_' || translate(left(base64(unhex(sha256(title || '|' || content))), 10), '+/', '-_') as record_id, title, content,
+RECORDS = LAW + """, x as (select s.*, p.marker as m1, nullif(p.title, '') as t1, nullif(p.content, '') as c1, nullif(g.title, '') as t2, nullif(g.content, '') as c2,
+    exists (select 1 from sections k where k.doc_id = s.doc_id and k.parent_ord = s.ord) as has
+  from sections s left join sections p on s.doc_id = p.doc_id and s.parent_ord = p.ord left join sections g on p.doc_id = g.doc_id and p.parent_ord = g.ord),
+filled as (select doc_id, section_id, marker, has,
+  coalesce(nullif(title, ''), case when marker in ('clause', 'point') and m1 is not null then coalesce(t1, case when m1 in ('clause', 'point') then coalesce(t2, c2) else c1 end) else nullif(content, '') end, '') as title,
+  coalesce(nullif(content, ''), case when marker in ('clause', 'point') then coalesce(c1, case when m1 in ('clause', 'point') then c2 end) end, '') as content from x)
+select doc_id as document_id, section_id as chunk_id,
+  'DOC_' || translate(left(base64(unhex(sha256(title || '|' || case when has and marker in ('chapter', 'article') then title else content end))), 10), '+/', '-_') as record_id, title, content,
   case marker when 'chapter' then 1 when 'article' then 2 when 'clause' then 3 else 4 end::int as hierarchy_level from filled"""
 
+
 QUERIES = {
     "S1_segment_boundaries": (segmented, SEGMENTED),
     "S2_hierarchy_ids": (hierarchy, HIERARCHY),

@@ -3,7 +3,7 @@
 RECORD = """record_id STRING, document_id STRING, title STRING, content STRING, chunk_id STRING, hierarchy_level INT,
 categories ARRAY<STRING>, relationships ARRAY<STRING>, published_date STRING, source STRING, processing_timestamp STRING,
 validation_status BOOLEAN, language STRING, summary STRING"""
-SECTION = """doc_id STRING, doc_number INT, section_id STRING, parent_id STRING, marker STRING, marker_value STRING,
+SECTION = """doc_id STRING, doc_number INT, section_id STRING, parent_id STRING, parent_ord INT, marker STRING, marker_value STRING,
 level INT, ord INT, header STRING, title STRING, content STRING"""
 HIT = """query_id STRING, collection STRING, rank INT, record_id STRING, document_id STRING, title STRING, content STRING,
 chunk_id STRING, source STRING, model_info STRING, similarity_score DOUBLE"""

@@ -200,3 +200,52 @@ def by_numeric_suffix(files: DataFrame, name: str = "name") -> DataFrame:
     """Files with their `position` by the number at the end of their stem, those without one last, then by name."""
     suffix = F.regexp_extract(name, r"(\d+)(?:\.[^.]*)?$", 1).try_cast("int")
     return numbered(files, suffix.asc_nulls_last(), F.col(name))
+
+
+def read_pdfs(spark: SparkSession, path: str, pdf) -> DataFrame:
+    """(path, text) of the PDF files below a folder; `pdf` is a function from bytes to page texts."""
+    return read_documents(spark, path, pdf).filter("file_type = 'pdf'").select("path", "text")
+
+
+def joined_paragraphs(content: bytes) -> str:
+    """A word-processor file's paragraphs with blank lines between; its tables are left out."""
+    return "\n\n".join(docx_lines(content, tables=False))
+
+
+def selected(paths: DataFrame, holding: str = "with_appendix", extensions: tuple = ("docx", "txt", "json", "png")) -> DataFrame:
+    """Files (path) whose names hold a word and end in one of the extensions."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return paths.filter(name.contains(holding) & F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*extensions))
+
+
+def embedded_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, content) of the objects inside word-processor files below a folder."""
+
+    def extract(batches):
+        for batch in batches:
+            rows = [(p, n, d) for p, content in zip(batch["path"], batch["content"], strict=True) for n, d in embedded_objects(content)]
+            yield pd.DataFrame(rows, columns=["path", "name", "content"])
+
+    return read_binary(spark, path, "*.docx").mapInPandas(extract, "path string, name string, content binary")
+
+
+def pages_of(pages: DataFrame, done: DataFrame, read) -> DataFrame:
+    """Images (name, content) whose names are not in `done` (name), in numeric order with `position`, each with `text`:
+    a header line that names it, and what `read` (bytes to text) finds."""
+
+    def extract(batches):
+        for batch in batches:
+            yield pd.DataFrame({"name": batch["name"], "text": [f"--- Page: {n} ---\n{read(c)}\n" for n, c in zip(batch["name"], batch["content"], strict=True)]})
+
+    left = pages.join(done.select("name"), "name", "left_anti")
+    return by_numeric_suffix(left.select("name", "content").mapInPandas(extract, "name string, text string"))
+
+
+def first_match(queries: DataFrame, key: str, value: str) -> DataFrame:
+    """The first stored query (by `seq`) whose key, query_id or cache_key, has a value."""
+    return queries.filter(F.col(key) == value).orderBy("seq").limit(1)
+
+
+def by_size(models: DataFrame) -> DataFrame:
+    """A list of models (model, size_in_gb, ...), the smallest first."""
+    return models.orderBy(F.col("size_in_gb").asc_nulls_last(), "model")
