@@ -2,60 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: The tables that broadcast themselves are at most this many rows of one or two numbers.
-BROADCAST_ROWS = 1_000_000
+from lawframe.scratch import small, stored  # noqa: F401  (the operators take them from here)
+
+#: Rows of an Arrow batch.
+ARROW_ROWS = 1000
+#: Words and other units up to so many bytes are kept in workers' caches; longer ones are made anew.
+SHORT = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_ROWS rows in this session, since rows are whole documents: a batch is held by the
+    executor and by its worker, several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep` and the text as UTF-8 bytes, null as empty."""
+    few_rows_a_batch(docs.sparkSession)
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is named."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lawframe-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once into the shared folder and read it back: lineage ends here, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lawframe-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_written: list[str] = []
-
-
-def discard(spark: SparkSession) -> None:
-    """Delete the tables that this driver has stored. Frames that read them can't be used any more."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `rows` rows; otherwise as it is, so the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def free(df: DataFrame, name: str) -> str:
     """`name`, with as many underscores behind it as it takes to be no column of `df`."""
     taken = {c.lower() for c in df.columns}
@@ -83,15 +64,63 @@ def schema_of(df: DataFrame, kept: list[str], added: str) -> StructType:
 
 
 class Memo:
-    """Answers that a worker keeps, at most about `most`; when full, those of the last two calls stay."""
+    """Answers that a worker keeps, at most about `most`; when full, those of the last two calls stay.
+
+    What is longer than SHORT bytes is kept for the call that asks for it alone, so that bytes are bounded as well.
+    """
 
     def __init__(self, most: int):
-        self.most, self.found, self.last = most, {}, set()
+        self.most, self.found, self.last, self.long = most, {}, set(), []
 
     def missing(self, asked: set) -> list:
         """What of `asked` is not known; the caller then adds it to `found`."""
+        for x in self.long:
+            self.found.pop(x, None)
         new = [x for x in asked if x not in self.found]
+        self.long = [x for x in new if len(x) > SHORT]
         if len(self.found) + len(new) > self.most:
             self.found = {k: self.found[k] for k in self.last | asked if k in self.found}
-        self.last = asked
+        self.last = asked.difference(self.long)
         return new
+
+
+class Words(dict):
+    """A number for each word (bytes), made once while it is kept; at most `most` words of at most SHORT bytes."""
+
+    def __init__(self, make: Callable[[bytes], int], most: int = 400_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, word: bytes) -> int:
+        found = self.make(word)
+        if len(word) <= SHORT:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_claimed: list = []
+
+
+def claim(*caches) -> None:
+    """Called by a task that fills `caches`: what other operators' tasks have kept in this worker goes.
+
+    Workers outlive stages; without this each would end up with the caches of every operator of a pipeline.
+    """
+    stale = [c for c in _claimed if not any(c is own for own in caches)]
+    _claimed[:] = caches
+    if stale:
+        for c in stale:
+            c.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the allocators can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)

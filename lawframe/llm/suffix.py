@@ -1,23 +1,24 @@
 """Exact repeated substrings across a corpus, by merging shard Burrows-Wheeler transforms.
 
-Removed is every byte covered by a LENGTH-byte string that also starts anywhere else. Each start i of such a string has
+Removed is every byte covered by a string of `length` bytes (LENGTH if not said otherwise) that also starts anywhere else. Each start i of such a string has
 an anchor: the least hashed 8-gram (leftmost of equals) among the WINDOW ones from i on. Equal strings have their anchor
-in the same place, and all strings of an anchor share its core, the LENGTH - WINDOW + 1 bytes from the anchor on. So
+in the same place, and all strings of an anchor share its core, the length - WINDOW + 1 bytes from the anchor on. So
 strings can only be equal within a class of anchors with equal cores, whatever documents these stand in.
 
 1. Anchors are counted by (core, context), a context being all bytes that the anchor's strings cover; only classes
-   with two anchors or more go on, each distinct context once, with its count.
+   with two anchors or more go on, each distinct context once, with its count. A context that occurs twice repeats all
+   of its strings as it stands; the transforms are built for the classes in which some context occurs once.
 2. A context becomes a string over bytes and one symbol for its core, dealt by core to buckets. In a bucket, shards of
    strings get their Burrows-Wheeler transforms; the transforms are merged by refining their interleave: a pass sorts
    the merged rows stably by their preceding symbols, and after k passes they are in order of their first k symbols.
    Where two rows part in pass k their longest common prefix is k - 1. After WINDOW passes, intervals of rows with a
-   common prefix of WINDOW symbols are the classes of equal LENGTH-byte strings.
+   common prefix of WINDOW symbols are the classes of equal strings.
 3. Intervals with more than one occurrence go back to all anchors with that context as spans, and documents lose them.
 
 Contexts of a core too frequent for a bucket (over `most` distinct ones) are compared start by start in Spark instead.
 Cores and contexts are told apart by 64-bit hashes each.
 
-Edge cases: a null text is empty; texts shorter than LENGTH keep everything; overlapping occurrences count; repeated rows
+Edge cases: a null text is empty; texts shorter than `length` keep everything; overlapping occurrences count; repeated rows
 are occurrences of one another; null doc_ids are documents like others; an empty table gives no rows.
 """
 
@@ -29,10 +30,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import row_of, schema_of, slices, small, stored, table
+from lawframe.llm.common import claim, few_rows_a_batch, row_of, schema_of, slices, small, stored, table
 
 LENGTH, WINDOW = 400, 64
-CORE = LENGTH - WINDOW + 1
 U = np.uint64
 #: Bits of the filter that spares anchors of unknown cores a shuffle; a fixed size, whatever the corpus.
 FILTER_BITS = 27
@@ -65,11 +65,11 @@ class _Powers:
 _powers = _Powers()
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, ...]:
-    """For each anchor: its place, the first and last start that it serves, and the hashes of its core and context."""
+def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """For each anchor of strings of `length` bytes: its place, the first and last start that it serves, and the hashes of its core and context."""
     b = np.frombuffer(text, np.uint8)
-    n = len(b)
-    if n < LENGTH:
+    n, size = len(b), length - WINDOW + 1
+    if n < length:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
     gram = b.astype(U)
@@ -78,14 +78,14 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     least = _mix(gram) & U(0xFFFFFFFF00000000) | np.arange(len(gram), dtype=U)
     for k in (1, 2, 4, 8, 16, 32):
         least = np.minimum(least[:-k], least[k:])
-    at = (least[: n - LENGTH + 1] & U(0xFFFFFFFF)).astype(np.int64)
+    at = (least[: n - length + 1] & U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:] - 1, len(at) - 1]
     place, powers = at[first], _powers.upto(n)
     sums = np.zeros(n + 1, U)
     np.cumsum(BYTES[b] * powers.up[:n], dtype=U, out=sums[1:])
-    core = _mix((sums[place + CORE] - sums[place]) * powers.down[place])
-    context = _mix((sums[last + LENGTH] - sums[first]) * powers.down[first]) ^ _mix((place - first << 8 | last - first).astype(U))
+    core = _mix((sums[place + size] - sums[place]) * powers.down[place])
+    context = _mix((sums[last + length] - sums[first]) * powers.down[first]) ^ _mix((place - first << 8 | last - first).astype(U))
     return place, first, last, core.view(np.int64), context.view(np.int64)
 
 
@@ -176,6 +176,7 @@ def _spans(flags: np.ndarray) -> tuple[list[int], list[int]]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """key (doc_id, null as the least number) and mark (a hash of the text) name a document's text."""
+    few_rows_a_batch(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("key"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
@@ -186,20 +187,21 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800) -> DataFrame:
+def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800, length: int = LENGTH) -> DataFrame:
     """(key, mark, spans array<struct<first, last>>): runs of starts of repeated strings, for each text that has any."""
     spark, keyed = docs.sparkSession, _keyed(docs)
-    counted = schema_of(keyed, ["key", "mark"], "nth int, core long, context long, n long")
+    counted = schema_of(keyed, ["key", "mark"], "nth int, width int, core long, context long, n long")
 
     def count(batches):
         import pyarrow as pa
 
-        for batch in slices(batches):
-            found = [anchors(t)[3:] for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(c) for c, _ in found])
+        claim()
+        for batch in slices(batches, 4 << 20):
+            found = [anchors(t, length)[1:] for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(x[0]) for x in found])
             if not sizes.sum():
                 continue
-            core, context = (np.concatenate(x) for x in zip(*found, strict=True))
+            first, last, core, context = (np.concatenate(x) for x in zip(*found, strict=True))
             row = np.repeat(np.arange(len(sizes)), sizes)
             nth = np.arange(len(core)) - np.repeat(sizes.cumsum() - sizes, sizes)
             # copies within a slice travel as one row
@@ -208,21 +210,24 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800)
             some, n = order[heads], np.diff(np.r_[heads, len(order)])
             at = pa.array(row[some])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key").take(at), batch.column("mark").take(at), pa.array(nth[some].astype(np.int32)), pa.array(core[some]), pa.array(context[some]), pa.array(n)], counted.names
+                [batch.column("key").take(at), batch.column("mark").take(at), pa.array(nth[some].astype(np.int32)), pa.array((last - first)[some].astype(np.int32)), pa.array(core[some]), pa.array(context[some]), pa.array(n)], counted.names
             )
 
     from pyspark.sql import Window
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = keyed.select("key", "mark", "text").mapInArrow(count, counted).repartition(partitions, "core")
-    sums = rows.groupBy("core", "context").agg(F.sum("n").alias("n"), F.min(F.struct("key", "mark", "nth")).alias("at"))
+    sums = rows.groupBy("core", "context").agg(F.sum("n").alias("n"), F.min(F.struct("key", "mark", "nth")).alias("at"), F.first("width").alias("width"))
     whole = Window.partitionBy("core")
-    classes = sums.withColumn("all", F.sum("n").over(whole)).filter("all > 1").select("core", "context", "n", "at.*")
+    classes = sums.withColumn("all", F.sum("n").over(whole)).filter("all > 1")
+    # a context that occurs twice repeats all of its strings; bytes are looked at where a context occurs once
+    classes = classes.withColumn("open", F.min("n").over(whole) == 1).select("core", "context", "n", "width", "open", "at.*")
     classes = stored(classes, "classes")
     _free(spark)
+    settled = classes.filter("n > 1").select("core", "context", F.array(F.lit(0)).alias("first"), F.array("width").alias("last"))
 
     # the contexts' bytes, from one document that holds each
-    wanted = classes.groupBy("key", "mark").agg(F.collect_list(F.struct("nth", "core", "context", "n")).alias("wanted"))
+    wanted = classes.filter("open").groupBy("key", "mark").agg(F.collect_list(F.struct("nth", "core", "context", "n")).alias("wanted"))
     having = keyed.select("key", "mark", "text").join(small(wanted.select("key", "mark")), ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"])
     cut = schema_of(classes, ["core", "context", "n"], "before binary, behind binary")
 
@@ -232,10 +237,10 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800)
         for batch in slices(batches):
             made = []
             for text, asked in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                place, first, last, *_ = (x.tolist() for x in anchors(text)[:3])
+                place, first, last, *_ = (x.tolist() for x in anchors(text, length)[:3])
                 for x in asked:
                     a, lo, hi = place[x["nth"]], first[x["nth"]], last[x["nth"]]
-                    made.append((x["core"], x["context"], x["n"], text[lo:a], text[a + CORE : hi + LENGTH]))
+                    made.append((x["core"], x["context"], x["n"], text[lo:a], text[a + length - WINDOW + 1 : hi + length]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else [()] * 5, kinds, strict=True)], cut.names)
 
@@ -250,13 +255,15 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800)
 
         given = [held.column(c).to_pylist() for c in ("core", "before", "behind", "n")]
         runs = [_spans(f) for f in repeated_starts(list(zip(*given, strict=True)))]
-        return pa.table({"core": held.column("core"), "context": held.column("context"), "first": pa.array([r[0] for r in runs], pa.list_(pa.int32())), "last": pa.array([r[1] for r in runs], pa.list_(pa.int32()))})
+        some = [k for k, (r, n) in enumerate(zip(runs, given[3], strict=True)) if n == 1 and r[0]]
+        first, last = (pa.array([runs[k][side] for k in some], pa.list_(pa.int32())) for side in (0, 1))
+        return pa.table([*(held.column(c).take(pa.array(some, pa.int64())) for c in ("core", "context")), first, last], marked.names)
 
     few = contexts.join(small(frequent), "core", "left_anti")
     merged = few.groupBy(F.pmod(F.xxhash64("core"), F.lit(buckets)).alias("bucket")).applyInArrow(refine, marked)
     if frequent.limit(1).count():
         merged = merged.unionByName(_start_by_start(contexts.join(small(frequent), "core", "left_semi")))
-    repeats = stored(merged.filter(F.size("first") > 0), "repeats")
+    repeats = stored(merged.unionByName(settled), "repeats")
     _free(spark)
 
     # back to every anchor with such a context
@@ -272,7 +279,7 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800)
 
         known = shared.value
         for batch in slices(batches):
-            found = [anchors(t)[1:] for t in batch.column("text").to_pylist()]
+            found = [anchors(t, length)[1:] for t in batch.column("text").to_pylist()]
             sizes = np.array([len(x[0]) for x in found])
             if not sizes.sum():
                 continue
@@ -296,18 +303,18 @@ def _start_by_start(contexts: DataFrame) -> DataFrame:
     own = F.sha2(F.concat(left.cast("string").cast("binary"), F.expr("substring(before, j + 1)"), F.substr("behind", F.lit(1), F.lit(WINDOW - 1) - left)), 256)
     keyed = starts.select("core", "context", "n", "j", own.alias("own"))
     many = keyed.groupBy("core", "own").agg(F.sum("n").alias("all")).filter("all > 1").select("core", "own")
-    found = keyed.join(many, ["core", "own"]).groupBy("core", "context").agg(F.array_sort(F.collect_set("j")).alias("first"))
+    found = keyed.filter("n = 1").join(many, ["core", "own"]).groupBy("core", "context").agg(F.array_sort(F.collect_set("j")).alias("first"))
     return found.select("core", "context", "first", F.col("first").alias("last"))
 
 
-def remove_repeats(docs: DataFrame, *carried: str, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *carried: str, whole_characters: bool = False, length: int = LENGTH) -> DataFrame:
     """doc_id of every row, `row` (a struct of its `carried` columns, if there are any), the text without repeated bytes
     (as bytes), n_bytes, n_removed, n_spans.
 
     With `whole_characters` the halves of characters that were cut go too.
     """
     extra = ["row"] if carried else []
-    spans = stored(repeated_spans(docs), "spans")
+    spans = stored(repeated_spans(docs, length=length), "spans")
     _free(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", *([row_of(docs, carried)] if carried else []), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_key"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
@@ -324,7 +331,7 @@ def remove_repeats(docs: DataFrame, *carried: str, whole_characters: bool = Fals
             for raw, runs in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 edge = np.zeros(len(raw) + 1, np.int32)
                 np.add.at(edge, [r["first"] for r in runs], 1)
-                np.add.at(edge, [r["last"] + LENGTH for r in runs], -1)
+                np.add.at(edge, [r["last"] + length for r in runs], -1)
                 gone = edge[:-1].cumsum() > 0
                 left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 if whole_characters:
