@@ -164,9 +164,11 @@ def weighted_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cut
     sure = _agreeing(scored.filter(F.col("confidence") >= CONFIDENT), catalog, ("document_number", "issue_year", "issuer_body"))
     latest = Window.partitionBy("id", "mention").orderBy(F.col("c_issue_year").try_cast("int").desc(), "position")
     kept = sure.withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= top_n).select("id", "mention", "document_id", "full_name", F.col("confidence").alias("score"), "rank")
+    kept = stored(kept, "kept")
     rest = mentioned.join(kept.select("id", "mention").distinct(), ["id", "mention"], "left_anti")
     query = F.when(F.col("extra_info") != "", F.lower(F.trim(F.concat_ws(" ", "document_type", "document_number", "extra_info")))).otherwise(F.lower("mention"))
     cands = _agreeing(rest, catalog, ("document_number", "issuer_body")).withColumn("group_id", F.struct("id", "mention")).select("group_id", query.alias("query"), F.col("position").alias("cand_id"), F.col("full_name").alias("cand"), "document_id", "c_issue_year")
+    cands = stored(cands, "candidates")
     near = pair_similarity(cands.select("group_id", "query", "cand_id", "cand")).filter(F.col("similarity") >= cutoff)
     by = Window.partitionBy("group_id").orderBy(F.desc("similarity"), F.desc("c_issue_year"), "cand_id")
     fallback = near.join(cands, ["group_id", "cand_id"]).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n)
@@ -181,6 +183,7 @@ def dynamic_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cuto
     share = lambda p: F.when(F.col(p) != "", RELIABILITY[p]).otherwise(0.0) / F.nullif(F.col("total"), F.lit(0.0))
     rows = _agreeing(mentioned.withColumn("total", total), catalog, ("document_number", "issue_year", "issuer_body"))
     base = rows.withColumn("base", sum((share(p) for p in PROPERTY_WEIGHTS), F.lit(0.0))).withColumn("extra_weight", share("extra_info")).withColumn("group_id", F.struct("id", "mention"))
+    base = stored(base, "agreeing")
     extra = base.filter("extra_info <> ''").select("group_id", F.lower("extra_info").alias("query"), F.col("position").alias("cand_id"), F.lower("full_name").alias("cand"))
     near = pair_similarity(extra, True, STOP_WORDS).withColumnRenamed("cand_id", "position")
     scored = base.join(near, ["group_id", "position"], "left").withColumn("score", F.col("base") + F.col("extra_weight") * F.coalesce("similarity", F.lit(0.0)))

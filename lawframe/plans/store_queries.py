@@ -310,14 +310,31 @@ select id, document_id, 1.0::double as score, rank from r where rank <= 2"""
 
 
 def dynamic(spark, sf_dir):
-    found = M.dynamic_match(_structured(spark, sf_dir).withColumn("extra_info", F.lit("")), _catalog(spark, sf_dir), 2, 0.5)
+    """Citations with words behind them that some of the catalog's names hold."""
+    n = F.col("doc_id")
+    word = F.get(F.array(*map(F.lit, ("red", "blue", "hot", "small"))), (n % 4).cast("int"))
+    text = F.concat(F.lit("nghị định "), n % 90 + 1, F.lit("/"), n % 7 + 2015, F.lit("/NĐ-CP bộ tài chính về "), word, F.lit(" bolt và Bộ luật "), n % 50 + 1, F.lit(" về "), word)
+    rows = _docs(spark, sf_dir).select(n.alias("id"), F.explode(M.structured_mentions(text)).alias("m")).select("id", "m.*")
+    found = M.dynamic_match(rows, _catalog(spark, sf_dir), 2, 0.5)
     return found.select("id", "mention", "document_id", F.round("score", 5).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-DYNAMIC = CATALOG + ", m as (" + STRUCTURED + """), r as (select m.id, m.mention, c.document_id, row_number() over (partition by m.id, m.mention order by c.position) as rank from m join catalog c
+_PAIR_TOKENS = "list_filter(regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda x: x not in ({}))"
+_KEPT = ", ".join(f"'{w}'" for w in W.STOP_WORDS)
+DYNAMIC = CATALOG + f""", d as (select doc_id, ['red', 'blue', 'hot', 'small'][doc_id % 4 + 1] as word from documents),
+m as (select doc_id as id, unnest(['Nghị định ' || (doc_id % 90 + 1) || '/' || (doc_id % 7 + 2015) || '/NĐ-CP về ' || word || ' bolt', 'Bộ luật ' || (doc_id % 50 + 1) || ' về ' || word]) as mention, unnest(['nghị định', 'bộ luật']) as document_type,
+  unnest([(doc_id % 90 + 1)::varchar, (doc_id % 50 + 1)::varchar]) as document_number, unnest([(doc_id % 7 + 2015)::varchar, '']) as issue_year, unnest(['btc', '']) as issuer_body, unnest(['về ' || word || ' bolt', 'về ' || word]) as extra_info,
+  unnest([3.2 / 3.8, 1.7 / 2.3])::double as base, unnest([0.6 / 3.8, 0.6 / 2.3])::double as extra from d),
+p as (select m.*, c.document_id, c.position, c.full_name from m join catalog c
   on (c.document_type = m.document_type or (c.document_type in ('luật', 'bộ luật') and m.document_type in ('luật', 'bộ luật'))) and c.document_number = m.document_number
-  and (m.issue_year = '' or c.issue_year = m.issue_year) and (m.issuer_body = '' or c.issuer_body = m.issuer_body))
-select id, mention, document_id, 1.0::double as score, rank from r where rank <= 2"""
+  and (m.issue_year = '' or c.issue_year = m.issue_year) and (m.issuer_body = '' or c.issuer_body = m.issuer_body)),
+ct as (select id, mention, position, token, count(*) as tf from (select id, mention, position, unnest({_PAIR_TOKENS.format("lower(full_name)", _KEPT)}) as token from p) group by all),
+qt as (select id, mention, position, token, count(*) as tf from (select id, mention, position, unnest({_PAIR_TOKENS.format("lower(extra_info)", _KEPT)}) as token from p) group by all),
+b as (select id, mention, position, coalesce(ct.tf, 0) as c, coalesce(qt.tf, 0) as q, ln(3.0 / (1 + (ct.tf is not null)::int + (qt.tf is not null)::int)) + 1 as idf from ct full join qt using (id, mention, position, token)),
+near as (select id, mention, position, coalesce(sum(c * idf * q * idf) / nullif(sqrt(sum(c * idf * c * idf)) * sqrt(sum(q * idf * q * idf)), 0), 0) as s from b group by all),
+scored as (select p.id, p.mention, document_id, p.position, base + extra * coalesce(s, 0) as score from p left join near using (id, mention, position)),
+r as (select *, row_number() over (partition by id, mention order by round(score, 12) desc, position) as rank from scored where score >= 0.5)
+select id, mention, document_id, round(score, 5) as score, rank from r where rank <= 2"""
 
 
 def partial_names(spark, sf_dir):
