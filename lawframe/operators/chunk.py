@@ -10,28 +10,32 @@ from lawframe.functions.vectors import cosine
 
 
 def _packed(parts: Column, most_words: int, most_parts: int | None) -> Column:
-    """Numbers of the groups that parts go to: greedily, while words (and parts) fit."""
-    start = F.struct(F.lit(-1).alias("group"), F.lit(0).alias("words"), F.lit(0).alias("parts"), F.array().cast("array<int>").alias("groups"))
+    """array<struct<at, before>>: where groups of parts begin, taken greedily while words (and parts) fit, and the words
+    before each; behind the last the end of all."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("total"), F.lit(0).alias("words"), F.lit(0).alias("parts"), F.array().cast("array<struct<at:int,before:int>>").alias("groups"))
 
     def step(s: Column, part: Column) -> Column:
         words = count_words(part)
-        full = (s["group"] < 0) | (s["words"] + words > most_words)
+        full = (s["n"] == 0) | (s["words"] + words > most_words)
         if most_parts:
             full = full | (s["parts"] >= most_parts)
-        group = F.when(full, s["group"] + 1).otherwise(s["group"])
-        return F.struct(group.alias("group"), F.when(full, words).otherwise(s["words"] + words).alias("words"), F.when(full, 1).otherwise(s["parts"] + 1).alias("parts"), F.array_append(s["groups"], group).alias("groups"))
+        groups = F.when(full, F.array_append(s["groups"], F.struct((s["n"] + 1).alias("at"), s["total"].alias("before")))).otherwise(s["groups"])
+        return F.struct((s["n"] + 1).alias("n"), (s["total"] + words).alias("total"), F.when(full, words).otherwise(s["words"] + words).alias("words"), F.when(full, 1).otherwise(s["parts"] + 1).alias("parts"), groups.alias("groups"))
 
-    return F.aggregate(parts, start, step, lambda s: s["groups"])
+    return F.aggregate(parts, start, step, lambda s: F.array_append(s["groups"], F.struct((s["n"] + 1).alias("at"), s["total"].alias("before"))))
 
 
 def packed(docs: DataFrame, most_words: int = 300, most_parts: int | None = None, separator: str = r"\n\s*\n", joint: str = "\n\n") -> DataFrame:
-    """(doc_id, chunk, n_words, content): consecutive paragraphs packed greedily; a longer one stands alone; blanks go."""
+    """(doc_id, chunk, n_words, content): consecutive paragraphs packed greedily; a longer one stands alone; blanks go.
+
+    Groups are runs, so a chunk is a slice of its document's array: nothing is shuffled.
+    """
     parts = docs.select("doc_id", F.filter(F.transform(F.split("text", separator), strip), lambda p: p != "").alias("parts"))
-    grouped = parts.withColumn("groups", _packed(F.col("parts"), most_words, most_parts))
-    rows = grouped.select("doc_id", F.posexplode(F.arrays_zip("parts", "groups")).alias("ord", "row"))
-    chunks = rows.groupBy("doc_id", F.col("row.groups").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("row.parts").alias("part")))).alias("rows"))
-    content = F.array_join(F.transform("rows", lambda r: r["part"]), joint)
-    return chunks.select("doc_id", "chunk", count_words(content).alias("n_words"), content.alias("content"))
+    grouped = parts.filter(F.size("parts") > 0).withColumn("groups", _packed(F.col("parts"), most_words, most_parts))
+    rows = grouped.select("doc_id", "parts", "groups", F.posexplode(F.slice("groups", F.lit(1), F.size("groups") - 1)).alias("chunk", "g"))
+    following = F.get("groups", F.col("chunk") + 1)
+    content = F.array_join(F.slice("parts", F.col("g.at"), following["at"] - F.col("g.at")), joint)
+    return rows.select("doc_id", "chunk", (following["before"] - F.col("g.before")).alias("n_words"), content.alias("content"))
 
 
 def split_articles(docs: DataFrame) -> DataFrame:

@@ -192,8 +192,9 @@ def dynamic_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cuto
 
 
 def partial_names(catalog: DataFrame) -> DataFrame:
-    """(document_type, issue_year, names): the full names that a kind and year may stand for."""
-    return catalog.groupBy("document_type", "issue_year").agg(F.array_sort(F.collect_list("full_name")).alias("names"))
+    """(document_type, issue_year, full_name): the full names that a kind and year may stand for, a row each, so that
+    mentions of the two join them and no list of a year's documents is ever held."""
+    return catalog.select("document_type", "issue_year", "full_name")
 
 
 def link_documents(records: DataFrame, catalog: DataFrame) -> DataFrame:
