@@ -50,3 +50,8 @@ def answer(queries: DataFrame, points: DataFrame, cache: DataFrame | None = None
         F.coalesce(F.transform("sources", lambda s: s.cast("string")), F.array().cast("array<string>")).alias("sources"), F.lit(False).alias("cached"),
     )
     return fresh if done is None else fresh.unionByName(done)
+
+
+def query_engine(points: DataFrame, top_k: int = 3, generator: str = "extractive"):
+    """A function from queries (query_id, query_text) to answers from the `top_k` nearest points, however far they are."""
+    return lambda queries: answer(queries, points, generator=generator, qa_k=top_k, doc_k=top_k, qa=-1.0, doc=-1.0)

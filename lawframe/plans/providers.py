@@ -87,7 +87,7 @@ class Embedder:
         if self._model is None:
             self._model = self.make()
         try:
-            found = [flat(v) for v in self._model(texts)]
+            found = [flat(v) if len(v) else [] for v in self._model(texts)]
         except Exception:
             return [[] for _ in texts]
         return [v if len(v) == self.dimension else [] for v in found] if len(found) == len(texts) else [[] for _ in texts]
@@ -102,6 +102,22 @@ class Embedder:
         return self.dimension
 
 
+def with_fallback(first: Embedder, second: Embedder) -> Embedder:
+    """The first model's vectors, and the second's for texts that it has none for."""
+
+    def make():
+        def ask(texts: list[str]) -> list[list[float]]:
+            found = first.batch_embed(texts)
+            left = [i for i, v in enumerate(found) if not v]
+            for i, v in zip(left, second.batch_embed([texts[i] for i in left]) if left else [], strict=True):
+                found[i] = v
+            return found
+
+        return ask
+
+    return Embedder(make, first.vector_dimension())
+
+
 def flat(vector) -> list[float]:
     """A vector as a list; one of one row (1 x d) loses that row."""
     found = np.asarray(vector, float)

@@ -249,3 +249,14 @@ def first_match(queries: DataFrame, key: str, value: str) -> DataFrame:
 def by_size(models: DataFrame) -> DataFrame:
     """A list of models (model, size_in_gb, ...), the smallest first."""
     return models.orderBy(F.col("size_in_gb").asc_nulls_last(), "model")
+
+
+def converted(spark: SparkSession, path: str, convert, glob: str = "*.doc") -> DataFrame:
+    """(path, content) of old word-processor files below a folder as `convert` (bytes to bytes) makes them new; the names
+    end as the new kind's do."""
+
+    def run(batches):
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"].str.replace(r"\.doc$", ".docx", case=False, regex=True), "content": [convert(c) for c in batch["content"]]})
+
+    return read_binary(spark, path, glob).mapInPandas(run, "path string, content binary")

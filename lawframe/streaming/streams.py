@@ -60,3 +60,27 @@ def available(stream: DataFrame, mode: str = "append") -> DataFrame:
 def batches(stream: DataFrame, handle, checkpoint: str) -> None:
     """Each micro-batch to `handle(frame, number)`; a batch that fails comes again, so `handle` has to be idempotent."""
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def enqueue(messages_: DataFrame, folder: str) -> None:
+    """Messages (query_id, query_text, llm_provider, timestamp) put into a queue's folder as JSON lines."""
+    messages_.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
+
+
+def consume(spark: SparkSession, folder: str, handle, poison: str, checkpoint: str, per_trigger: int = 10) -> None:
+    """What lies in a queue's folder, at least once: good messages to `handle(frame, number)`, others to the folder
+    `poison`, one folder a batch so that a repeated batch writes the same. The checkpoint takes a batch as done only
+    after `handle` has returned; a batch that fails is delivered again."""
+    raw = spark.readStream.option("maxFilesPerTrigger", per_trigger).text(folder)
+
+    def one(frame: DataFrame, number: int) -> None:
+        good, bad = messages(frame)
+        bad.write.mode("overwrite").text(f"{poison}/{number}")
+        handle(good, number)
+
+    batches(raw, one, checkpoint)
+
+
+def live(cache: DataFrame, now: int) -> DataFrame:
+    """Cache rows (cache_key, ttl, ...) of a stream or a table that have not expired."""
+    return cache.filter(F.col("ttl") >= now)

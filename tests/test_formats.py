@@ -246,3 +246,40 @@ def test_sessions_of_a_stream(spark, tmp_path):
 def test_package_is_shipped(spark):
     ship(spark)
     assert any(f.endswith("lawframe.zip") for f in spark.sparkContext.listFiles)
+
+
+def test_queue(spark, tmp_path):
+    """Poison rows go apart; a batch that fails comes again."""
+    schema = "query_id string, query_text string, llm_provider string, timestamp bigint"
+    streams.enqueue(spark.createDataFrame([("1", "a", "x", 1), ("2", " ", "x", 2)], schema).coalesce(1), f"{tmp_path}/q")
+    seen, tries = [], []
+
+    def handle(frame, number):
+        tries.append(number)
+        if len(tries) == 1:
+            raise RuntimeError("lost")
+        seen.extend(r["query_id"] for r in frame.collect())
+
+    run = lambda: streams.consume(spark, f"{tmp_path}/q", handle, f"{tmp_path}/poison", f"{tmp_path}/check")
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    run()
+    assert seen == ["1"] and tries == [0, 0]
+    assert [json.loads(r[0])["query_id"] for r in spark.read.text(f"{tmp_path}/poison/0").collect()] == ["2"]
+    cache = spark.createDataFrame([("a", 5), ("b", 15)], "cache_key string, ttl int")
+    assert [r["cache_key"] for r in streams.live(cache, 10).collect()] == ["b"]
+
+
+def test_fallback_and_engine(spark, tmp_path):
+    broken = providers.managed_embedder(lambda t: 1 / 0 if "x" in t else [1.0, 0.0], 2)
+    assert providers.with_fallback(broken, providers.managed_embedder(lambda t: [0.0, 1.0], 2)).batch_embed(["a", "x"]) == [[1.0, 0.0], [0.0, 1.0]]
+    from lawframe.plans import answering
+
+    points = spark.createDataFrame([("doc_768", f"R{i}", f"text {i}", "T", "D", "s", "D_art001") for i in range(5)], "collection string, record_id string, content string, title string, document_id string, source string, chunk_id string")
+    engine = answering.query_engine(points.withColumn("embedding", providers.embed(F.col("content"))), 2)
+    got = engine(spark.createDataFrame([("1", "far away")], "query_id string, query_text string")).collect()
+    assert len(got) == 1 and len(got[0]["sources"]) == 2
+    (tmp_path / "a.DOC").write_bytes(b"old")
+    (tmp_path / "b.doc").write_bytes(b"old")
+    assert [(r["path"][-7:], bytes(r["content"])) for r in files.converted(spark, str(tmp_path), lambda c: c.upper()).collect()] == [("/b.docx", b"OLD")]
