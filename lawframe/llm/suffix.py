@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from lawframe.llm.common import claim, few_rows_a_batch, row_of, schema_of, slices, small, stored, table
 
 LENGTH, WINDOW = 400, 64
+#: Bytes of a passage of over 50 words, at four letters and a space each.
+PASSAGE = 255
 U = np.uint64
 #: Bits of the filter that spares anchors of unknown cores a shuffle; a fixed size, whatever the corpus.
 FILTER_BITS = 27
@@ -187,23 +189,56 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800, length: int = LENGTH) -> DataFrame:
-    """(key, mark, spans array<struct<first, last>>): runs of starts of repeated strings, for each text that has any."""
+def starts_within(size: int, runs: list[dict], shorter: int, length: int) -> np.ndarray:
+    """Which starts of strings of `length` bytes in a text of `size` bytes have only starts of repeated `shorter` strings
+    in them, given runs (first, last) of these."""
+    edge = np.zeros(size - shorter + 2, np.int32)
+    np.add.at(edge, [r["first"] for r in runs], 1)
+    np.add.at(edge, [r["last"] + 1 for r in runs], -1)
+    open_ = np.r_[0, (edge[:-1].cumsum() > 0).cumsum()]
+    span = length - shorter + 1
+    return open_[span:] - open_[:-span] == span if len(open_) > span else np.zeros(0, bool)
+
+
+def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800, length: int = LENGTH, within: DataFrame | None = None, shorter: int = PASSAGE) -> DataFrame:
+    """(key, mark, spans array<struct<first, last>>): runs of starts of repeated strings, for each text that has any.
+
+    `within` are the same for strings of `shorter` bytes: as a string only repeats where all shorter ones in it do, texts
+    without them and anchors outside of them are left out from the start.
+    """
     spark, keyed = docs.sparkSession, _keyed(docs)
+    if length < WINDOW + 7:
+        raise ValueError(f"strings have {WINDOW + 7} bytes at least: all 8-grams that an anchor is chosen from")
+    texts, limited = ["key", "mark", "text"], within is not None
+    if limited:
+        touched = keyed.join(small(within.select("key", "mark")), ["key", "mark"], "left_semi")
+        keyed, texts = touched.join(within.withColumnRenamed("spans", "within"), ["key", "mark"]), [*texts, "within"]
     counted = schema_of(keyed, ["key", "mark"], "nth int, width int, core long, context long, n long")
 
+    def found_in(batch) -> list[tuple[np.ndarray, ...]]:
+        """For each text: number, first and last start, core and context of its anchors that may repeat."""
+        found = []
+        limits = batch.column("within").to_pylist() if limited else None
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            _, first, last, core, context = anchors(text, length)
+            nth = np.arange(len(first))
+            if limits is not None and len(first):
+                open_ = np.r_[0, starts_within(len(text), limits[i], shorter, length).cumsum()]
+                nth = np.flatnonzero(open_[last + 1] > open_[first])
+            found.append((nth, first[nth], last[nth], core[nth], context[nth]))
+        return found
+
     def count(batches):
         import pyarrow as pa
 
         claim()
         for batch in slices(batches, 4 << 20):
-            found = [anchors(t, length)[1:] for t in batch.column("text").to_pylist()]
+            found = found_in(batch)
             sizes = np.array([len(x[0]) for x in found])
             if not sizes.sum():
                 continue
-            first, last, core, context = (np.concatenate(x) for x in zip(*found, strict=True))
+            nth, first, last, core, context = (np.concatenate(x) for x in zip(*found, strict=True))
             row = np.repeat(np.arange(len(sizes)), sizes)
-            nth = np.arange(len(core)) - np.repeat(sizes.cumsum() - sizes, sizes)
             # copies within a slice travel as one row
             order = np.lexsort((context, core))
             heads = np.flatnonzero(np.r_[True, (core[order][1:] != core[order][:-1]) | (context[order][1:] != context[order][:-1])])
@@ -216,7 +251,7 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800,
     from pyspark.sql import Window
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = keyed.select("key", "mark", "text").mapInArrow(count, counted).repartition(partitions, "core")
+    rows = keyed.select(*texts).mapInArrow(count, counted).repartition(partitions, "core")
     sums = rows.groupBy("core", "context").agg(F.sum("n").alias("n"), F.min(F.struct("key", "mark", "nth")).alias("at"), F.first("width").alias("width"))
     whole = Window.partitionBy("core")
     classes = sums.withColumn("all", F.sum("n").over(whole)).filter("all > 1")
@@ -279,17 +314,17 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800,
 
         known = shared.value
         for batch in slices(batches):
-            found = [anchors(t, length)[1:] for t in batch.column("text").to_pylist()]
+            found = found_in(batch)
             sizes = np.array([len(x[0]) for x in found])
             if not sizes.sum():
                 continue
-            first, _, core, context = (np.concatenate(x) for x in zip(*found, strict=True))
+            _, first, _, core, context = (np.concatenate(x) for x in zip(*found, strict=True))
             bit = core.view(U) >> U(64 - FILTER_BITS)
             maybe = np.flatnonzero(known[bit >> U(6)] >> (bit & U(63)) & U(1))
             at = pa.array(np.repeat(np.arange(len(sizes)), sizes)[maybe])
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("mark").take(at), pa.array(first[maybe].astype(np.int32)), pa.array(core[maybe]), pa.array(context[maybe])], member.names)
 
-    placed = keyed.select("key", "mark", "text").mapInArrow(members, member).join(repeats, ["core", "context"])
+    placed = keyed.select(*texts).mapInArrow(members, member).join(repeats, ["core", "context"])
     span = F.zip_with("first", "last", lambda a, b: F.struct((F.col("begin") + a).alias("first"), (F.col("begin") + b).alias("last")))
     spans = placed.groupBy("key", "mark").agg(F.array_sort(F.flatten(F.collect_set(span))).alias("spans"))
     return spans
@@ -307,41 +342,57 @@ def _start_by_start(contexts: DataFrame) -> DataFrame:
     return found.select("core", "context", "first", F.col("first").alias("last"))
 
 
-def remove_repeats(docs: DataFrame, *carried: str, whole_characters: bool = False, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, *carried: str, whole_characters: bool = False, length: int = LENGTH, passages: int | None = None) -> DataFrame:
     """doc_id of every row, `row` (a struct of its `carried` columns, if there are any), the text without repeated bytes
-    (as bytes), n_bytes, n_removed, n_spans.
+    (as bytes), n_bytes, n_removed, n_spans, n_repeated.
 
-    With `whole_characters` the halves of characters that were cut go too.
+    With `whole_characters` the halves of characters that were cut go too. With `passages`, less than `length`, n_repeated
+    counts the bytes that repeated strings of so many bytes cover, removed or not; else it is n_removed.
     """
-    extra = ["row"] if carried else []
-    spans = stored(repeated_spans(docs, length=length), "spans")
-    _free(docs.sparkSession)
+    extra, spark = ["row"] if carried else [], docs.sparkSession
+    none = "array<struct<first:int,last:int>>"
+    if passages:
+        wide = stored(repeated_spans(docs, length=passages), "passages")
+        _free(spark)
+        cut_ = stored(repeated_spans(docs, length=length, within=wide, shorter=passages), "spans")
+        spans = wide.withColumnRenamed("spans", "wide").join(cut_, ["key", "mark"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(none)))
+    else:
+        spans = stored(repeated_spans(docs, length=length), "spans").withColumn("wide", F.lit(None).cast(none))
+    _free(spark)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", *([row_of(docs, carried)] if carried else []), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("_key"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
     touched = small(spans.select(F.col("key").alias("_key"), F.col("mark").alias("_mark")))
-    whole = rows.join(touched, ["_key", "_mark"], "left_anti").select("doc_id", *extra, F.col("_text").alias("text"), F.length("_text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"))
-    cutting = rows.join(touched, ["_key", "_mark"], "left_semi").join(spans.withColumnsRenamed({"key": "_key", "mark": "_mark", "spans": "_spans"}), ["_key", "_mark"])
-    schema = schema_of(rows, ["doc_id", *extra], "text binary, n_bytes long, n_removed long, n_spans long")
+    zero = F.lit(0).cast("bigint")
+    whole = rows.join(touched, ["_key", "_mark"], "left_anti").select("doc_id", *extra, F.col("_text").alias("text"), F.length("_text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), zero.alias("n_repeated"))
+    cutting = rows.join(touched, ["_key", "_mark"], "left_semi").join(spans.withColumnsRenamed({"key": "_key", "mark": "_mark", "spans": "_spans", "wide": "_wide"}), ["_key", "_mark"])
+    schema = schema_of(rows, ["doc_id", *extra], "text binary, n_bytes long, n_removed long, n_spans long, n_repeated long")
+
+    def covered(size: int, runs: list[dict], of: int) -> np.ndarray:
+        edge = np.zeros(size + 1, np.int32)
+        np.add.at(edge, [r["first"] for r in runs], 1)
+        np.add.at(edge, [r["last"] + of for r in runs], -1)
+        return edge[:-1].cumsum() > 0
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
             made = []
-            for raw, runs in zip(batch.column("_text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-                edge = np.zeros(len(raw) + 1, np.int32)
-                np.add.at(edge, [r["first"] for r in runs], 1)
-                np.add.at(edge, [r["last"] + length for r in runs], -1)
-                gone = edge[:-1].cumsum() > 0
+            for raw, runs, wide in zip(*(batch.column(c).to_pylist() for c in ("_text", "_spans", "_wide")), strict=True):
+                gone = covered(len(raw), runs, length)
                 left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 if whole_characters:
                     left = left.decode("utf-8", "ignore").encode()
-                made.append((left, len(raw), int(gone.sum()), len(_spans(gone)[0])))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *extra)), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else [()] * 4, kinds, strict=True))], schema.names)
+                repeated = gone if wide is None else covered(len(raw), wide, passages)
+                made.append((left, len(raw), int(gone.sum()), len(_spans(gone)[0]), int(repeated.sum())))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *extra)), *(pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else [()] * 5, kinds, strict=True))], schema.names)
 
-    return whole.unionByName(cutting.select("doc_id", *extra, "_text", "_spans").mapInArrow(cut, schema))
+    return whole.unionByName(cutting.select("doc_id", *extra, "_text", "_spans", "_wide").mapInArrow(cut, schema))
 
 
 def op3_suffix(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+    """Per document what repeated strings of LENGTH bytes take away; behind that n_repeated, the bytes in repeated
+    passages of PASSAGE bytes, most of which LENGTH leaves where they are."""
+    made = remove_repeats(table(spark, sf_dir, "documents"), passages=PASSAGE)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"), "n_repeated")
