@@ -20,18 +20,23 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends."""
-    path = f"{scratch_dir(spark)}/lawframe-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{scratch_dir(spark)}/lawframe-{name}-{uuid.uuid4().hex}"
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """What lies at `path` goes when the application ends."""
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
-    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once into the shared folder and read it back: lineage ends here, lost executors lose nothing."""
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    passing(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:

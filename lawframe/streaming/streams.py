@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawframe.scratch import scratch_path
+from lawframe.scratch import passing, scratch_path
 
 MESSAGE = "query_id string, query_text string, llm_provider string, timestamp bigint"
 
@@ -46,6 +46,7 @@ def available(stream: DataFrame, mode: str = "append") -> DataFrame:
     rows, writer = f"{at}/rows", stream.writeStream.option("checkpointLocation", f"{at}/checkpoint").outputMode(mode).trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", rows).start().awaitTermination()
+        passing(spark, at)
         return spark.read.schema(stream.schema).parquet(rows)
     done: list[int] = []
 
@@ -54,6 +55,7 @@ def available(stream: DataFrame, mode: str = "append") -> DataFrame:
         done.append(number)
 
     writer.foreachBatch(put).start().awaitTermination()
+    passing(spark, at)
     return spark.read.schema(stream.schema).parquet(f"{rows}/{max(done)}") if done else spark.createDataFrame([], stream.schema)
 
 
