@@ -170,7 +170,7 @@ def weighted_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cut
     cands = _agreeing(rest, catalog, ("document_number", "issuer_body")).withColumn("group_id", F.struct("id", "mention")).select("group_id", query.alias("query"), F.col("position").alias("cand_id"), F.col("full_name").alias("cand"), "document_id", "c_issue_year")
     cands = stored(cands, "candidates")
     near = pair_similarity(cands.select("group_id", "query", "cand_id", "cand")).filter(F.col("similarity") >= cutoff)
-    by = Window.partitionBy("group_id").orderBy(F.desc("similarity"), F.desc("c_issue_year"), "cand_id")
+    by = Window.partitionBy("group_id").orderBy(F.round("similarity", 9).desc(), F.desc("c_issue_year"), "cand_id")
     fallback = near.join(cands, ["group_id", "cand_id"]).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n)
     return kept.unionByName(fallback.select("group_id.id", "group_id.mention", "document_id", F.col("cand").alias("full_name"), F.col("similarity").alias("score"), "rank"))
 
@@ -187,7 +187,7 @@ def dynamic_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cuto
     extra = base.filter("extra_info <> ''").select("group_id", F.lower("extra_info").alias("query"), F.col("position").alias("cand_id"), F.lower("full_name").alias("cand"))
     near = pair_similarity(extra, True, STOP_WORDS).withColumnRenamed("cand_id", "position")
     scored = base.join(near, ["group_id", "position"], "left").withColumn("score", F.col("base") + F.col("extra_weight") * F.coalesce("similarity", F.lit(0.0)))
-    order = Window.partitionBy("group_id").orderBy(F.desc("score"), "position")
+    order = Window.partitionBy("group_id").orderBy(F.round("score", 9).desc(), "position")
     return scored.filter(F.col("score") >= cutoff).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n).select("id", "mention", "document_id", "score", "rank")
 
 

@@ -363,7 +363,7 @@ idf as (select id, mention, token, ln((1 + any_value(n)) / (1 + count(*))) + 1 a
 cw as (select id, mention, position, token, tf * idf as w from ct join idf using (id, mention, token)), qw as (select id, mention, token, tf * idf as w from qt join idf using (id, mention, token)),
 cn as (select id, mention, position, sqrt(sum(w * w)) as l from cw group by all), qn as (select id, mention, sqrt(sum(w * w)) as l from qw group by all),
 near as (select id, mention, position, sum(cw.w * qw.w) / any_value(cn.l * qn.l) as score from cw join qw using (id, mention, token) join cn using (id, mention, position) join qn using (id, mention) group by all),
-ranked as (select id, mention, document_id, score, row_number() over (partition by id, mention order by score desc, issue_year desc, position) as rank from near join cand using (id, mention, position) where score >= 0.2)
+ranked as (select id, mention, document_id, score, row_number() over (partition by id, mention order by round(score, 9) desc, issue_year desc, position) as rank from near join cand using (id, mention, position) where score >= 0.2)
 select id, mention, document_id, 1.0::double as score, rank from sure where rank <= 2 union all select id, mention, document_id, round(score, 5), rank from ranked where rank <= 2"""
 
 

@@ -333,7 +333,7 @@ qt as (select id, mention, position, token, count(*) as tf from (select id, ment
 b as (select id, mention, position, coalesce(ct.tf, 0) as c, coalesce(qt.tf, 0) as q, ln(3.0 / (1 + (ct.tf is not null)::int + (qt.tf is not null)::int)) + 1 as idf from ct full join qt using (id, mention, position, token)),
 near as (select id, mention, position, coalesce(sum(c * idf * q * idf) / nullif(sqrt(sum(c * idf * c * idf)) * sqrt(sum(q * idf * q * idf)), 0), 0) as s from b group by all),
 scored as (select p.id, p.mention, document_id, p.position, base + extra * coalesce(s, 0) as score from p left join near using (id, mention, position)),
-r as (select *, row_number() over (partition by id, mention order by round(score, 12) desc, position) as rank from scored where score >= 0.5)
+r as (select *, row_number() over (partition by id, mention order by round(score, 9) desc, position) as rank from scored where score >= 0.5)
 select id, mention, document_id, round(score, 5) as score, rank from r where rank <= 2"""
 
 
