@@ -1,16 +1,18 @@
 """Near duplicates by DartMinHash.
 
-A text's elements are its five-word shingles, each with a weight (1: sets; or its count). Over every element the plane
-of weight and rank is cut into unit cells; a cell holds a Poisson(1) number of darts, thrown by hashing, and each dart
-names one of K coordinates. Of the darts below an element's weight the earliest (least rank) per coordinate is kept:
-two texts agree in a coordinate with the probability of their (weighted) Jaccard similarity, and a text only looks at
-ranks up to about K ln K / its total weight, so long texts throw few darts an element.
-
-Equal texts are one node from the start, named by their hash, whatever their doc_ids, and send one member on. Coordinates are banded; in each bucket every
-member is paired with a few anchors (the least, and the most central ones), pairs are verified exactly on their
-shingles, and links are closed to components. Where a bucket's members are still in different components, those outside
-the largest are compared with all others that shared buckets connect, in blocks and exactly. So no link that shares a
-bucket is lost, while a large group of near copies costs a few pairs a member.
+A text's elements are its five-word shingles, each weighted by its count. Over every element the plane of weight and
+rank is cut into unit cells; a cell holds a Poisson(1) number of darts, thrown by hashing, and each dart names one of K
+coordinates. Of the darts below an element's weight the earliest (least rank) per coordinate is kept: two texts agree in
+a coordinate with the probability of their weighted Jaccard similarity, and a text only looks at ranks up to about
+K ln K / its total weight, so long texts throw few darts an element.
+
+Two texts are alike if their shingles are, with counts (sums of lesser over sums of greater ones) or as sets; a text in
+which shingles repeat therefore sends a signature of either kind. Equal texts are one node from the start, named by
+their hash, whatever their doc_ids, and send one member on. Coordinates are banded; in each bucket every member is
+paired with a few anchors (the least, and the most central ones), pairs are verified exactly on their shingles, and
+links are closed to components. Where a bucket's members are still in different components, those outside the largest
+are compared with all others that shared buckets connect, in blocks and exactly. So no link that shares a bucket is
+lost, while a large group of near copies costs a few pairs a member.
 
 Edge cases: a null text is empty; empty texts are one class; a text of fewer than five words is one shingle of all its
 words; words are runs between white space, compared as they are; repeated rows are copies; different texts with one
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lawframe.llm.common import schema_of, slices, small, stored, table, texts
+from lawframe.llm.common import Words, claim, schema_of, slices, small, stored, table, texts
 
 WORDS, ALIKE = 5, 0.8
 #: Coordinates in BANDS bands of ROWS: a pair of similarity 0.8 misses all of them once in 150,000 times.
@@ -45,30 +47,52 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
+def _hash(word: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
 
-        if len(self) >= 400_000:
-            self.clear()
-        found = self[word] = xxh3_64_intdigest(word)
-        return found
+    return xxh3_64_intdigest(word)
 
 
-_words = _Words()
+_words = Words(_hash)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
+def _begin() -> None:
+    """What tasks start with; a function of the module, so that workers use the module's own cache."""
+    claim(_words)
+
+
+def shingles(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 64-bit hashes of a text's shingles, and how often each occurs."""
     words = text.split()
     hashes = np.fromiter(map(_words.__getitem__, words), U, len(words))
     if not len(hashes):
-        return hashes
+        return hashes, np.zeros(0, np.uint32)
     count = max(1, len(hashes) - WORDS + 1)
     found = np.full(count, min(len(hashes), WORDS), U)
     for k in range(min(WORDS, len(hashes))):
         found = _mix(found ^ hashes[k : k + count])
-    return np.unique(found)
+    found, counts = np.unique(found, return_counts=True)
+    return found, counts.astype(np.uint32)
+
+
+def packed(elements: np.ndarray, counts: np.ndarray) -> bytes:
+    return elements.tobytes() + counts.tobytes()
+
+
+def unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(held) // 12
+    return np.frombuffer(held, U, n), np.frombuffer(held, np.uint32, n, 8 * n)
+
+
+def alike(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether two texts' shingles have a Jaccard similarity of ALIKE or more, as sets or with counts."""
+    (a, m), (b, n) = x, y
+    sets, sums = sorted((len(a), len(b))), sorted((int(m.sum()), int(n.sum())))
+    if sets[0] < ALIKE * sets[1] and sums[0] < ALIKE * sums[1]:
+        return False
+    _, i, j = np.intersect1d(a, b, True, True)
+    both = int(np.minimum(m[i], n[j]).sum())
+    return len(i) >= ALIKE * (sum(sets) - len(i)) or both >= ALIKE * (sum(sums) - both)
 
 
 def dart_minhash(elements: np.ndarray, weights: np.ndarray | None = None, coordinates: int = COORDINATES) -> np.ndarray:
@@ -114,6 +138,14 @@ def bands_of(signature: np.ndarray) -> np.ndarray:
     return found.astype(np.int64)
 
 
+def keys_of(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bucket keys of a text: its bands as a set, and, if shingles repeat, with counts."""
+    if not len(elements):
+        return np.zeros(0, np.int64)
+    found = bands_of(dart_minhash(elements))
+    return found if counts.max() == 1 else np.unique(np.concatenate([found, bands_of(dart_minhash(elements, counts.astype(float)))]))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, copy (hash of the text), bands (none for an empty text)."""
     df = texts(docs, "doc_id").withColumn("copy", F.unhex(F.md5("text")))
@@ -122,18 +154,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     def scan(batches):
         import pyarrow as pa
 
+        _begin()
         for batch in slices(batches):
-            found = []
-            for text in batch.column("text").to_pylist():
-                elements = shingles(text)
-                found.append(bands_of(dart_minhash(elements)) if len(elements) else [])
+            found = [keys_of(*shingles(text)) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copy"), pa.array(found, pa.list_(pa.int64()))], schema.names)
 
     return df.mapInArrow(scan, schema)
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(copy, elements: its sorted shingle hashes as bytes) of the texts in `nodes` (copy, name: a doc_id that has the text)."""
+    """(copy, elements: its shingles and their counts as bytes) of the texts in `nodes` (copy, name: a doc_id that has the text)."""
     hashed = texts(docs, "doc_id").withColumn("copy", F.unhex(F.md5("text")))
     named = small(nodes.select(F.col("copy").alias("node"), "name"))
     # by name as well, so that of exact copies those with another doc_id stay behind; repeated rows are still there
@@ -144,8 +174,9 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def scan(batches):
         import pyarrow as pa
 
+        _begin()
         for batch in slices(batches):
-            made = [shingles(t).tobytes() for t in batch.column("text").to_pylist()]
+            made = [packed(*shingles(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(made, pa.binary())], schema.names)
 
     return stored(wanted.mapInArrow(scan, schema), "shingles")
@@ -163,12 +194,7 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in slices(batches):
-            kept = []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), U), np.frombuffer(right.as_buffer(), U)
-                small_, large = sorted((len(x), len(y)))
-                both = len(np.intersect1d(x, y, True)) if small_ >= ALIKE * large else 0
-                kept.append(both >= ALIKE * (len(x) + len(y) - both))
+            kept = [alike(unpacked(x.as_py()), unpacked(y.as_py())) for x, y in zip(batch.column("left"), batch.column("right"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return sides.select("a", "b", "left", "right").mapInArrow(compare, linked)
@@ -179,18 +205,22 @@ def _linked_in_blocks(open_: DataFrame, docs: DataFrame, names: DataFrame, asked
 
     A cluster is what shared buckets connect. Its members outside of its main component are the queries; they meet all
     its members in blocks of bounded size, are compared exactly there, and one link to each other component comes out.
+    Members are dealt by (cluster, block), never by cluster alone.
     """
     clusters = components(open_.filter("member <> least").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct())
     members = open_.select("member", "root").distinct().join(clusters.withColumnsRenamed({"node": "member", "root": "cluster"}), "member")
     sets = shingle_sets(docs, names.join(small(members.select(F.col("member").alias("copy"))), "copy", "left_semi"))
-    sized = members.join(sets.withColumnRenamed("copy", "member"), "member")
-    shares = members.groupBy("cluster", "root").agg(F.count("*").alias("share")).groupBy("cluster").agg(F.max_by("root", F.struct("share", "root")).alias("main"))
-    total = sized.join(shares, "cluster").groupBy("cluster", "main").agg(F.sum(F.length("elements")).alias("bytes"), F.sum(F.when(F.col("root") != F.col("main"), F.length("elements"))).alias("asked"))
-    plan = total.select("cluster", "main", (1 + F.floor(F.col("bytes") / held_bytes)).alias("blocks"), (1 + F.floor(F.col("asked") / asked_bytes)).alias("parts"))
-    rows = sized.join(plan, "cluster").select("cluster", "member", "root", "elements", "main", F.pmod(F.xxhash64("member"), "blocks").alias("block"), F.pmod(F.xxhash64("member"), "parts").alias("part"))
-    packed = F.collect_list(F.struct("member", "root", "elements"))
-    held = rows.groupBy("cluster", "block").agg(packed.alias("held"))
-    asked = rows.filter("root <> main").groupBy("cluster", "part").agg(packed.alias("asked"))
+    sized = stored(members.join(sets.withColumnRenamed("copy", "member"), "member"), "members")
+    # sums by component first, so that a large cluster arrives as a row a task and component
+    shares = sized.groupBy("cluster", "root").agg(F.count("*").alias("share"), F.sum(F.length("elements")).alias("bytes"))
+    main = F.max_by("root", F.struct("share", "root"))
+    total = shares.groupBy("cluster").agg(main.alias("main"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("share", "root")).alias("of_main"))
+    plan = total.select("cluster", "main", (1 + F.floor(F.col("bytes") / held_bytes)).cast("int").alias("blocks"), (1 + F.floor((F.col("bytes") - F.col("of_main")) / asked_bytes)).cast("int").alias("parts"))
+    rows = sized.join(small(stored(plan, "plan")), "cluster").withColumn("block", F.pmod(F.xxhash64("member"), "blocks").cast("int")).withColumn("part", F.pmod(F.xxhash64("member"), "parts").cast("int"))
+    packed_ = F.collect_list(F.struct("member", "root", "elements"))
+    held = rows.groupBy("cluster", "block").agg(packed_.alias("held"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    asked = rows.filter("root <> main").groupBy("cluster", "blocks", "part").agg(packed_.alias("asked")).select("cluster", "asked", each)
     schema = StructType.fromDDL("a binary, b binary")
 
     def compare(batches):
@@ -199,22 +229,24 @@ def _linked_in_blocks(open_: DataFrame, docs: DataFrame, names: DataFrame, asked
         for batch in slices(batches, 1):
             found = []
             for some, all_ in zip(batch.column("asked").to_pylist(), batch.column("held").to_pylist(), strict=True):
-                sizes = np.array([len(x["elements"]) // 8 for x in all_])
-                values = np.frombuffer(b"".join(x["elements"] for x in all_), U)
+                given = [unpacked(x["elements"]) for x in all_]
+                sizes, sums = (np.array([f(x) for x in given], np.int64) for f in (lambda x: len(x[0]), lambda x: int(x[1].sum())))
+                values, counts = (np.concatenate([x[k] for x in given]) for k in (0, 1))
                 order = values.argsort(kind="stable")
-                owner, values = np.repeat(np.arange(len(all_)), sizes)[order], values[order]
+                owner, values, counts = np.repeat(np.arange(len(all_)), sizes)[order], values[order], counts[order]
                 for x in some:
-                    own = np.frombuffer(x["elements"], U)
+                    own, own_counts = unpacked(x["elements"])
                     low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
                     hits = high - low
                     at = np.repeat(low - (hits.cumsum() - hits), hits) + np.arange(int(hits.sum()))
                     both = np.bincount(owner[at], minlength=len(all_))
-                    near = np.flatnonzero(both >= ALIKE * (len(own) + sizes - both))
+                    shared = np.bincount(owner[at], np.minimum(np.repeat(own_counts, hits), counts[at]), len(all_))
+                    near = np.flatnonzero((both >= ALIKE * (len(own) + sizes - both)) | (shared >= ALIKE * (int(own_counts.sum()) + sums - shared)))
                     others = {all_[i]["root"]: all_[i]["member"] for i in near.tolist() if all_[i]["root"] != x["root"]}
                     found += [(min(x["member"], m), max(x["member"], m)) for m in others.values()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
 
-    return asked.join(held, "cluster").select("asked", "held").mapInArrow(compare, schema)
+    return asked.join(held, ["cluster", "block"]).select("asked", "held").mapInArrow(compare, schema)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
