@@ -2,7 +2,8 @@
 
 Tokens of a URL are its host suffixes (`h:example.org`), path segments (`p:en`) and query keys (`q:page`). FP-growth over
 the labelled pages, whose bad ones carry the item LABEL, mines token combinations; those that imply LABEL with enough
-support and confidence, and that no kept shorter combination already covers at no less confidence, become rules.
+support, and surely oftener than pages are bad at all (by `min_lift`, and by the lower end of the confidence's interval),
+and that no kept shorter combination already covers at no less confidence, become rules.
 An inverted index keyed by each rule's rarest token finds the rules of a URL without trying them all. Given
 allow/block rules use the same index, keyed by their host.
 
@@ -23,6 +24,8 @@ from lawframe.llm.common import schema_of, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 LABEL = "label=bad"
+#: Standard errors that a rule's confidence lies above the share of bad pages (one-sided 99.5 %).
+SURE = 2.58
 #: (verdict, host, path): fits the host and its subdomains where the path starts so.
 GIVEN = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -44,17 +47,24 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(suffixes, segments, keys), lambda t: F.length(t) > 2))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, min_count: int = 25) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_lift: float, sure: float = SURE) -> DataFrame:
     """Rows (url, bad) to rules (antecedent array<string>, confidence, support), pruned.
 
-    All labelled rows count; support is at least `min_support` of them and `min_count` rows. The number of rules is bounded by 1 / min_support and the number of tokens in a URL, not by
-    the number of rows.
+    All labelled rows count. `min_support` is the share of them that a rule and LABEL hold for; a rule's confidence is at
+    least `min_lift` times the share of bad rows, and the lower end of its Wilson interval (`sure` standard errors) lies
+    above that share, so that rules of a few rows need more than luck. The number of rules is bounded by 1 / min_support
+    and the number of tokens in a URL, not by the number of rows.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    items = labelled.select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / max(1, items.count()))), minConfidence=min_confidence).fit(items)
+    items = labelled.select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"), F.col("bad").cast("int").alias("bad"))
+    total, bad = items.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    base = bad / total if total else 1.0
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min(1.0, min_lift * base)).fit(items.select("items"))
     rules = model.associationRules.filter(F.col("consequent")[0] == LABEL).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    p, n, z2 = F.col("confidence"), F.col("support") * total / F.col("confidence"), sure * sure
+    low = (p + z2 / (2 * n) - sure * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    rules = rules.filter(low > base)
     # a rule is redundant where one with fewer tokens fits wherever it does and is at least as sure
     a, b = rules.alias("a"), rules.select("antecedent", "confidence", F.explode("antecedent").alias("token")).alias("b")
     covered = (
@@ -134,7 +144,7 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").alias("doc_id"), "url").join(bad, "doc_id").select("url", "bad")
 
 
-def op9_urls(spark, sf_dir: str, min_support: float = 0.002, min_confidence: float = 0.5) -> DataFrame:
+def op9_urls(spark, sf_dir: str, min_support: float = 0.005, min_lift: float = 1.2) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    rules = mine_rules(labelled_pages(pages, table(spark, sf_dir, "labels")), min_support, min_confidence)
+    rules = mine_rules(labelled_pages(pages, table(spark, sf_dir, "labels")), min_support, min_lift)
     return judge(pages, rules, GIVEN).select("page_id", "host", "path", "rule", "verdict", "confidence")
