@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -66,10 +66,10 @@ def removed_by_brute_force(docs: list[tuple[object, bytes]], length: int = 400)
 
 
 def classes_by_brute_force(docs: list[tuple[object, str]], words: int = 5, alike: float = 0.8) -> list[frozenset]:
-    """Groups of row numbers."""
-    def shingles(t: str) -> frozenset:
+    """Groups of row numbers: texts whose shingles are alike as sets or with counts."""
+    def shingles(t: str) -> Counter:
         w = t.encode().split()
-        return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+        return Counter(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else Counter()
 
     sets, up = [shingles(t) for _, t in docs], list(range(len(docs)))
 
@@ -80,8 +80,8 @@ def classes_by_brute_force(docs: list[tuple[object, str]], words: int = 5, alike
 
     for i, (_, a) in enumerate(docs):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if a == docs[j][1] or both and both >= alike * len(sets[i] | sets[j]):
+            both, shared = len(sets[i].keys() & sets[j].keys()), (sets[i] & sets[j]).total()
+            if a == docs[j][1] or both and (both >= alike * len(sets[i].keys() | sets[j].keys()) or shared >= alike * (sets[i] | sets[j]).total()):
                 up[max(root(i), root(j))] = min(root(i), root(j))
     groups = defaultdict(set)
     for i in range(len(docs)):

@@ -56,6 +56,20 @@ def test_quality_odd(spark, odd, none):
     assert {r["score"] for r in quality.score(odd, empty_vectors, constant, ["doc_id"]).collect()} == {0.5}
 
 
+def test_word_vectors_by_brute_force(spark):
+    rows = [(i, H.prose(40 + i, 50)) for i in range(6)] + [(7, ""), (8, None), (9, "one"), (10, "Two, TWO two!")]
+    index, want = quality.index_vectors(quality.SLOTS, 1), np.zeros((quality.SLOTS, quality.DIM))
+    for _, text in rows:
+        slots = [zlib.crc32("".join(c for c in w if c.isalpha()).lower().encode()) % quality.SLOTS for w in (text or "").split()]
+        for i, slot in enumerate(slots):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(slots):
+                    want[slot] += index[slots[j]]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    got = quality.word_vectors(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert np.abs(got - want).max() < 1e-5 and np.abs(want).max() > 0
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 6))
@@ -115,10 +129,23 @@ def test_repeats_at_edges_and_hot_cores(spark, monkeypatch):
     run = lambda: sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["text"])) for r in suffix.remove_repeats(df).collect())
     assert run() == want
     spans = suffix.repeated_spans
-    monkeypatch.setattr(suffix, "repeated_spans", lambda d: spans(d, most=0))
+    monkeypatch.setattr(suffix, "repeated_spans", lambda d, **more: spans(d, most=0, **more))
     assert run() == want
 
 
+@pytest.mark.parametrize("length, passages", [(400, 255), (255, 100), (71, None)])
+def test_repeats_of_other_lengths(spark, odd, length, passages):
+    """Passages first, then the longer strings within them: the same rows as looking for these alone."""
+    texts = [H.prose(6, 400)[:900], H.prose(6, 400)[100:350] + H.prose(9, 60), H.prose(6, 400)[200:700] + "end", H.prose(9, 60)[:120], None]
+    df = odd.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string"))
+    docs = [(d, t.encode()) for d, t in H.texts_of(df)]
+    want = sorted((d or 0, n, removed, spans, left) for d, n, removed, spans, left in H.removed_by_brute_force(docs, length))
+    rows = suffix.remove_repeats(df, length=length, passages=passages).collect()
+    assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["text"])) for r in rows) == want
+    covered = sorted((d or 0, removed) for d, _, removed, _, _ in H.removed_by_brute_force(docs, passages or length))
+    assert sorted((r["doc_id"] or 0, r["n_repeated"]) for r in rows) == covered
+
+
 def test_merge_orders_suffixes():
     rng = np.random.default_rng(1)
     strings = [rng.integers(1, 4, rng.integers(5, 30)).astype(np.uint16) for _ in range(40)]
@@ -256,6 +283,36 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert names == {0: None, 1: None, 2: 9, 3: 9, 4: 5, 5: 5, 6: 5, 7: 5}
 
 
+def test_links_by_counts_and_by_sets(spark):
+    """A line repeated often outweighs what else differs; and where counts differ, sets of shingles may still be alike."""
+    line, other = H.prose(21, 30), H.prose(22, 60)
+    rows = [(1, " ".join([line] * 40)), (2, " ".join([line] * 40) + " " + H.prose(23, 25)), (3, other + " " + " ".join(["x"] * 6)), (4, other + " " + " ".join(["x"] * 400)), (5, H.prose(24, 60))]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5} and H.classes_by_brute_force(rows) == [{0, 1}, {2, 3}, {4}]
+
+
+def test_recall_by_similarity(spark):
+    """400 pairs of 60 to 400 words with edits at every similarity from 0.6 to 1: linked where alike, and only there."""
+    rng, rows, alike = np.random.default_rng(8), [], {}
+    for k in range(400):
+        words = [f"{w}{k}" for w in H.prose(1000 + k, int(rng.integers(60, 400))).split()]
+        changed = list(words)
+        for at in rng.choice(len(words), int(rng.integers(0, max(2, len(words) // 14))), replace=False):
+            changed[at] = f"edit{at}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(changed))]
+        alike[k] = len(H.classes_by_brute_force(rows[-2:])) == 1
+    assert 100 < sum(alike.values()) < 350
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k] == 2 * k and (got[2 * k + 1] == 2 * k) == alike[k] for k in alike)
+
+
+def test_open_clusters_in_small_blocks(spark, monkeypatch):
+    """The chain and star again, with blocks of a few members each."""
+    linked = minhash._linked_in_blocks
+    monkeypatch.setattr(minhash, "_linked_in_blocks", lambda *a: linked(*a, asked_bytes=8000, held_bytes=20_000))
+    test_near_duplicate_chain(spark)
+
+
 def test_dart_minhash_estimates():
     rng = np.random.default_rng(2)
     errors = []
@@ -316,6 +373,23 @@ def test_apportionment_is_highest_quotients():
         assert mixing.apportion(votes, seats, most) == held
 
 
+def test_taken_words_by_brute_force(spark, sf_dir):
+    """Every word of a shard looked up on its own: its block's turn, and the shard's rounds; and blocks as apportioned."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = mixing.mix(docs, shard_words=4000).collect()
+    shards = defaultdict(dict)
+    for r in rows:
+        taken = 0
+        for i in range(r["size"]):
+            block = (r["at"] + i) // 64
+            extra = (block * r["step"] + r["shift"]) % r["blocks"] < r["more"]
+            taken += r["rounds"] + extra
+            shards[r["source"], r["blocks"], r["more"], r["shift"]][block] = extra
+        assert r["taken"] == taken
+    for (_, blocks, more, _), seen in shards.items():
+        assert len(seen) == blocks and sum(seen.values()) == more
+
+
 def test_mixing_odd(spark, odd, none):
     mixed = mixing.mix(odd, *odd.columns)
     rows = mixed.collect()
@@ -386,10 +460,26 @@ def test_urls(spark, bound):
 
 def test_mined_rules(spark):
     rows = [("http://a.net/x/%d" % i, i % 2 == 0) for i in range(60)] + [("http://spam.net/win/%d" % i, True) for i in range(40)]
-    rules = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), 0.05, 0.9, 10)
+    # bad by luck: three of three pages are not surely above seven tenths
+    rows += [("http://few.net/q", True)] * 3
+    rules = urls.mine_rules(spark.createDataFrame(rows, "url string, bad boolean"), 0.02, 1.2)
     found = {tuple(r["antecedent"]): r["confidence"] for r in rules.collect()}
     assert found == {("h:spam.net",): 1.0, ("p:win",): 1.0}
-    assert urls.mine_rules(spark.createDataFrame([], "url string, bad boolean"), 0.05, 0.9).count() == 0
+    assert urls.mine_rules(spark.createDataFrame([], "url string, bad boolean"), 0.05, 1.2).count() == 0
+
+
+def test_query_blocks_by_a_mined_rule(spark, tmp_path):
+    """Unlabelled pages of a host whose labelled pages are bad; given rules come first."""
+    hosts = ["win.spam.example.net"] * 60 + ["calm.example.net"] * 140
+    pages = [(i, f"http://{h}/en/{i}") for i, h in enumerate(hosts)] + [(500, "http://new.spam.example.net/x"), (501, "http://calm.example.net/x"), (502, "http://spam.example.net.example.org/en/1"), (503, "http://win.spam.example.net.com/fr/")]
+    labels = [(i, int(h != hosts[0] and i % 10 > 0), 0) for i, h in enumerate(hosts)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["page_id"]: r for r in urls.op9_urls(spark, str(tmp_path)).collect()}
+    assert len(got) == len(pages) and got[500]["verdict"] == "block" and got[500]["rule"] is None and got[500]["confidence"] == 1.0
+    assert got[501]["verdict"] == "allow" and (got[502]["rule"], got[502]["verdict"]) == ("example.org/en/1", "block")
+    assert (got[503]["rule"], got[503]["verdict"]) == ("com/fr/", "allow")
+    assert all((got[i]["verdict"] == "block") == (i < 60) for i in range(200))
 
 
 # 10 audio
@@ -423,6 +513,31 @@ def test_audio_tag_only_behind_frames():
     assert tagged.offsets == audio.parse(clean).offsets and ("TIT1", "song") in tagged.tags and tagged.skipped == 0
 
 
+@pytest.mark.parametrize("mark", [b"TAG", b"ID3\x04\0\0\0\0\0\x20", b"Xing\0\0\0\x01", b"\xff\xfb\x94\xc4", bytes.fromhex("fffb94c4") * 40])
+def test_audio_keeps_payloads_that_look_like_its_own_marks(mark):
+    for at in range(0, 576 - len(mark) + 1):
+        payload = audio.payload_of(b"a" * 576 + b"b" * at + mark)
+        assert audio.read(audio.write(payload))[0] == payload
+
+
+def test_audio_digests(spark, tmp_path, odd):
+    odd.withColumn("text", F.when(F.col("doc_id") == 10, "a" * 521 + "TAG").otherwise(F.col("text"))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(str, audio.op10_audio(spark, str(tmp_path)).drop("feature").collect()))
+    want = []
+    for d, t in H.texts_of(spark.read.parquet(f"{tmp_path}/documents.parquet")):
+        raw = t.encode()
+        payload = raw + b"\xff" * (576 - len(raw) % 576 if len(raw) % 576 or not raw else 0)
+        media = audio.write(payload)
+        from pyspark.sql import Row
+
+        row = Row("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+        want.append(str(row(d, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest())))
+    assert got == sorted(want)
+    features = {}
+    for r in audio.op10_audio(spark, str(tmp_path)).collect():
+        assert features.setdefault(r["media_sha256"], r["feature"]) == r["feature"]
+
+
 def test_audio_headers():
     for bits, want in ((0xFFFB9064, (3, 128, 44100, 417)), (0xFFF39064, (3, 80, 22050, 261)), (0xFFFD9004, (2, 160, 44100, 522)), (0xFFFF9000, (1, 288, 44100, 312))):
         h = audio.header_of(bits.to_bytes(4))

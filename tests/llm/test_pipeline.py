@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import helpers as H  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from lawframe.llm import mixing  # noqa: E402
+from lawframe.llm import mixing, suffix  # noqa: E402
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -35,7 +35,7 @@ def test_stages(spark, sf_dir, tmp_path):
     assert sorted(r["doc_id"] for r in kept["near_duplicates"].collect()) == sorted(want)
 
     rows = [(d, t.encode()) for d, t in H.texts_of(inputs["repeated_passages"])]
-    clean = {d: text.decode("utf-8", "ignore") for d, _, _, _, text in H.removed_by_brute_force(rows)}
+    clean = {d: text.decode("utf-8", "ignore") for d, _, _, _, text in H.removed_by_brute_force(rows, suffix.PASSAGE)}
     assert {r["doc_id"]: r["text"] for r in kept["repeated_passages"].collect()} == clean
 
     mixed = mixing.mix(inputs["source_mix"]).agg(F.sum("taken")).first()[0]
@@ -63,16 +63,32 @@ def test_near_copies_with_null_and_repeated_ids(spark, sf_dir):
     assert all(rows[i] in left for i in (3, 4, 5, 7)) and rows[2] not in left and rows[6] not in left
 
 
-def test_odd_documents_through_all_stages(spark, sf_dir):
-    docs = H.odd_documents(spark)
+def test_odd_documents_through_all_stages(spark, sf_dir, tmp_path):
+    """Each stage's rows against what its input asks for; labels of none of the documents, so that quality keeps all."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, held = H.odd_documents(spark), {}
     for name, stage in corpus_pipeline.STAGES:
-        after = stage(spark, docs, sf_dir)
-        assert after.count() >= 0 and (name == "packing" or after.columns == docs.columns)
-        docs = after
+        before = docs
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = held[name] = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "packing" or docs.columns == before.columns
+    odd = H.odd_documents(spark)
+    assert sorted(map(str, held["quality"].collect())) == sorted(map(str, odd.collect()))
+    groups = H.classes_by_brute_force(H.texts_of(odd))
+    left = held["near_duplicates"].collect()
+    assert len(left) == len(groups) and {r["doc_id"] for r in left} == {1, 3, None, 5, 7, 8, 9, 10}
+    want = sorted(t.decode("utf-8", "ignore") for *_, t in H.removed_by_brute_force([(d, t.encode()) for d, t in H.texts_of(held["near_duplicates"])], suffix.PASSAGE))
+    assert sorted(r["text"] for r in held["repeated_passages"].collect()) == want
+    mixed = mixing.mix(held["repeated_passages"]).agg(F.sum("taken")).first()[0]
+    assert held["source_mix"].agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == mixed > 0
+    pieces = held["packing"].collect()
+    assert sum(r["length"] for r in pieces if r["start"] == 0) > 0 and len({(r["sequence_id"], r["offset"]) for r in pieces}) == len(pieces)
+    assert len([r for r in pieces if r["start"] == 0]) == held["source_mix"].count()
 
 
 def test_empty_documents_through_all_stages(spark, sf_dir):
     docs = H.odd_documents(spark, empty=True)
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf_dir)
-        assert docs.count() == 0
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, sf_dir)
+        assert after.count() == 0 and (name == "packing" or after.columns == docs.columns)
+        docs = after
