@@ -19,10 +19,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import Memo, schema_of, slices, stored, table, texts
+from lawframe.llm.common import Memo, claim, schema_of, slices, stored, table, texts
 
 #: Unit and word encodings that a worker keeps, and how many are encoded in one call.
-KEPT, CALL = 600_000, 4096
+KEPT, CALL = 400_000, 4096
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Latin letters, then marks that are neither letters, digits, spaces nor apostrophes.
 WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -93,6 +93,14 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def _encoder(path: str) -> WordEncoder:
+    """One per worker process and model."""
+    claim(_encoders)
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def tokenised(docs: DataFrame, path: str, closing_id: int) -> DataFrame:
     """First pass: doc_id, part, before (tokens earlier in this partition), n_tokens, ids (little-endian uint32)."""
     schema = schema_of(docs, ["doc_id"], "part int, before long, n_tokens long, ids binary")
@@ -101,9 +109,7 @@ def tokenised(docs: DataFrame, path: str, closing_id: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encoder, part, before, close = _encoders[path], TaskContext.get().partitionId(), 0, np.uint32(closing_id).tobytes()
+        encoder, part, before, close = _encoder(path), TaskContext.get().partitionId(), 0, np.uint32(closing_id).tobytes()
         for batch in slices(batches):
             ids = [np.frombuffer(x + close, np.uint32).astype("<u4") for x in encoder.encode(batch.column("text").to_pylist())]
             sizes = np.array([len(x) for x in ids], np.int64)

@@ -22,10 +22,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawframe.llm.common import free, schema_of, slices, table, texts
+from lawframe.llm.common import Words, claim, few_rows_a_batch, free, schema_of, slices, table, texts
 
 SLOTS, SHAPES, DIM, NONZERO = 8192, 512, 32, 4
-KEPT = 400_000
 LETTERS, MARKS = re.compile(r"[^\W\d_]+"), re.compile(r"[^\w]+")
 
 
@@ -38,22 +37,22 @@ def index_vectors(rows: int, seed: int) -> np.ndarray:
     return found
 
 
-class _Words(dict):
-    """A word (bytes) to its slot + SLOTS * its form's slot."""
+def _slots(word: bytes) -> int:
+    """A word's slot + SLOTS * its form's slot."""
+    text = word.decode("utf-8", "replace")
+    letters = "".join(LETTERS.findall(text))
+    case = "A" if len(letters) > 1 and letters.isupper() else "Aa" if letters[:1].isupper() else "a" if letters else ""
+    marks = "".join(MARKS.findall(text))
+    form = f"{case}|{marks[:3]}|{min(len(letters), 12) // 4}|{any(c.isdigit() for c in text)}"
+    return zlib.crc32(letters.lower().encode()) % SLOTS + SLOTS * (zlib.crc32(form.encode()) % SHAPES)
 
-    def __missing__(self, word: bytes) -> int:
-        text = word.decode("utf-8", "replace")
-        letters = "".join(LETTERS.findall(text))
-        case = "A" if len(letters) > 1 and letters.isupper() else "Aa" if letters[:1].isupper() else "a" if letters else ""
-        marks = "".join(MARKS.findall(text))
-        form = f"{case}|{marks[:3]}|{min(len(letters), 12) // 4}|{any(c.isdigit() for c in text)}"
-        if len(self) >= KEPT:
-            self.clear()
-        found = self[word] = zlib.crc32(letters.lower().encode()) % SLOTS + SLOTS * (zlib.crc32(form.encode()) % SHAPES)
-        return found
 
+_words = Words(_slots)
 
-_words = _Words()
+
+def _begin() -> None:
+    """What tasks start with; a function of the module, so that workers use the module's own cache."""
+    claim(_words)
 
 
 def slots_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +70,7 @@ def word_vectors(docs: DataFrame, seed: int = 1) -> np.ndarray:
     def scan(batches):
         import pyarrow as pa
 
+        _begin()
         index, total = index_vectors(SLOTS, seed), np.zeros((SLOTS, DIM))
         for batch in slices(batches, 2 << 20):
             parts = [slots_of(t)[0] for t in batch.column("text").to_pylist()]
@@ -180,6 +180,7 @@ def _features(df: DataFrame, keep: list[str], vectors: np.ndarray, seed: int) ->
     def scan(batches):
         import pyarrow as pa
 
+        _begin()
         forms = index_vectors(SHAPES, seed + 1)
         for batch in slices(batches):
             x = [pooled(t, vectors, forms) for t in batch.column("text").to_pylist()]
@@ -208,6 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, seed: i
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, keep: list[str], seed: int = 1, name: str = "score") -> DataFrame:
     """`keep` columns of `docs` and the score of each text under `name`, which must not be one of them."""
+    few_rows_a_batch(docs.sparkSession)
     raw = free(docs, "_text")
     df = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(raw))
     schema = schema_of(df, keep, f"{name} double")
@@ -215,6 +217,7 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, keep: list[str], s
     def scan(batches):
         import pyarrow as pa
 
+        _begin()
         forms = index_vectors(SHAPES, seed + 1)
         for batch in slices(batches):
             x = [pooled(t, vectors, forms) for t in batch.column(raw).to_pylist()]

@@ -20,7 +20,7 @@ from operator import sub
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lawframe.llm.common import Memo, schema_of, slices, table, texts
+from lawframe.llm.common import Memo, claim, schema_of, slices, table, texts
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
@@ -163,6 +163,7 @@ _counters: dict[str, PrefixCounter] = {}
 
 def _counter(model: str) -> PrefixCounter:
     """One per worker process and model."""
+    claim(_counters)
     if model not in _counters:
         _counters[model] = PrefixCounter(model)
     return _counters[model]
