@@ -20,14 +20,23 @@ def _counted(df: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated chance of label 1 is at least 0.3."""
+    """Documents whose calibrated chance of label 1 is at least 0.3.
+
+    Null and empty texts are scored like others; a null doc_id has no label but a score; repeated rows stay or go
+    together; without labels, or with labels of one kind, all documents have one score, and all stay where it is 0.3 or
+    more (0.5 without any). Labels, lang, source and doc_id are never inputs. Column names may be any.
+    """
     vectors, net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     name = free(docs, "score")
     return quality.score(docs, vectors, net, docs.columns, name=name).filter(F.col(name) >= 0.3).drop(name)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the least doc_id (null last), once."""
+    """Of each group of near duplicates the row with the least doc_id (null last), once.
+
+    Null and empty texts are one group; texts of white space alone are groups of their own; unlike texts under one
+    doc_id are no group; of rows that are equal in doc_id and text one stays, whatever their other columns say.
+    """
     classes = stored(minhash.near_duplicates(docs), "classes")
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("first"))
     placed = classes.join(first, "root")
@@ -48,18 +57,29 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that repeated 400-byte strings cover; characters cut in half go, empty texts stay."""
-    made = suffix.remove_repeats(docs, *docs.columns, whole_characters=True)
+    """Texts without the bytes that repeated strings of suffix.PASSAGE bytes cover; characters cut in half go.
+
+    All rows stay, with an empty text where everything goes; null texts become empty ones; rows with null or equal
+    doc_ids are told apart by their texts; rows equal in both lose the same bytes.
+    """
+    made = suffix.remove_repeats(docs, *docs.columns, whole_characters=True, length=suffix.PASSAGE)
     return _counted(made.select(F.col("row").withField("text", F.col("text").cast("string")).alias("row")).select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as far, as their source's blocks are taken."""
+    """Documents as often, and as far, as their source's blocks are taken.
+
+    A null source is a source, last in order; texts without words are taken by no block and go; a document whose blocks
+    are taken in part comes with these alone. An empty table gives no rows.
+    """
     return _counted(mixing.materialise(mixing.mix(docs, *docs.columns)))
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4096 tokens."""
+    """Pieces of sequences of 4096 tokens: doc_id and the columns of `packing.digests`.
+
+    Null and empty texts are their closing id alone; repeated rows are packed each; other columns are left behind.
+    """
     import public_tokenizers
 
     return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
