@@ -36,6 +36,8 @@ WORDS, ALIKE = 5, 0.8
 BANDS, ROWS = 30, 5
 COORDINATES = BANDS * ROWS
 ANCHORS = 4
+#: Rows of one text beyond which its class is broadcast to them.
+OFTEN = 1000
 U = np.uint64
 #: Chances that a cell holds at most 0, 1, 2 ... darts, as 32-bit numbers.
 POISSON = (np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1, dtype=float)) for k in range(12)]) * 2**32).astype(U)
@@ -275,7 +277,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, copy (hash of the text), root (least hash of its class) and class_id (least doc_id of its class) of every row."""
     docs = docs.select("doc_id", "text")
     made = stored(signatures(docs), "signatures")
-    classes = stored(made.groupBy("copy").agg(F.min("doc_id").alias("name"), F.first("bands").alias("bands")), "classes")
+    classes = stored(made.groupBy("copy").agg(F.min("doc_id").alias("name"), F.first("bands").alias("bands"), F.count("*").alias("rows")), "classes")
     names = classes.select("copy", "name")
     keyed = classes.select(F.col("copy").alias("member"), F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -303,8 +305,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     linked = stored(names.join(roots.withColumnRenamed("node", "copy"), "copy"), "linked")
     least = linked.groupBy("root").agg(F.min("name").alias("class_id"))
     classed = linked.join(small(least), "root").select("copy", "root", "class_id")
-    named = names.join(classed, "copy", "left").select("copy", F.coalesce("root", "copy").alias("root"), F.when(F.col("root").isNull(), F.col("name")).otherwise(F.col("class_id")).alias("class_id"))
-    return made.select("doc_id", "copy").join(named, "copy").select("doc_id", "copy", "root", "class_id")
+    named = classes.select("copy", "name", "rows").join(classed, "copy", "left").select(
+        "copy", "rows", F.coalesce("root", "copy").alias("root"), F.when(F.col("root").isNull(), F.col("name")).otherwise(F.col("class_id")).alias("class_id")
+    )
+    # texts with many copies travel to their rows, all others meet them by hash
+    often, rows = named.filter(F.col("rows") > OFTEN).drop("rows"), made.select("doc_id", "copy")
+    often = small(stored(often, "often"))
+    others = rows.join(often.select("copy"), "copy", "left_anti").join(named.filter(F.col("rows") <= OFTEN).drop("rows"), "copy")
+    return rows.join(often, "copy").unionByName(others).select("doc_id", "copy", "root", "class_id")
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:
