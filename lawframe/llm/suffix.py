@@ -189,15 +189,25 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def starts_within(size: int, runs: list[dict], shorter: int, length: int) -> np.ndarray:
+def starts_within(size: int, low: np.ndarray, high: np.ndarray, shorter: int, length: int) -> np.ndarray:
     """Which starts of strings of `length` bytes in a text of `size` bytes have only starts of repeated `shorter` strings
-    in them, given runs (first, last) of these."""
-    edge = np.zeros(size - shorter + 2, np.int32)
-    np.add.at(edge, [r["first"] for r in runs], 1)
-    np.add.at(edge, [r["last"] + 1 for r in runs], -1)
-    open_ = np.r_[0, (edge[:-1].cumsum() > 0).cumsum()]
-    span = length - shorter + 1
-    return open_[span:] - open_[:-span] == span if len(open_) > span else np.zeros(0, bool)
+    in them, given the first and last of runs of these."""
+    n, span = size - shorter + 1, length - shorter + 1
+    if n < span:
+        return np.zeros(0, bool)
+    edge = np.bincount(low, minlength=n + 1) - np.bincount(high + 1, minlength=n + 1)
+    open_ = np.zeros(n + 1, np.int32)
+    np.cumsum(edge[:n].cumsum() > 0, out=open_[1:])
+    return open_[span:] - open_[:-span] == span
+
+
+def anchors_within(text: bytes, low: list[int], high: list[int], shorter: int, length: int) -> tuple[np.ndarray, ...]:
+    """`anchors` of the runs of starts that may repeat; only the bytes of these strings are looked at."""
+    runs = zip(*_spans(starts_within(len(text), np.array(low, np.int64), np.array(high, np.int64), shorter, length)), strict=True)
+    parts = [(a, anchors(text[a : b + length], length)) for a, b in runs]
+    if not parts:
+        return anchors(b"", length)
+    return *(np.concatenate([p[k] + a for a, p in parts]) for k in range(3)), *(np.concatenate([p[k] for _, p in parts]) for k in (3, 4))
 
 
 def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800, length: int = LENGTH, within: DataFrame | None = None, shorter: int = PASSAGE) -> DataFrame:
@@ -212,21 +222,16 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800,
     texts, limited = ["key", "mark", "text"], within is not None
     if limited:
         touched = keyed.join(small(within.select("key", "mark")), ["key", "mark"], "left_semi")
-        keyed, texts = touched.join(within.withColumnRenamed("spans", "within"), ["key", "mark"]), [*texts, "within"]
+        runs = within.select("key", "mark", F.col("spans.first").alias("low"), F.col("spans.last").alias("high"))
+        keyed, texts = stored(touched.join(runs, ["key", "mark"]), "touched"), [*texts, "low", "high"]
     counted = schema_of(keyed, ["key", "mark"], "nth int, width int, core long, context long, n long")
 
     def found_in(batch) -> list[tuple[np.ndarray, ...]]:
-        """For each text: number, first and last start, core and context of its anchors that may repeat."""
-        found = []
-        limits = batch.column("within").to_pylist() if limited else None
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            _, first, last, core, context = anchors(text, length)
-            nth = np.arange(len(first))
-            if limits is not None and len(first):
-                open_ = np.r_[0, starts_within(len(text), limits[i], shorter, length).cumsum()]
-                nth = np.flatnonzero(open_[last + 1] > open_[first])
-            found.append((nth, first[nth], last[nth], core[nth], context[nth]))
-        return found
+        """For each text its anchors, those that may repeat."""
+        given = batch.column("text").to_pylist()
+        if not limited:
+            return [anchors(t, length) for t in given]
+        return [anchors_within(t, a, b, shorter, length) for t, a, b in zip(given, batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)]
 
     def count(batches):
         import pyarrow as pa
@@ -237,8 +242,9 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800,
             sizes = np.array([len(x[0]) for x in found])
             if not sizes.sum():
                 continue
-            nth, first, last, core, context = (np.concatenate(x) for x in zip(*found, strict=True))
+            _, first, last, core, context = (np.concatenate(x) for x in zip(*found, strict=True))
             row = np.repeat(np.arange(len(sizes)), sizes)
+            nth = np.arange(len(core)) - np.repeat(sizes.cumsum() - sizes, sizes)
             # copies within a slice travel as one row
             order = np.lexsort((context, core))
             heads = np.flatnonzero(np.r_[True, (core[order][1:] != core[order][:-1]) | (context[order][1:] != context[order][:-1])])
@@ -263,7 +269,7 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800,
 
     # the contexts' bytes, from one document that holds each
     wanted = classes.filter("open").groupBy("key", "mark").agg(F.collect_list(F.struct("nth", "core", "context", "n")).alias("wanted"))
-    having = keyed.select("key", "mark", "text").join(small(wanted.select("key", "mark")), ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"])
+    having = keyed.select(*texts).join(small(wanted.select("key", "mark")), ["key", "mark"], "left_semi").dropDuplicates(["key", "mark"])
     cut = schema_of(classes, ["core", "context", "n"], "before binary, behind binary")
 
     def extract(batches):
@@ -271,15 +277,15 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800,
 
         for batch in slices(batches):
             made = []
-            for text, asked in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
-                place, first, last, *_ = (x.tolist() for x in anchors(text, length)[:3])
+            for text, found, asked in zip(batch.column("text").to_pylist(), found_in(batch), batch.column("wanted").to_pylist(), strict=True):
+                place, first, last = (x.tolist() for x in found[:3])
                 for x in asked:
                     a, lo, hi = place[x["nth"]], first[x["nth"]], last[x["nth"]]
                     made.append((x["core"], x["context"], x["n"], text[lo:a], text[a + length - WINDOW + 1 : hi + length]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else [()] * 5, kinds, strict=True)], cut.names)
 
-    contexts = stored(having.join(wanted, ["key", "mark"]).select("text", "wanted").mapInArrow(extract, cut), "contexts")
+    contexts = stored(having.join(wanted, ["key", "mark"]).select(*texts, "wanted").mapInArrow(extract, cut), "contexts")
     _free(spark)
     frequent = contexts.groupBy("core").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > most).select("core")
     buckets = max(1, contexts.count() // bucket_rows)
