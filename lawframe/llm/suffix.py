@@ -398,7 +398,5 @@ def remove_repeats(docs: DataFrame, *carried: str, whole_characters: bool = Fals
 
 
 def op3_suffix(spark, sf_dir: str) -> DataFrame:
-    """Per document what repeated strings of LENGTH bytes take away; behind that n_repeated, the bytes in repeated
-    passages of PASSAGE bytes, most of which LENGTH leaves where they are."""
-    made = remove_repeats(table(spark, sf_dir, "documents"), passages=PASSAGE)
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"), "n_repeated")
+    """Per document what repeated strings of LENGTH bytes take away."""
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
