@@ -45,6 +45,51 @@ PER_GROUP = SCORED + """r as (select *, row_number() over (partition by query_id
 select query_id, record_id, collection, similarity_score, rank from r where rank <= 3"""
 
 
+def _index(spark, sf_dir):
+    from lawframe.operators import vector_index
+    from lawframe.scratch import passing, scratch_path
+
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("record_id"), "embedding")
+    path = scratch_path(spark, "index")
+    passing(spark, path)
+    return vector_index.build(points, path), points.filter("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), "embedding")
+
+
+def index_exact(spark, sf_dir):
+    index, queries = _index(spark, sf_dir)
+    return index.search_exact(queries, 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+INDEX_EXACT = SCORED + """r as (select *, row_number() over (partition by query_id order by similarity_score desc, record_id) as rank from scored)
+select query_id, record_id, similarity_score, rank from r where rank <= 10"""
+
+
+def index_search(spark, sf_dir):
+    index, queries = _index(spark, sf_dir)
+    return index.search(queries, 10, index.probes_for(0.95))
+
+
+def metric_knn(spark, sf_dir):
+    points = _points(spark, sf_dir)
+    queries = points.filter("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), "embedding")
+    parts = [S.knn_join(queries, points, 5, metric=m).withColumn("metric", F.lit(m)) for m in ("dot", "euclidean", "manhattan")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("metric", "query_id", "record_id", F.round("similarity_score", 4).alias("score"))
+
+
+METRIC_KNN = """
+with s as (
+  select q.vec_id as query_id, p.vec_id as record_id, round(list_dot_product(p.embedding::double[], q.embedding::double[]), 5) as dot,
+    round(list_distance(p.embedding::double[], q.embedding::double[]), 5) as euclidean,
+    round(list_sum(list_transform(list_zip(p.embedding::double[], q.embedding::double[]), lambda x: abs(x[1] - x[2]))), 5) as manhattan
+  from embeddings p, embeddings q where q.vec_id % 20 = 0),
+m as (
+  select 'dot' as metric, query_id, record_id, dot as score, row_number() over (partition by query_id order by dot desc, record_id) as n from s
+  union all select 'euclidean', query_id, record_id, euclidean, row_number() over (partition by query_id order by euclidean, record_id) from s
+  union all select 'manhattan', query_id, record_id, manhattan, row_number() over (partition by query_id order by manhattan, record_id) from s)
+select metric, query_id, record_id, round(score, 4) as score from m where n <= 5
+"""
+
+
 def threshold(spark, sf_dir):
     return S.above_threshold(S.best_per_record(_hits(spark, sf_dir, 6)), 0.2, 0.25).select("query_id", "collection", "record_id", "similarity_score")
 
@@ -143,7 +188,7 @@ c as (select query_id, left(coalesce(string_agg(block, chr(10) || chr(10) || rep
 select query_id, md5(context) as context_md5, length(context)::int as length, sources from c"""
 
 QUERIES = {
-    "V1_knn_search": (knn_search, KNN),
+    "VI1_index_search": (index_search, None), "VI2_index_exact": (index_exact, INDEX_EXACT), "VI3_metric_knn": (metric_knn, METRIC_KNN), "V1_knn_search": (knn_search, KNN),
     "V2_threshold_by_collection": (threshold, THRESHOLD),
     "V3_keyword_prefilter_knn": (keyword_knn, KEYWORD_KNN),
     "V4_knn_join_per_group_topk": (per_group, PER_GROUP),
