@@ -73,7 +73,7 @@ def metric_knn(spark, sf_dir):
     points = _points(spark, sf_dir)
     queries = points.filter("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), "embedding")
     parts = [S.knn_join(queries, points, 5, metric=m).withColumn("metric", F.lit(m)) for m in ("dot", "euclidean", "manhattan")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("metric", "query_id", "record_id", F.round("similarity_score", 4).alias("score"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("metric", "query_id", "record_id", F.col("similarity_score").alias("score"))
 
 
 METRIC_KNN = """
@@ -86,7 +86,7 @@ m as (
   select 'dot' as metric, query_id, record_id, dot as score, row_number() over (partition by query_id order by dot desc, record_id) as n from s
   union all select 'euclidean', query_id, record_id, euclidean, row_number() over (partition by query_id order by euclidean, record_id) from s
   union all select 'manhattan', query_id, record_id, manhattan, row_number() over (partition by query_id order by manhattan, record_id) from s)
-select metric, query_id, record_id, round(score, 4) as score from m where n <= 5
+select metric, query_id, record_id, score from m where n <= 5
 """
 
 
