@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawframe.functions.text import is_upper, remove_tables, strip
+from lawframe.operators import trees
 from lawframe.scratch import stored
 
 # Marker patterns by level. Group 1 is the marker, 2 its value, 3 what follows on the line.
@@ -246,11 +247,9 @@ def compact_texts(found: DataFrame, full: bool = False) -> DataFrame:
 def tree_json(found: DataFrame) -> DataFrame:
     """(doc_id, json): a document's sections as a JSON array of {id, header, title, content, subsections}."""
     own = F.to_json(F.struct(F.col("section_id").alias("id"), "header", "title", "content"))
-    rows = found.withColumn("_own", own)
-    head = F.expr("left(_own, length(_own) - 1)")
-    made = bottom_up(rows, "json", lambda children: F.concat(head, F.lit(',"subsections":['), F.array_join(children, ","), F.lit("]}")))
-    top = made.filter("parent_ord is null").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "json"))), lambda r: r["json"]).alias("rows"))
-    return top.select("doc_id", F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]")).alias("json"))
+    made = trees.in_order(trees.paths(stored(found.select("doc_id", "ord", "parent_ord", "section_id", "header", "title", "content"), "sections"), "doc_id", "header"), "doc_id", opened=own)
+    opened = F.transform("opened", lambda o: F.substr(o, F.lit(1), F.length(o) - 1))
+    return made.select("doc_id", trees.nested(opened, F.col("depths")).alias("json"))
 
 
 def reconstructed(found: DataFrame, full: bool = False, compact: bool = False) -> DataFrame:
@@ -261,10 +260,8 @@ def reconstructed(found: DataFrame, full: bool = False, compact: bool = False) -
         return top.agg(strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda r: r["text"]), "\n")).alias("text"))
     rows, head = found.withColumn("_depth", _depth()), F.col("header")
     if full:
-        chain = found.select("doc_id", F.col("ord").alias("parent_ord"), F.col("header").alias("h"), F.col("parent_ord").alias("p"))
-        for i in range(1, 5):
-            rows = rows.join(chain.withColumnsRenamed({"parent_ord": "_o", "h": f"_h{i}", "p": f"_p{i}", "doc_id": "_d"}), (F.col("doc_id") == F.col("_d")) & (F.col("parent_ord" if i == 1 else f"_p{i - 1}") == F.col("_o")), "left").drop("_o", "_d")
-        head = F.concat_ws(", ", *(F.nullif(F.col(c), F.lit("")) for c in ("header", "_h1", "_h2", "_h3", "_h4")))
+        rows = trees.paths(stored(rows.select("doc_id", "ord", "parent_ord", "_depth", "header", "title", "content"), "sections"), "doc_id", "header")
+        head = F.array_join(F.filter(F.reverse("labels"), lambda h: h != ""), ", ")
     shown = _shown(head, F.col("title"), F.col("content"))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", shown.alias("text")))), lambda r: r["text"]), "").alias("text"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lawframe.functions import text as T
 from lawframe.operators import chunk as C
 from lawframe.operators import structure as S
+from lawframe.operators import trees
 
 
 def _docs(spark, sf_dir):
@@ -203,7 +204,39 @@ select doc_id as document_id, section_id as chunk_id,
   case marker when 'chapter' then 1 when 'article' then 2 when 'clause' then 3 else 4 end::int as hierarchy_level from filled"""
 
 
+def deep_trees(spark, sf_dir):
+    """Forty documents make a tree, each below the one before it or the one before that: up to 27 levels."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    place = F.col("doc_id") % 40
+    nodes = docs.select(
+        F.floor(F.col("doc_id") / 40).alias("tree"), F.col("doc_id").alias("ord"), F.when(place > 0, F.col("doc_id") - F.when((place % 3 == 2), 2).otherwise(1)).alias("parent_ord"),
+        F.concat(F.lit("N"), F.col("doc_id")).alias("header"), F.concat("lang", F.lit(" "), F.col("n")).alias("title"),
+    )
+    line = F.concat(F.repeat(F.lit("    "), F.size("path") - 1), F.array_join(F.reverse("labels"), ", "), F.lit(": "), F.col("title"), F.lit("\n"))
+    opened = F.concat(F.lit('{"header":"'), F.col("header"), F.lit('","title":"'), F.col("title"), F.lit('"'))
+    made = trees.in_order(trees.paths(nodes, "tree", "header"), "tree", line=line, opened=opened)
+    return made.select("tree", F.size("depths").cast("bigint").alias("nodes"), F.array_max("depths").cast("bigint").alias("depth"), F.md5(F.array_join("line", "")).alias("text_md5"), F.md5(trees.nested(F.col("opened"), F.col("depths"))).alias("json_md5"))
+
+
+DEEP_TREES = """
+with recursive nodes as (
+  select doc_id // 40 as tree, doc_id as ord, case when doc_id % 40 > 0 then doc_id - case when doc_id % 40 % 3 = 2 then 2 else 1 end end as parent_ord,
+    'N' || doc_id as header, coalesce(lang, '') || ' ' || length(coalesce(text, '')) as title
+  from documents),
+walk as (
+  select n.*, [n.ord] as path, n.header as names from nodes n where not exists (from nodes p where p.tree = n.tree and p.ord = n.parent_ord)
+  union all
+  select n.*, list_append(w.path, n.ord), n.header || ', ' || w.names from nodes n join walk w on n.tree = w.tree and n.parent_ord = w.ord),
+steps as (
+  select *, len(path) as depth, lag(len(path)) over (partition by tree order by path) as before from walk)
+select tree, count(*) as nodes, max(depth) as depth, md5(string_agg(repeat('    ', depth - 1) || names || ': ' || title || chr(10), '' order by path)) as text_md5,
+  md5('[' || string_agg(case when before is null then '' when before >= depth then repeat(']}', before - depth + 1) || ',' else '' end
+    || '{"header":"' || header || '","title":"' || title || '"' || ',"subsections":[', '' order by path) || repeat(']}', arg_max(depth, path)) || ']') as json_md5
+from steps group by tree
+"""
+
 QUERIES = {
+    "S13_deep_trees": (deep_trees, DEEP_TREES),
     "S1_segment_boundaries": (segmented, SEGMENTED),
     "S2_hierarchy_ids": (hierarchy, HIERARCHY),
     "S2_detect_markers": (markers, MARKERS),
