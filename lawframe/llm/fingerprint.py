@@ -1,14 +1,15 @@
 """Document fingerprints: a homomorphic hash of the multiset of a text's paragraphs.
 
-Every non-empty paragraph (line) is hashed to a wide vector, and the vectors are added: 16 lanes modulo 2**64 decide
-equality, whatever the order of paragraphs. Its pairs of adjacent words (overlapping) are hashed to sparse vectors of 12 x 16 lanes modulo 2**16,
+Every non-empty paragraph (line) is hashed (128 bits) to a wide vector, and the vectors are added: 16 lanes modulo 2**64 decide
+equality, whatever the order of paragraphs. Its pairs of adjacent words (overlapping) are hashed to sparse vectors of 12 x 64 lanes modulo 2**8,
 pair by pair into the level that its trailing zero bits name (so level k holds about one in 2**(k+1)); lanes that differ
 between two sums tell how many pairs do, at a level where not all lanes differ, and so give a likeness. Sums make
 insertion and deletion of paragraphs an addition or subtraction.
 
 Edge cases: a null text is empty and has the fingerprint of no paragraph; texts that differ only in empty lines or in
 the order of lines have equal fingerprints; of rows with equal doc_id the lesser text (by bytes) goes first; null
-doc_ids go first; the next document of a single one is itself; an empty table gives no rows; texts are taken whole.
+doc_ids go first; the next document of a single one is itself; an empty table gives no rows; texts of any length are
+taken whole; only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lawframe.llm.common import schema_of, slices, table, texts
 
-LANES, LEVELS, CELLS, WORDS = 16, 12, 16, 2
+LANES, LEVELS, CELLS, WORDS = 16, 12, 64, 2
 U = np.uint64
 SALTS = np.arange(1, LANES + 1, dtype=U) * U(0x9E3779B97F4A7C15)
 
@@ -45,6 +46,7 @@ class Fingerprint:
     @classmethod
     def of(cls, text: bytes) -> Fingerprint:
         from xxhash import xxh3_64_intdigest as h64
+        from xxhash import xxh3_128_digest as h128
 
         lines = [x for x in text.split(b"\n") if x]
         pieces: list[int] = []
@@ -52,32 +54,33 @@ class Fingerprint:
             words = line.split(b" ")
             # overlapping, so that a word put in or taken out changes only the pairs around it
             pieces += [h64(b" ".join(pair)) for pair in zip(*(words[k:] for k in range(WORDS)), strict=False)] or [h64(line)]
-        whole = np.array([h64(x, 1) for x in lines], U)
-        dense = _mix(whole[:, None] ^ SALTS).sum(0, dtype=U) if lines else np.zeros(LANES, U)
+        # both halves of a 128-bit hash go into every lane, so that lanes together tell as many paragraphs apart
+        whole = np.frombuffer(b"".join([h128(x, 1) for x in lines]), "<u8").reshape(-1, 2).astype(U)
+        dense = (_mix(whole[:, :1] ^ SALTS) + _mix(whole[:, 1:] + SALTS)).sum(0, dtype=U)
         found = np.array(pieces, U)
         level = np.zeros(len(found), np.int64)
         for bits in range(1, LEVELS):
             level += (found & U((1 << bits) - 1)) == 0
         cell = level * CELLS + (found >> U(16) & U(CELLS - 1)).astype(np.int64)
-        value = (_mix(found) & U(0xFFFF)).astype(np.int64) | 1
-        sums = np.bincount(cell, value, LEVELS * CELLS).astype(np.int64) & 0xFFFF
+        value = (_mix(found) & U(0xFF)).astype(np.int64) | 1
+        sums = np.bincount(cell, value, LEVELS * CELLS).astype(np.int64) & 0xFF
         return cls(dense, sums, len(found))
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
-        return Fingerprint(self.dense + other.dense, (self.cells + other.cells) & 0xFFFF, self.pairs + other.pairs)
+        return Fingerprint(self.dense + other.dense, (self.cells + other.cells) & 0xFF, self.pairs + other.pairs)
 
     def __sub__(self, other: Fingerprint) -> Fingerprint:
-        return Fingerprint(self.dense - other.dense, (self.cells - other.cells) & 0xFFFF, self.pairs - other.pairs)
+        return Fingerprint(self.dense - other.dense, (self.cells - other.cells) & 0xFF, self.pairs - other.pairs)
 
     def __str__(self) -> str:
-        raw = self.dense.astype("<u8").tobytes() + self.cells.astype("<u2").tobytes() + self.pairs.to_bytes(8, "little")
+        raw = self.dense.astype("<u8").tobytes() + self.cells.astype("u1").tobytes() + self.pairs.to_bytes(8, "little")
         return base64.b64encode(raw).decode()
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
         raw = base64.b64decode(text)
-        a, b = 8 * LANES, 8 * LANES + 2 * LEVELS * CELLS
-        return cls(np.frombuffer(raw[:a], "<u8").astype(U), np.frombuffer(raw[a:b], "<u2").astype(np.int64), int.from_bytes(raw[b:], "little"))
+        a, b = 8 * LANES, 8 * LANES + LEVELS * CELLS
+        return cls(np.frombuffer(raw[:a], "<u8").astype(U), np.frombuffer(raw[a:b], "u1").astype(np.int64), int.from_bytes(raw[b:], "little"))
 
     def equals(self, other: Fingerprint) -> bool:
         return bool((self.dense == other.dense).all())
@@ -88,7 +91,7 @@ class Fingerprint:
             return 1.0
         both = self.pairs + other.pairs
         differing = (self.cells != other.cells).reshape(LEVELS, CELLS).sum(1)
-        level = next((k for k in range(LEVELS) if differing[k] <= 0.7 * CELLS), LEVELS - 1)
+        level = next((k for k in range(LEVELS) if differing[k] <= 0.85 * CELLS), LEVELS - 1)
         share = np.minimum(differing[level:], CELLS - 0.5) / CELLS
         apart = min(both, float(-CELLS * np.log1p(-share).sum()) * 2**level)
         return max(0.0, (both - apart) / (both + apart)) if both else 0.0

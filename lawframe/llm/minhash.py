@@ -254,8 +254,9 @@ def _linked_in_blocks(open_: DataFrame, docs: DataFrame, names: DataFrame, asked
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each one's component. Label propagation with pointer jumping, a table a round."""
     # a node's lesser neighbours hang on the least of them: as connected, with few more edges than nodes
-    near = links.groupBy("b").agg(F.min("a").alias("least"), F.collect_set("a").alias("near"))
-    thin = near.select(F.col("least").alias("a"), F.explode(F.array_union("near", F.array("b"))).alias("b")).filter("a <> b").distinct()
+    # (joined, not collected: a central node may be the neighbour of half of a bucket)
+    least = links.groupBy("b").agg(F.min("a").alias("least"))
+    thin = links.join(least, "b").select(F.col("least").alias("a"), F.explode(F.array("a", "b")).alias("b")).filter("a <> b").distinct()
     edges = stored(thin.select(F.col("a").alias("x"), F.col("b").alias("y")).union(thin.select("b", "a")), "edges")
     roots = stored(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("root")), "roots")
     for _ in range(rounds):

@@ -200,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, seed: i
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, most_labels / max(1, known.count()))
     sample = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-    wanted = texts(docs, "doc_id").join(F.broadcast(sample), "doc_id")  # bounded by most_labels
+    # a row a labelled document, however often it repeats: the least of its texts; bounded by most_labels
+    wanted = texts(docs, "doc_id").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = sorted((r["doc_id"], r["quality"], r["x"]) for r in _features(wanted, ["doc_id", "quality"], vectors, seed).collect())
     if not rows:
         return vectors, constant(0.5, 2 * DIM + 5)

@@ -2,14 +2,15 @@
 
 Tokens of a URL are its host suffixes (`h:example.org`), path segments (`p:en`) and query keys (`q:page`). FP-growth over
 the labelled pages, whose bad ones carry the item LABEL, mines token combinations; those that imply LABEL with enough
-support, and surely oftener than pages are bad at all (by `min_lift`, and by the lower end of the confidence's interval),
-and that no kept shorter combination already covers at no less confidence, become rules.
+support, and surely oftener than pages are bad at all (by `min_lift`, and by an interval that allows for the number of
+combinations tried), and that no kept shorter combination already covers at no less confidence, become rules.
 An inverted index keyed by each rule's rarest token finds the rules of a URL without trying them all. Given
 allow/block rules use the same index, keyed by their host.
 
 Edge cases: a null URL, or one without `://`, has an empty host and path, no tokens, and is allowed; null labels are left
 out, a page with several labels is bad if one is; with no labels or no rules everything without a given rule is allowed;
-repeated pages are judged each.
+repeated pages are judged each; URLs of any length are taken whole; only page_id and url are read, so other columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from lawframe.llm.common import schema_of, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 LABEL = "label=bad"
-#: Standard errors that a rule's confidence lies above the share of bad pages (one-sided 99.5 %).
-SURE = 2.58
+#: The chance of any rule at all where labels say nothing; it is divided among all combinations that are tried.
+CHANCE = 0.001
 #: (verdict, host, path): fits the host and its subdomains where the path starts so.
 GIVEN = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -47,14 +48,17 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(suffixes, segments, keys), lambda t: F.length(t) > 2))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_lift: float, sure: float = SURE) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_lift: float, chance: float = CHANCE) -> DataFrame:
     """Rows (url, bad) to rules (antecedent array<string>, confidence, support), pruned.
 
     All labelled rows count. `min_support` is the share of them that a rule and LABEL hold for; a rule's confidence is at
-    least `min_lift` times the share of bad rows, and the lower end of its Wilson interval (`sure` standard errors) lies
-    above that share, so that rules of a few rows need more than luck. The number of rules is bounded by 1 / min_support
-    and the number of tokens in a URL, not by the number of rows.
+    least `min_lift` times the share of bad rows, and the lower end of its Wilson interval lies above that share. The
+    interval is as wide as `chance`, divided by the number of combinations tried (all that occur with LABEL often
+    enough), asks for: so that of thousands none is kept by luck. The number of rules is bounded by 1 / min_support and
+    the number of tokens in a URL, not by the number of rows.
     """
+    from statistics import NormalDist
+
     from pyspark.ml.fpm import FPGrowth
 
     items = labelled.select(F.concat(url_tokens(F.col("url")), F.when(F.col("bad"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"), F.col("bad").cast("int").alias("bad"))
@@ -62,6 +66,8 @@ def mine_rules(labelled: DataFrame, min_support: float, min_lift: float, sure: f
     base = bad / total if total else 1.0
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min(1.0, min_lift * base)).fit(items.select("items"))
     rules = model.associationRules.filter(F.col("consequent")[0] == LABEL).select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    tried = model.freqItemsets.filter(F.array_contains("items", LABEL)).count()
+    sure = NormalDist().inv_cdf(1 - chance / max(1, tried))
     p, n, z2 = F.col("confidence"), F.col("support") * total / F.col("confidence"), sure * sure
     low = (p + z2 / (2 * n) - sure * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
     rules = rules.filter(low > base)

@@ -262,3 +262,49 @@ def test_fim_query_equals_sql(spark, sf_dir):
     found = fim.op13_fim(spark, sf_dir).select(*want.columns)
     assert sorted(map(tuple, found.collect())) == sorted(want.fetchall())
     assert found.filter(F.col("form") != "plain").count() > 20
+
+
+# later mends of earlier operators
+
+
+def test_labels_that_say_nothing_give_no_rule(spark):
+    from lawframe.llm import urls
+
+    rng = random.Random(8)
+    pages = [f"http://{rng.choice('abcdef')}.{rng.choice(('com', 'org', 'net'))}/{rng.choice('xyz')}/{rng.choice('uvw')}?{rng.choice('pq')}=1" for _ in range(120)]
+    bad = [i < 70 for i in range(120)]
+    for _ in range(12):
+        rng.shuffle(bad)
+        assert urls.mine_rules(spark.createDataFrame(list(zip(pages, bad, strict=True)), "url string, bad boolean"), 0.02, 1.2).count() == 0
+
+
+def test_likeness_by_brute_force():
+    from collections import Counter
+
+    from lawframe.llm.fingerprint import Fingerprint
+
+    rng, errors = random.Random(9), []
+    pairs = lambda t: Counter(p for line in t.split("\n") for p in zip(line.split(), line.split()[1:], strict=False))
+    for k in range(300):
+        words = H.prose(k, rng.choice((40, 150, 600, 3000))).split()
+        other = [w if rng.random() > (k % 10) / 20 else f"{w}{k}" for w in words]
+        a, b = " ".join(words), " ".join(other)
+        x, y = pairs(a), pairs(b)
+        errors.append(abs(Fingerprint.of(a.encode()).likeness(Fingerprint.of(b.encode())) - (x & y).total() / (x | y).total()))
+    assert sorted(errors)[int(0.95 * len(errors))] <= 0.1
+    one, two = Fingerprint.of(b"a b\nc d"), Fingerprint.of(b"c d")
+    assert (one - two).equals(Fingerprint.of(b"a b")) and (two + Fingerprint.of(b"a b")).equals(one)
+
+
+def test_repeated_labelled_rows_come_once(spark):
+    from lawframe.llm import quality
+
+    docs = spark.createDataFrame([(1, H.prose(1, 50)), (2, H.prose(2, 50))] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen, fit = [], quality.fit
+    quality.fit = lambda x, y: seen.append(len(x)) or fit(x, y)
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.fit = fit
+    assert seen and seen[0] <= 2
