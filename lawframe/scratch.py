@@ -41,12 +41,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """`df` with a broadcast hint if it holds at most `most` bytes (ROW a row besides); otherwise as it is, so the join
-    shuffles. What is counted ends where the bound is passed."""
+    shuffles. Tasks count and add up their own rows, so a number a task is shuffled; `df` should be stored."""
     fixed = ROW + 8 * len(df.columns)
     long = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string") if f.dataType.typeName() not in ("string", "binary") else F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]
-    rows = most // fixed
-    size = df.limit(rows + 1).select((F.lit(fixed) + sum(long, F.lit(0))).cast("bigint").alias("bytes")).agg(F.count("*"), F.sum("bytes")).first()
-    return F.broadcast(df) if size[0] <= rows and (size[1] or 0) <= most else df
+    size = df.select((F.lit(fixed) + sum(long, F.lit(0))).cast("bigint").alias("bytes")).agg(F.sum("bytes")).first()[0]
+    return F.broadcast(df) if (size or 0) <= most else df
 
 
 def numbered(df: DataFrame, *order, name: str = "position") -> DataFrame:
