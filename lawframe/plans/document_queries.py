@@ -269,7 +269,7 @@ def by_answers(spark, sf_dir):
 
 
 BY_ANSWERS = """with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations), q as (select conv_id, arg_min(text, turn) as query_text from c where role = 'user' group by 1),
-t as (select conv_id as query_id, turn as rank, length('On a scale of 1 to 10, how relevant is the following document to the query?' || chr(10) || chr(10) || 'Query: ' || query_text || chr(10) || chr(10) || 'Document: ' || text || chr(10) || chr(10) || 'Relevance Score (1-10):') % 12 as n from c join q using (conv_id)),
+t as (select conv_id as query_id, turn as rank, length('Grade from 1 (unrelated) to 10 (answers it) how well the text fits the question. Question: ' || query_text || chr(10) || 'Text: ' || text || chr(10) || 'Grade:') % 12 as n from c join q using (conv_id)),
 s as (select query_id, rank, case when n between 1 and 10 then n else 5 end::int as score from t)
 select query_id, rank, score, row_number() over (partition by query_id order by score desc, rank) as position from s"""
 

@@ -19,7 +19,7 @@ PROMPTS = {
     "tagged": "Rewrite as a tagged record with title, published_date, categories and content elements:\n\n{}",
     "json": "Rewrite as JSON of this schema:\n{schema}\n\n{}",
     "enrichment": "Name main topic, applicability, a title and categories, one labelled line each, of:\n\n{}",
-    "translate": "Translate the following English text to Vietnamese: '{}'",
+    "translate": "Put this English passage into Vietnamese and answer with nothing else.\n\n{}",
     "validate": "Answer 'compliant' if this record meets the requirements:\n{requirements}\n\n{}",
 }
 
