@@ -67,44 +67,33 @@ def structured_mentions(text: Column) -> Column:
     return F.transform(segments, parse)
 
 
-def walked_mentions(sentences: list[str]) -> list[dict]:
-    """Token walk: the longest kind at a place, then up to six words up to the next kind; the year is the first word of
-    four digits."""
-    kinds = {k.lower() for k in ("luật", "bộ luật", "pháp lệnh", "nghị định", "thông tư", "nghị quyết", "quyết định")}
-    found = []
-    for sentence in sentences:
-        words = sentence.split()
-        low = [w.lower() for w in words]
-        size = lambda i: next((n for n in (2, 1) if " ".join(low[i : i + n]) in kinds and i + n <= len(low)), 0)  # noqa: E731, B023
-        i = 0
-        while i < len(words):
-            n = size(i)
-            if not n:
-                i += 1
-                continue
-            j = i + n
-            while j < len(words) and j < i + n + 6 and not size(j):
-                j += 1
-            year = next((w for w in words[i:j] if w[:4].isdigit() and not w[4:5].isalnum()), "")
-            rest = " ".join(words[i + n : j])
-            found.append({"mention": " ".join(words[i:j]), "document_type": " ".join(low[i : i + n]), "document_number": "", "issue_year": year, "issuer_body": "", "extra_info": rest.replace(year, "").strip() if year else rest})
-            i = j
-    return found
+# The kinds of document that the walk knows, longest first.
+WALKED_KINDS = ("bộ luật", "pháp lệnh", "nghị định", "thông tư", "nghị quyết", "quyết định", "luật")
+#: Words behind a kind that belong to a mention, unless another kind comes first.
+REACH = 6
+_KIND = "(?:" + "|".join(WALKED_KINDS) + r")(?!\S)"
+_WALK = rf"(?iU)(?<!\S){_KIND}(?: (?!{_KIND})\S+){{0,{REACH}}}"
+
+
+def walked_sql(text: str) -> str:
+    """SQL of array<struct<MENTION fields>> for the text column `text`: in each sentence the longest kind of document at
+    a word, with the words behind it up to the next kind, six at most. The year is the first word that starts with a
+    number of four digits. A sentence ends behind a mark and blank, or with its line; null texts give null."""
+    words = r"trim(regexp_replace(s, r'(?U)\s+', ' '))"
+    kind = f"regexp_extract(m, r'(?iU)^{_KIND}', 0)"
+    year = r"regexp_extract(m, r'(?U)(?<!\S)\d{4}\b\S*', 0)"
+    rest = "trim(substr(f.m, length(f.kind) + 1))"
+    mention = (
+        f"named_struct('mention', f.m, 'document_type', lower(f.kind), 'document_number', '', 'issue_year', f.year, 'issuer_body', '', "
+        f"'extra_info', if(f.year = '', {rest}, trim(replace({rest}, f.year, ''))))"
+    )
+    found = rf"flatten(transform(split({text}, r'(?U)(?<=[.!?])\s+|\n'), s -> regexp_extract_all({words}, r'{_WALK}', 0)))"
+    return f"transform(transform({found}, m -> named_struct('m', m, 'kind', {kind}, 'year', {year})), f -> {mention})"
 
 
 def walk(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, MENTION fields) by `walked_mentions`, sentences parted at marks."""
-    import re
-
-    def scan(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = [(d, *m.values()) for d, t in zip(b["doc_id"], b["text"], strict=True) for m in walked_mentions(re.split(r"(?<=[.!?])\s+|\n", t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "mention", "document_type", "document_number", "issue_year", "issuer_body", "extra_info"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, mention string, document_type string, document_number string, issue_year string, issuer_body string, extra_info string")
+    """(doc_id, text) to (doc_id, MENTION fields), a row a mention that the walk over words finds."""
+    return docs.select("doc_id", F.explode(F.expr(walked_sql("text"))).alias("m")).select("doc_id", "m.*")
 
 
 def best_match(mentioned: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -129,35 +118,27 @@ def _class(kind: Column) -> Column:
 
 
 def _agreeing(mentioned: DataFrame, catalog: DataFrame, properties: tuple) -> DataFrame:
-    """Mentions (id + MENTION) joined to catalog rows that agree in every property that a mention has.
+    """Mentions (id + MENTION) joined to catalog rows that agree in every property that a mention has; null is none.
 
-    One equi-join for each pattern of present properties: never a join on the kind alone where more is known.
+    One equi-join: which properties are present is part of the key, and a catalog row stands once for each choice of its
+    own properties, so that mentions never meet by kind alone where more is known.
     """
-    from itertools import product
-
-    c = catalog.select("document_id", "full_name", "position", F.col("issue_year").alias("c_issue_year"), F.lower("document_number").alias("c_document_number"), F.lower("issuer_body").alias("c_issuer_body"), _class(F.col("document_type")).alias("_class"))
-    parts = []
-    for pattern in product((True, False), repeat=len(properties)):
-        rows = mentioned.withColumn("_class", _class(F.col("document_type")))
-        on = F.lit(True)
-        for p, present in zip(properties, pattern, strict=True):
-            rows = rows.filter((F.col(p) != "") if present else (F.col(p) == ""))
-        rows = rows.alias("m")
-        on = F.col("m._class") == F.col("c._class")
-        for p, present in zip(properties, pattern, strict=True):
-            if present:
-                on = on & (F.lower(F.col(f"m.{p}")) == F.col(f"c.c_{p}"))
-        parts.append(rows.join(c.alias("c"), on).drop(F.col("c._class"), F.col("m._class")))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found
+    present = lambda p: F.coalesce(F.col(p), F.lit("")) != ""
+    pattern = sum((F.when(present(p), 1 << i).otherwise(0) for i, p in enumerate(properties)), F.lit(0))
+    asked = mentioned.withColumns({"_class": _class(F.col("document_type")), "_pattern": pattern, **{f"_{p}": F.lower(F.coalesce(p, F.lit(""))) for p in properties}})
+    c = catalog.select("document_id", "full_name", "position", F.col("issue_year").alias("c_issue_year"), _class(F.col("document_type")).alias("_class"), *(F.lower(F.coalesce(p, F.lit(""))).alias(f"_own_{p}") for p in properties))
+    chosen = lambda i: F.col("_pattern").bitwiseAND(1 << i) != 0
+    c = c.withColumn("_pattern", F.explode(F.sequence(F.lit(0), F.lit((1 << len(properties)) - 1))))
+    for i, p in enumerate(properties):
+        c = c.filter(~chosen(i) | (F.col(f"_own_{p}") != "")).withColumn(f"_{p}", F.when(chosen(i), F.col(f"_own_{p}")).otherwise(""))
+    keys = ["_class", "_pattern", *(f"_{p}" for p in properties)]
+    return asked.join(c.drop(*(f"_own_{p}" for p in properties)), keys).drop(*keys)
 
 
 def weighted_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cutoff: float = 0.75) -> DataFrame:
     """(id, mention, document_id, full_name, score, rank). Where the present properties weigh at least 0.7 and rows agree
     in all of them, the latest of these; else the candidates of that kind, number and issuer by TF-IDF. Mentions are
-    written once: each pattern of properties reads them."""
+    written once: both ways read them."""
     mentioned = stored(mentioned, "mentions")
     weight = sum((F.when(F.col(p) != "", w).otherwise(0.0) for p, w in PROPERTY_WEIGHTS.items()), F.lit(0.0))
     scored = mentioned.withColumn("confidence", F.round(weight, 6))

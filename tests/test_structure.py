@@ -58,9 +58,58 @@ def test_law_records(spark):
     assert got.count() == 8 and got.select("document_id").distinct().collect()[0][0] == "12/2020/QH"
 
 
-def test_walked_mentions():
-    got = M.walked_mentions(["Theo Luật Doanh nghiệp 2020 và Nghị định 15 của Chính phủ"])
-    assert [m["document_type"] for m in got] == ["luật", "nghị định"] and got[0]["issue_year"] == "2020"
+def walked(text):
+    """The walk word by word."""
+    import re
+
+    found = []
+    for sentence in re.split(r"(?<=[.!?])\s+|\n", text or ""):
+        words = sentence.split()
+        size = lambda i: next((n for n in (2, 1) if i + n <= len(words) and " ".join(words[i : i + n]).lower() in M.WALKED_KINDS), 0)  # noqa: E731, B023
+        i = 0
+        while i < len(words):
+            n = size(i)
+            j = i + max(n, 1)
+            while n and j < len(words) and j < i + n + 6 and not size(j):
+                j += 1
+            if n:
+                year = next((w for w in words[i:j] if re.match(r"\d{4}\b", w)), "")
+                rest = " ".join(words[i + n : j])
+                found.append((" ".join(words[i:j]), " ".join(words[i : i + n]).lower(), "", year, "", rest.replace(year, "").strip() if year else rest))
+            i = j
+    return found
+
+
+def test_walked_mentions(spark):
+    import random
+
+    draw = random.Random(5)
+    words = ["Luật", "LUẬT", "bộ", "Bộ", "pháp", "lệnh", "nghị", "Nghị", "định", "quyết", "thông", "tư", "2020", "2019,", "50", "12345", "2001a", "2002/QH", "a.", "b!", "c", "luật.", "\n", "  ", "\u00a0", "d"]
+    texts = ["Theo Luật Doanh nghiệp 2020 và Nghị định 15 của Chính phủ", None, "", "luật", *(" ".join(draw.choices(words, k=draw.randint(1, 60))) for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {}
+    for r in M.walk(df).collect():
+        got.setdefault(r[0], []).append(tuple(r[1:]))
+    assert all(got.get(i, []) == walked(t) for i, t in enumerate(texts)) and len(got) > 300
+
+
+def test_agreement_by_presence(spark):
+    """One join finds what a look at every pair finds, whichever properties a mention has."""
+    import itertools
+
+    names = ("document_type", "document_number", "issue_year", "issuer_body")
+    made = list(itertools.product(("luật", "Bộ Luật", "nghị định"), ("", "1", "A"), ("", "2019"), ("", "btc")))
+    mentioned = spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "id int, " + ", ".join(f"{n} string" for n in names))
+    catalog = [*made, ("luật", None, "2019", None), (None, "1", "2019", "btc"), ("luật", "a", None, "BTC")]
+    rows = spark.createDataFrame([(f"D{i}", "name", i, *c) for i, c in enumerate(catalog)], "document_id string, full_name string, position int, " + ", ".join(f"{n} string" for n in names))
+    kind = lambda k: None if k is None else "statute" if k.lower() in M.STATUTES else k.lower()
+    for held in (names[1:], ("document_number", "issuer_body")):
+        at = [names.index(n) for n in held]
+        want = {(i, f"D{j}") for i, m in enumerate(made) for j, c in enumerate(catalog) if kind(m[0]) == kind(c[0]) and all(not m[k] or m[k].lower() == (c[k] or "").lower() for k in at)}
+        found = M._agreeing(mentioned, rows, held)
+        got = [(r["id"], r["document_id"]) for r in found.collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert found._jdf.queryExecution().toString().count("Join Inner") <= 3
 
 
 def test_fallback_by_similarity(spark):
