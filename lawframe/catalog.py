@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lawframe.plans import document_queries, index_queries, more_queries, search_queries, store_queries, stream_queries, structure_queries, text_queries
+from lawframe.plans import document_queries, index_queries, lateral_queries, more_queries, search_queries, store_queries, stream_queries, structure_queries, text_queries
 
 
 def _all() -> dict:
-    return text_queries.QUERIES | search_queries.QUERIES | structure_queries.QUERIES | store_queries.QUERIES | more_queries.QUERIES | document_queries.QUERIES | stream_queries.QUERIES | index_queries.QUERIES
+    return text_queries.QUERIES | search_queries.QUERIES | structure_queries.QUERIES | store_queries.QUERIES | more_queries.QUERIES | document_queries.QUERIES | stream_queries.QUERIES | index_queries.QUERIES | lateral_queries.QUERIES
 
 
 def queries() -> dict:

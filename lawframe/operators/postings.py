@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawframe.scratch import small, stored
+
 GRAM, BUCKETS, SPREAD = 3, 64, 8
 
 
@@ -67,3 +69,22 @@ def matching(rows: DataFrame, path: str, keywords: list[str], key: str = "record
     """The `rows` whose text holds any of the keywords, by a semi join with the index."""
     found = search(rows.sparkSession, path, keywords).select(F.col("id").alias(key))
     return rows.join(found, key, "left_semi")
+
+
+def search_all(index: DataFrame, keywords: DataFrame) -> DataFrame:
+    """As `search` for keywords that are rows (keyword), however many: (id, keyword). Null and empty ones find nothing."""
+    length, at = F.length("low"), F.col("at")
+    words = keywords.filter(F.length("keyword") > 0).select("keyword").distinct().withColumn("low", F.lower("keyword"))
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(F.lit(0), length - GRAM), F.lit(GRAM)), F.array(F.greatest(F.lit(0), length - GRAM))))
+    asked = stored(words.withColumn("parts", F.size(starts)).withColumn("at", F.explode(starts)).select("keyword", "at", F.substr("low", at + 1, F.lit(GRAM)).alias("part"), "parts", length.alias("n")), "asked")
+    asked = asked.withColumn("bucket", _bucket(F.col("part")))
+    held = index.select("bucket", "id", "gram", "places")
+    found = None
+    for n in range(1, GRAM + 1):  # a shorter keyword is met by the starts of grams
+        few = small(asked.filter(F.col("n") >= GRAM if n == GRAM else F.col("n") == n))
+        own = held.withColumn("part", F.substr("gram", F.lit(1), F.lit(n))) if n < GRAM else held.withColumn("part", F.col("gram"))
+        met = own.join(few, ["bucket", "part"]).select("id", "keyword", "parts", "at", "places")
+        found = met if found is None else found.unionByName(met)
+    begins = found.select("id", "keyword", "parts", "at", F.explode("places").alias("place")).withColumn("begin", F.col("place") - at)
+    full = begins.groupBy("id", "keyword", "parts", "begin").agg(F.count_distinct("at").alias("hit")).filter("hit = parts")
+    return full.select("id", "keyword").distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lawframe.scratch import small
+
 
 def daily(events: DataFrame) -> DataFrame:
     """(user_id, day, questions, tokens) of rows (user_id, ts, tokens)."""
@@ -18,7 +20,7 @@ def limited(events: DataFrame, limits: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     counted = events.withColumn("questions", F.count("*").over(w)).withColumn("total_tokens", F.sum("tokens").over(w))
-    return counted.join(F.broadcast(limits), "tier").withColumn("accepted", (F.col("questions") <= F.col("max_questions")) & (F.col("total_tokens") <= F.col("max_tokens")))
+    return counted.join(small(limits), "tier").withColumn("accepted", (F.col("questions") <= F.col("max_questions")) & (F.col("total_tokens") <= F.col("max_tokens")))
 
 
 def overview(users: DataFrame, subscriptions: DataFrame, today: DataFrame) -> DataFrame:

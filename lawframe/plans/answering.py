@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lawframe.functions import text as T
 from lawframe.functions.text import backfilled_source, citation_suffix, matches_any
+from lawframe.functions.vectors import cosine
+from lawframe.operators import postings
 from lawframe.operators import search as S
 from lawframe.operators.store import cached_answers
 from lawframe.plans.providers import embed, generate
+from lawframe.scratch import passing, scratch_path, stored
 
 NOTHING_FOUND = "No relevant data found."
 
@@ -27,15 +31,68 @@ def retrieve(queries: DataFrame, points: DataFrame, qa_k: int = 3, doc_k: int =
     return hits.withColumn("branch", F.when(of_qa, 0).otherwise(1)).join(points.drop("embedding"), ["collection", "record_id"])
 
 
-def answer(queries: DataFrame, points: DataFrame, cache: DataFrame | None = None, now: int = 0, rerank: bool = False, generator: str = "extractive", **search) -> DataFrame:
-    """(query_id, query_text, response_text, sources, cached) of queries (query_id, query_text[, embedding])."""
+def with_keywords(queries: DataFrame, generator: str = "extractive", most: int = 10) -> DataFrame:
+    """Queries (query_text, ...) with `keywords`, array<string>, that a generator names for them. One whose answer holds
+    none is asked once more; then, and without a text, it has none."""
+    asked = F.concat(F.lit(f"Name at most {most} keywords for a search of legal texts that answer the question, as one JSON object with the list keywords.\n\nQuestion: "), "query_text")
+
+    def once(df: DataFrame) -> DataFrame:
+        listed = F.filter(F.coalesce(T.keywords(generate(asked, generator), most), F.array().cast("array<string>")), lambda k: F.coalesce(F.trim(k), F.lit("")) != "")
+        return stored(df.withColumn("keywords", listed), "keywords")
+
+    blank = F.coalesce(F.trim("query_text"), F.lit("")) == ""
+    first = once(queries.filter(~blank))
+    again = once(first.filter("size(keywords) = 0").drop("keywords"))
+    silent = queries.filter(blank).withColumn("keywords", F.array().cast("array<string>"))
+    return first.filter("size(keywords) > 0").unionByName(again).unionByName(silent)
+
+
+def keyword_index(points: DataFrame, path: str | None = None) -> DataFrame:
+    """The postings of points (collection, record_id, content), written to `path` or for as long as the application runs."""
+    spark = points.sparkSession
+    if path is None:
+        path = scratch_path(spark, "postings")
+        passing(spark, path)
+    postings.build(points.withColumn("_key", F.struct("collection", "record_id")), path, "_key", "content")
+    return spark.read.parquet(path)
+
+
+def retrieve_by_keywords(queries: DataFrame, points: DataFrame, index: DataFrame, qa_k: int = 3, doc_k: int = 6, **search) -> DataFrame:
+    """As `retrieve` for queries (query_id, embedding, keywords), with `by_keywords`: among the points that hold one of a
+    query's own keywords, without thresholds; where none does, or it has no keywords, by `retrieve`.
+
+    Keywords meet points in the index, so no text is read; scores are made for the pairs that meet alone, and tasks
+    forward the best of their own.
+    """
+    queries = stored(queries.select("query_id", "embedding", "keywords"), "asked")
+    words = queries.select("query_id", F.explode(F.array_distinct("keywords")).alias("keyword"))
+    met = words.join(postings.search_all(index, words), "keyword").select("query_id", "id.collection", "id.record_id").distinct()
+    vectors = points.select("collection", "record_id", F.col("embedding").alias("_v"))
+    scored = met.join(vectors, ["collection", "record_id"]).join(queries.select("query_id", "embedding"), "query_id").select("query_id", "collection", "record_id", F.round(cosine("embedding", "_v"), 5).alias("similarity_score"))
+    of_qa = F.lower("collection").contains("qa")
+    order = Window.partitionBy("query_id", "collection").orderBy(F.desc_nulls_last("similarity_score"), "record_id")
+    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(qa_k, doc_k)).filter(F.col("rank") <= F.when(of_qa, qa_k).otherwise(doc_k))
+    best = stored(best.withColumn("branch", F.when(of_qa, 0).otherwise(1)), "by_keywords")
+    rest = queries.join(best.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "embedding")
+    plain = retrieve(rest, points, qa_k, doc_k, **search).withColumn("by_keywords", F.lit(False))
+    return best.join(points.drop("embedding"), ["collection", "record_id"]).withColumn("by_keywords", F.lit(True)).unionByName(plain, allowMissingColumns=True)
+
+
+def answer(queries: DataFrame, points: DataFrame, cache: DataFrame | None = None, now: int = 0, rerank: bool = False, generator: str = "extractive", keyword_gen: str | None = None, **search) -> DataFrame:
+    """(query_id, query_text, response_text, sources, cached) of queries (query_id, query_text[, embedding]).
+
+    `keyword_gen` names a generator of keywords: points are then sought among those that hold a query's own."""
     asked = queries if "embedding" in queries.columns else queries.withColumn("embedding", embed(F.col("query_text")))
     done = None
     if cache is not None:
         probed = cached_answers(asked, cache, now)
         done = probed.filter("hit").select("query_id", "query_text", "response_text", F.array().cast("array<string>").alias("sources"), F.lit(True).alias("cached"))
         asked = probed.filter("not hit").drop("response_text", "hit", "cache_key")
-    hits = retrieve(asked.select("query_id", "embedding"), points, **search)
+    if keyword_gen:
+        named = with_keywords(asked.select("query_id", "query_text", "embedding"), keyword_gen)
+        hits = retrieve_by_keywords(named, points, keyword_index(points), **search)
+    else:
+        hits = retrieve(asked.select("query_id", "embedding"), points, **search)
     hits = hits.withColumn("rank", F.col("branch") * 1000 + F.col("rank")).withColumn("source", backfilled_source(F.col("source"), F.col("chunk_id")))
     if rerank:
         scored = S.reranked(hits.join(asked.select("query_id", "query_text"), "query_id"), S.lexical_overlap(F.col("query_text"), F.col("content")))

@@ -5,7 +5,7 @@ import pytest
 
 from lawframe import catalog
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks items".split()
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
