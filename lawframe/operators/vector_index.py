@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lawframe.operators.search import _arrow_fields, _matrix, _nearest
+from lawframe.operators.search import DUPLICATE_THRESHOLD, _arrow_fields, _matrix, _nearest
 from lawframe.scratch import stored
 
 #: Points from which centres are fitted, centres at most, and rounds of k-means.
@@ -169,6 +169,28 @@ class VectorIndex:
         more = self._scored(self._asked(queries.join(last, "query_id", "left"), choose), k)
         return self._ranked(first.drop("rank").unionByName(more), k)
 
+    def near(self, queries: DataFrame, threshold: float) -> DataFrame:
+        """(query_id, record_id, similarity_score, rank): the nearest point of each query that has one of at least
+        `threshold` (cosine), nothing missed.
+
+        A point so near lies within a distance of the query, so its cell reaches as far, and as its centre is its own
+        nearest, that centre is at most twice the distance farther from the query than the query's nearest one.
+        """
+        if self.metric != "cosine":
+            raise ValueError(f"no bound for {self.metric}")
+        sc = self.rows.sparkSession.sparkContext
+        held = sc.broadcast((self.centres, self.radius))
+        reach = np.inf if threshold <= 0 else np.sqrt(max(2 - 2 * threshold, 0)) + SLACK
+
+        def choose(q, _):
+            middle, radius = held.value
+            away = distances(placed(q, "cosine"), middle)
+            return (away - radius <= reach) & (away <= away.min(1, keepdims=True) + 2 * reach)
+
+        queries = queries.select("query_id", "embedding")
+        found = self._scored(self._asked(queries, choose), 1) if self.cells else self.search(queries, 1, 1).drop("rank")
+        return self._ranked(found.filter(F.col("similarity_score") >= threshold), 1)
+
     def probes_for(self, recall: float, k: int = 10) -> int:
         """The least number of probes (doubling, then halving the step) that finds `recall` of the k nearest, measured
         on TRIED points of the index itself against the exact answer."""
@@ -235,3 +257,9 @@ def load(spark: SparkSession, path: str, points: StructType | None = None) -> Ve
     width = len(cells[0]["centre"]) if cells else 1
     as_array = lambda name: np.array([c[name] for c in cells], float)
     return VectorIndex(rows, spark.read.parquet(f"{path}/metric").first()[0], as_array("centre").reshape(-1, width), as_array("radius"), as_array("n").astype(int))
+
+
+def without_near_duplicates(new: DataFrame, index: VectorIndex, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
+    """As the exact anti join of `search`, against the points of an index; only the cells that can hold one are read."""
+    found = index.near(new.select(F.col("record_id").alias("query_id"), "embedding"), threshold)
+    return new.join(found.select(F.col("query_id").alias("record_id")), "record_id", "left_anti")

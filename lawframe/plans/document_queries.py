@@ -11,10 +11,12 @@ from lawframe.operators import chunk as C
 from lawframe.operators import citations as M
 from lawframe.operators import search as S
 from lawframe.operators import structure as H
+from lawframe.operators import vector_index as V
 from lawframe.plans import formatting, ingest, providers, uploads
 from lawframe.plans.more_queries import COMPACT, OWN_BARE, compact_sql
 from lawframe.plans.store_queries import CATALOG, STRUCTURED, _catalog, _structured, language_sql
 from lawframe.plans.structure_queries import LAW, _law
+from lawframe.scratch import passing, scratch_path, stored
 
 
 def _table(spark, sf_dir, name):
@@ -203,8 +205,8 @@ select doc_id, case doc_id % 3 when 0 then 'json' when 1 then 'tagged' end as lo
 
 
 def before(spark, sf_dir):
-    """Tagged documents prepared as they are; every seventh lacks a title and is left out."""
-    docs = _raw(spark, sf_dir).filter("doc_id % 3 = 1").select(F.col("doc_id").cast("string").alias("record_id"), F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("title"), F.col("raw").alias("content"))
+    """Documents as they come: tagged ones are prepared, every seventh lacks a title and is left out."""
+    docs = _raw(spark, sf_dir).select(F.col("doc_id").cast("string").alias("record_id"), F.when(F.col("doc_id") % 7 > 0, F.col("source")).alias("title"), F.col("raw").alias("content"))
     return formatting.preprocessed(docs, "tagged", requirements=()).select("source_id", "record_id", "title", F.md5("content").alias("content_md5"))
 
 
@@ -297,28 +299,51 @@ CONVERSED = rf"""select conv_id, md5(right(coalesce(arg_max(coalesce(text, ''),
   md5({STRIP.format("right('Viết lại câu hỏi sau đây sử dụng ngôn ngữ, thuật ngữ pháp lý:' || chr(10) || chr(10) || arg_min(coalesce(text, ''), turn), 400)")}) as paraphrase_md5 from conversations group by 1"""
 
 
-def _embedder():
-    return providers.local_embedder({"model_name": "hashed", "cache_dir": "", "vector_dimension": 64})
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_counts(texts: list[str], dim: int = len(LETTERS)) -> list[list[float]]:
+    """How often a text holds each of the first `dim` letters: vectors that SQL can make too."""
+    return [[float(t.count(c)) for c in LETTERS[:dim]] for t in texts]
+
+
+providers.register("embedder", "letters", letter_counts)
+
+
+def _lettered():
+    return providers.local_embedder({"model_name": "letters", "cache_dir": "", "vector_dimension": len(LETTERS)})
+
+
+def letters_sql(text: str) -> str:
+    return f"list_transform(string_split('{' '.join(LETTERS)}', ' '), lambda c: (length({text}) - length(replace({text}, c, '')))::double)"
 
 
 def requests(spark, sf_dir):
-    """Documents' lines as requests, every third for a single text."""
+    """Documents' lines as requests, every third for a single text, with their vectors."""
     asked = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("texts"), (F.col("doc_id") % 3 > 0).alias("is_batch"))
-    return providers.embed_request(asked, _embedder()).select("request_id", "status", F.size("embeddings").alias("embeddings"))
+    return providers.embed_request(asked, _lettered()).select("request_id", "status", F.transform("embeddings", lambda v: F.concat_ws(",", F.transform(v, lambda x: x.cast("int").cast("string")))).alias("_v")).select("request_id", "status", F.array_join("_v", ";").alias("embeddings"))
 
 
 REQUESTS = rf"""
-with l as (select doc_id, doc_id % 3 > 0 as batch, case when doc_id % 5 > 0 then len(list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: {STRIP.format("x")}), lambda x: x <> '')) else 0 end as n from documents)
-select doc_id as request_id, case when n = 0 or (not batch and n <> 1) then 400 else 200 end::int as status, case when n = 0 or (not batch and n <> 1) then null else n end::int as embeddings from l"""
+with l as (select doc_id, doc_id % 3 > 0 as batch, case when doc_id % 5 > 0 then list_filter(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: {STRIP.format("x")}), lambda x: x <> '') else [] end as x from documents),
+n as (select *, coalesce(len(x), 0) = 0 or (not batch and len(x) <> 1) as bad from l)
+select doc_id as request_id, case when bad then 400 else 200 end::int as status,
+  case when not bad then array_to_string(list_transform(x, lambda t: array_to_string(list_transform({letters_sql("t")}, lambda v: v::int::varchar), ',')), ';') end as embeddings from n"""
 
 
 def uploaded(spark, sf_dir):
-    """Every third document is stored; all are offered. Near duplicates are exact here: equal bags of words."""
+    """Every third document is stored and indexed; all are offered. Near duplicates have all but equal counts of letters."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("text").alias("content"), "doc_id")
-    points = providers.embedded(docs.filter("doc_id % 3 = 0"), "content", _embedder())
-    from lawframe.scratch import stored
+    points = stored(providers.embedded(docs.filter("doc_id % 3 = 0"), "content", _lettered()), "points")
+    path = scratch_path(spark, "index")
+    passing(spark, path)
+    return uploads.upload(docs, points, _lettered(), index=V.build(points, path))[1]
+
 
-    return uploads.upload(docs, stored(points, "points"), _embedder())[1]
+UPLOADED = f"""
+with v as (select doc_id, {letters_sql("text")} as v from documents),
+near as (select n.doc_id from v n, v p where n.doc_id % 3 > 0 and p.doc_id % 3 = 0 group by 1 having max(case when list_sum(n.v) > 0 and list_sum(p.v) > 0 then round(list_cosine_similarity(n.v, p.v), 5) else 0 end) >= 0.999)
+select count(*) as total, count_if(doc_id % 3 = 0) as known, count_if(doc_id in (select doc_id from near)) as near_duplicate, count_if(doc_id % 3 > 0 and doc_id not in (select doc_id from near)) as uploaded from documents"""
 
 
 def splitters(spark, sf_dir):
@@ -372,6 +397,6 @@ QUERIES = {
     "S10_roman_sections": (roman, ROMAN), "S11_whole_files": (whole_files, WHOLE_FILES), "S12_section_in_files": (in_files, IN_FILES), "FR1_format_modes": (modes, MODES),
     "FR2_translation": (translations, TRANSLATIONS), "FR3_load_fallbacks": (loads, LOADS), "FR4_preprocess": (before, BEFORE), "FR5_enrichment": (enrichments, ENRICHMENTS), "FR6_postprocess": (linked, LINKED),
     "RR1_flashrank": (reranked("flashrank"), TURNS.format(length=1_000_000_000)), "RR2_crossencoder": (reranked("crossencoder"), TURNS.format(length=256)), "RR3_relevance_answers": (by_answers, BY_ANSWERS),
-    "G5_intentions": (intentions, INTENTIONS), "G7_conversations": (conversed, CONVERSED), "E1_embed_requests": (requests, REQUESTS), "K14_upload": (uploaded, None), "C6_splitters": (splitters, SPLITTERS),
+    "G5_intentions": (intentions, INTENTIONS), "G7_conversations": (conversed, CONVERSED), "E1_embed_requests": (requests, REQUESTS), "K14_upload": (uploaded, UPLOADED), "C6_splitters": (splitters, SPLITTERS),
     "M8_citation_search": (cited, CITED),
 }

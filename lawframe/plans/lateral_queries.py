@@ -7,11 +7,12 @@ import json
 from pyspark.sql import functions as F
 
 from lawframe.operators import search as S
+from lawframe.operators import vector_index
 from lawframe.operators.citations import WALKED_KINDS
 from lawframe.plans import answering
 from lawframe.plans.providers import register as register_provider
 from lawframe.plans.registered import register_functions
-from lawframe.plans.search_queries import SCORE
+from lawframe.plans.search_queries import NEAR_DUP, SCORE
 from lawframe.plans.store_queries import PAGES_TEXT
 from lawframe.scratch import passing, scratch_path
 from lawframe.sources import workbook
@@ -104,6 +105,16 @@ where case when found then holds and rank <= case collection when 'qa' then 3 el
   else place <= case collection when 'qa' then 3 else 6 end and score >= case collection when 'qa' then 0.2 else 0.25 end end
 """
 
+def near_dup_indexed(spark, sf_dir):
+    """V5's anti join against an index of the stored points."""
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("record_id"), "embedding")
+    path = scratch_path(spark, "index")
+    passing(spark, path)
+    index = vector_index.build(points.filter("record_id % 2 = 1"), path)
+    return vector_index.without_near_duplicates(points.filter("record_id % 2 = 0"), index, 0.3).select("record_id")
+
+
 QUERIES = {
+    "V11_near_dup_indexed": (near_dup_indexed, NEAR_DUP),
     "M9_lateral_walk": (lateral_walk, LATERAL_WALK), "P8_lateral_html": (lateral_html, LATERAL_HTML), "P9_workbooks": (workbooks, WORKBOOKS), "G8_keyword_answers": (keyword_answers, KEYWORD_ANSWERS),
 }

@@ -7,27 +7,29 @@ from pyspark.sql import functions as F
 
 from lawframe.operators import search as S
 from lawframe.operators import store as K
+from lawframe.operators import vector_index as V
 from lawframe.operators.records import qa_records, refined_question
+from lawframe.operators.vector_index import VectorIndex
 from lawframe.plans.providers import Embedder, embedded, generate
 from lawframe.scratch import stored
 
 
-def new_points(records: DataFrame, points: DataFrame, embedder: Embedder, text: str = "content") -> DataFrame:
+def new_points(records: DataFrame, points: DataFrame, embedder: Embedder, text: str = "content", index: VectorIndex | None = None) -> DataFrame:
     """Records as points to add: embedded, those without a vector and near duplicates of stored points left out. A record
-    without an id is named by its text."""
+    without an id is named by its text. With an index of the points near duplicates are sought in it."""
     named = records.withColumn("record_id", F.coalesce(F.nullif("record_id", F.lit("")), F.concat(F.lit("P_"), F.md5(F.coalesce(text, F.lit(""))))))
     rows = stored(embedded(named, text, embedder).filter(F.size("embedding") > 0), "embedded")
-    return S.without_near_duplicates(rows, points)
+    return S.without_near_duplicates(rows, points) if index is None else V.without_near_duplicates(rows, index)
 
 
-def upload(records: DataFrame, points: DataFrame, embedder: Embedder, text: str = "content") -> tuple[DataFrame, DataFrame]:
+def upload(records: DataFrame, points: DataFrame, embedder: Embedder, text: str = "content", index: VectorIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """(added, counts): an incremental load of records into the points (record_id, embedding, ...) of a collection.
 
     Records whose id is stored stay out before anything is embedded. `counts` has total, known, near_duplicate (with
     those that got no vector) and uploaded.
     """
     fresh = K.delete(records, points, "record_id")
-    added = stored(new_points(fresh, points, embedder, text), "added")
+    added = stored(new_points(fresh, points, embedder, text, index), "added")
     return added, K.upload_counts(records, points, added)
 
 

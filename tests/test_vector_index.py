@@ -90,3 +90,26 @@ def test_odd_indexes(spark, tmp_path):
     with pytest.raises(ValueError):
         dot.search_exact(asked, 3)
     assert [r[2] for r in rows(dot.search(asked, 3, 9))] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("threshold", [0.999, 0.97, 0.5, 0.0])
+def test_near_equals_brute_force(spark, tmp_path, threshold):
+    points, x = clustered(spark)
+    index = V.build(points, str(tmp_path / "index"), cells=25)
+    want = {r["query_id"] for r in knn_join(queries_of(points), points.filter("size(embedding) = 12"), 1).collect() if r["similarity_score"] >= threshold}
+    assert {r["query_id"] for r in index.near(queries_of(points), threshold).collect()} == want
+    moved = spark.createDataFrame([(f"n{i}", [float(v) for v in x[i] * 3 + 0.003 * (i % 3)]) for i in range(0, 1500, 10)] + [("null", None), ("short", [1.0])], "record_id string, embedding array<float>")
+    left = {r[0] for r in V.without_near_duplicates(moved, index, threshold).select("record_id").collect()}
+    near = {r["query_id"] for r in knn_join(moved.filter("size(embedding) = 12").select(F.col("record_id").alias("query_id"), "embedding"), points.filter("size(embedding) = 12"), 1).collect() if r["similarity_score"] >= threshold}
+    assert left == {r[0] for r in moved.select("record_id").collect()} - near and {"null", "short"} <= left
+
+
+def test_near_reads_few_cells(spark, tmp_path):
+    points, _ = clustered(spark)
+    index = V.build(points, str(tmp_path / "index"), cells=25)
+    asked = []
+    scored = index._scored
+    index._scored = lambda a, k: asked.append(a.count()) or scored(a, k)
+    n = queries_of(points).count()
+    index.near(queries_of(points), 0.999).collect()
+    assert asked[0] < n * 25 / 4
