@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lawframe.functions.text import json_value
+
 
 def payload(text: Column) -> Column:
-    return F.try_parse_json(text)
+    return json_value(text)
 
 
 def at(value: Column, path: str, kind: str) -> Column:

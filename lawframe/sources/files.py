@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawframe.functions.text import json_value
 from lawframe.scratch import numbered
 
 TYPES = {"txt": "txt", "pdf": "pdf", "docx": "docx", "html": "html", "htm": "html", "csv": "csv", "xlsx": "xlsx", "xls": "xls", "json": "json", "jsonl": "jsonl"}
@@ -173,7 +174,7 @@ def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line): numbers from 1 of lines that are no JSON. One pass over whole files: a line's number needs its file."""
     files = read_text(spark, path)
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.trim("line") != "")
-    return lines.filter(F.try_parse_json("line").isNull()).select("path", (F.col("at") + 1).alias("line"))
+    return lines.filter(json_value(F.col("line")).isNull()).select("path", (F.col("at") + 1).alias("line"))
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lawframe.functions import text as T
+from lawframe.functions.payload import payload
 
 
 def one(spark, make, *values):
@@ -41,6 +42,13 @@ def test_text_type(spark):
     assert [one(spark, T.text_type, x) for x in ("12", '"a"', "{}", "<title>a</title><content>\n</content>", "<title>a</title>", "x")] == ["json", "json", "json", "tagged", "unformatted", "unformatted"]
 
 
+def test_only_whole_texts_are_json(spark):
+    broken = ("4537960215852590 Thinthen oror", '{"a": 1} x', "1, 2", "1] x", "1,0] x", '1} x', '1,"b":2', "", " ", '"a" "b"', "[1] [2]")
+    assert [one(spark, T.text_type, x) for x in broken] == ["unformatted"] * len(broken)
+    assert [one(spark, T.text_type, x) for x in (" 1 ", "[]", "[1, 0]", "null", '\n{"b": [1, {"a": "]}"}]}\n')] == ["json"] * 5
+    assert one(spark, payload, '{"a": 1} x') is None
+
+
 def test_intention(spark):
     assert [one(spark, T.intention, x) for x in ('a {"history": true, "b": {}} c', '{"irrelevant": true, "history": true}', "no", "{broken")] == ["history", "irrelevant", "rag", "rag"]
 
