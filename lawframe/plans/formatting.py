@@ -65,13 +65,14 @@ def compliant(record: Column, requirements: dict, generator: str = "extractive")
     return F.coalesce(F.length(said) > 0, F.lit(False))
 
 
-def _parsed(raw: Column, prefix: str = "REC") -> Column:
-    """struct<record_id, title, content> of a JSON or tagged text, null without a title and a content."""
+def _parsed(raw: Column, prefix: str = "REC", form: str | None = None) -> Column:
+    """struct<record_id, title, content> of a JSON or tagged text, null without a title and a content. With a form, json
+    or tagged, a text of the other one is null."""
     made = F.from_json(raw, "record_id string, title string, content string")
     as_json = F.when(made["title"].isNotNull() & made["content"].isNotNull(), F.struct(F.coalesce(made["record_id"], T.unique_id(made["title"], made["content"], prefix)).alias("record_id"), made["title"].alias("title"), made["content"].alias("content")))
     tagged = T.tagged_record(raw)
     as_tagged = F.when(tagged.isNotNull(), F.struct(F.coalesce(tagged["record_id"], T.unique_id(tagged["title"], tagged["content"], prefix)).alias("record_id"), tagged["title"].alias("title"), tagged["content"].alias("content")))
-    return F.coalesce(as_json, as_tagged)
+    return {"json": as_json, "tagged": as_tagged}.get(form, F.coalesce(as_json, as_tagged))
 
 
 def loaded(raw: DataFrame, is_formatted: bool = True, generator: str = "extractive") -> DataFrame:
@@ -87,12 +88,13 @@ def loaded(raw: DataFrame, is_formatted: bool = True, generator: str = "extracti
 def preprocessed(records: DataFrame, mode: str, requirements: tuple = ("mask_pii",), required: dict[str, str] | None = None, generator: str = "extractive", **more) -> DataFrame:
     """Records that pass: contents masked if asked for, required columns checked, formatted, parsed again.
 
-    (source_id, record_id, title, content); rows that fail at any step are left out.
+    (source_id, record_id, title, content); rows that fail at any step are left out, and so are answers of another form
+    than the mode asks for, such as a JSON text that a generator repeats where a tagged record is wanted.
     """
     rows = records.withColumn("content", T.mask_key(F.col("content"))) if "mask_pii" in requirements else records
     errors = T.validation_errors(required or {"record_id": "string", "title": "string", "content": "string"})
     rows = rows.filter(F.size(errors) == 0).withColumn("_made", formatted(F.col("content"), mode, generator=generator, **more))
-    return rows.withColumn("_r", _parsed(F.col("_made"))).filter("_r is not null").select(F.col("record_id").alias("source_id"), "_r.*")
+    return rows.withColumn("_r", _parsed(F.col("_made"), form=mode)).filter("_r is not null").select(F.col("record_id").alias("source_id"), "_r.*")
 
 
 def postprocessed(records: DataFrame, catalog: DataFrame, generator: str = "extractive", required: dict[str, str] | None = None) -> DataFrame:

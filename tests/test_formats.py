@@ -91,6 +91,13 @@ def test_loading_falls_back_to_the_generator(spark):
     assert [r["loaded_from"] for r in formatting.loaded(df, is_formatted=False, generator="tagger").collect()] == ["generator", None, None]
 
 
+def test_answers_have_the_form_of_the_mode(spark):
+    providers.register("generator", "repeating", lambda prompts: [p[p.index("\n\n") :] for p in prompts])
+    rows = spark.createDataFrame([("1", "t", '{"title": "a", "content": "b"}'), ("2", "t", "<title>a</title><content>b</content>")], "record_id string, title string, content string")
+    run = lambda mode, **more: [r["source_id"] for r in formatting.preprocessed(rows, mode, (), generator="repeating", **more).collect()]
+    assert run("tagged") == ["2"] and run("json", json_schema={"a": 1}) == ["1"]
+
+
 def test_masking_comes_before_formatting(spark):
     rows = spark.createDataFrame([("1", "t", "<title>a</title><content>b</content>"), ("2", "", "x")], "record_id string, title string, content string")
     assert formatting.preprocessed(rows, "tagged", requirements=()).count() == 1
