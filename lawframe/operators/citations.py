@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lawframe.functions.text import CITATION, KINDS, issue_year, strip
 from lawframe.operators.tfidf import STOP_WORDS, pair_similarity
-from lawframe.scratch import stored
+from lawframe.scratch import small, stored
 
 # Issuing bodies and their abbreviations.
 ISSUERS = {
@@ -102,15 +102,21 @@ def best_match(mentioned: DataFrame, catalog: DataFrame) -> DataFrame:
 
     A name that holds a mention holds its number/year, so that is the join key; for the year alone the earliest row of
     each year is enough.
+
+    Each mention is matched once, however many rows have it: what follows joins its best row alone.
     """
     ids = r"\d{1,3}/\d{4}"
-    m = mentioned.select("id", "mention", issue_year(F.col("mention")).alias("year"), F.regexp_extract("mention", ids, 0).alias("key"))
+    mentioned = stored(mentioned.select("id", "mention"), "cited")
+    m = stored(mentioned.select("mention").distinct(), "mentions")
+    m = m.select("mention", issue_year(F.col("mention")).alias("year"), F.regexp_extract("mention", ids, 0).alias("key"))
     named = catalog.withColumn("key", F.explode(F.array_distinct(F.regexp_extract_all("full_name", F.lit(ids), F.lit(0)))))
-    held = m.join(named, "key").filter(F.lower("full_name").contains(F.lower("mention"))).select("id", "mention", "document_id", "filename", "position", F.when(F.col("year") == F.col("issue_year"), 1.0).otherwise(0.7).alias("score"))
+    held = m.join(named, "key").filter(F.lower("full_name").contains(F.lower("mention"))).select("mention", "document_id", "filename", "position", F.when(F.col("year") == F.col("issue_year"), 1.0).otherwise(0.7).alias("score"))
     first = catalog.groupBy(F.col("issue_year").alias("year")).agg(F.min_by(F.struct("document_id", "filename", "position"), "position").alias("c"))
-    dated = m.join(first, "year").select("id", "mention", "c.document_id", "c.filename", "c.position", F.lit(0.3).alias("score"))
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "mention", "position")
-    return held.unionByName(dated).withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("id", "document_id", "filename", "score")
+    dated = m.join(first, "year").select("mention", "c.document_id", "c.filename", "c.position", F.lit(0.3).alias("score"))
+    order = F.desc("score"), "mention", "position"
+    own = held.unionByName(dated).withColumn("_n", F.row_number().over(Window.partitionBy("mention").orderBy(*order))).filter("_n = 1").drop("_n")
+    found = mentioned.join(small(stored(own, "best")), "mention")
+    return found.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*order))).filter("_n = 1").select("id", "document_id", "filename", "score")
 
 
 def _class(kind: Column) -> Column:
@@ -135,41 +141,76 @@ def _agreeing(mentioned: DataFrame, catalog: DataFrame, properties: tuple) -> Da
     return asked.join(c.drop(*(f"_own_{p}" for p in properties)), keys).drop(*keys)
 
 
+#: What a mention says of a document.
+FIELDS = ("mention", "document_type", "document_number", "issue_year", "issuer_body", "extra_info")
+
+
+def _each_once(mentioned: DataFrame, match, order: tuple, top_n: int) -> DataFrame:
+    """What `match` finds for each distinct mention, which it gets as (id, MENTION), joined to all rows that have it; the
+    first `top_n` of each id and mention by `order`, `rank` from 1. Texts cite the same documents again and again."""
+    mentioned = stored(mentioned.select("id", F.struct(*FIELDS).alias("_said")), "mentions")
+    found = stored(match(mentioned.select("_said").distinct().select(F.col("_said").alias("id"), "_said.*")), "matched")
+    rows = mentioned.join(small(found.drop("mention").withColumnRenamed("id", "_said")), "_said").withColumn("mention", F.col("_said.mention"))
+    by = Window.partitionBy("id", "mention").orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n)
+
+
 def weighted_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cutoff: float = 0.75) -> DataFrame:
     """(id, mention, document_id, full_name, score, rank). Where the present properties weigh at least 0.7 and rows agree
-    in all of them, the latest of these; else the candidates of that kind, number and issuer by TF-IDF. Mentions are
-    written once: both ways read them."""
+    in all of them, the latest of these; else the candidates of that kind, number and issuer by TF-IDF. Each distinct
+    mention is matched once."""
+    order = F.desc("_sure"), F.desc("_by"), F.desc("_year"), F.col("position")
+    found = _each_once(mentioned, lambda distinct: _weighted(distinct, catalog, top_n, cutoff), order, top_n)
+    best = F.max("_sure").over(Window.partitionBy("id", "mention"))
+    return found.withColumn("_best", best).filter("_sure = _best").select("id", "mention", "document_id", "full_name", "score", "rank")
+
+
+def _weighted(mentioned: DataFrame, catalog: DataFrame, top_n: int, cutoff: float) -> DataFrame:
+    """`weighted_match` with what its rows are ordered by: _sure, _by (year or similarity), _year, position."""
     mentioned = stored(mentioned, "mentions")
     weight = sum((F.when(F.col(p) != "", w).otherwise(0.0) for p, w in PROPERTY_WEIGHTS.items()), F.lit(0.0))
     scored = mentioned.withColumn("confidence", F.round(weight, 6))
     sure = _agreeing(scored.filter(F.col("confidence") >= CONFIDENT), catalog, ("document_number", "issue_year", "issuer_body"))
-    latest = Window.partitionBy("id", "mention").orderBy(F.col("c_issue_year").try_cast("int").desc(), "position")
-    kept = sure.withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= top_n).select("id", "mention", "document_id", "full_name", F.col("confidence").alias("score"), "rank")
-    kept = stored(kept, "kept")
-    rest = mentioned.join(kept.select("id", "mention").distinct(), ["id", "mention"], "left_anti")
+    year = F.col("c_issue_year").try_cast("int").cast("double")
+    latest = Window.partitionBy("id").orderBy(year.desc(), "position")
+    kept = sure.withColumn("rank", F.row_number().over(latest)).filter(F.col("rank") <= top_n)
+    kept = stored(kept.select("id", "mention", "document_id", "full_name", F.col("confidence").alias("score"), F.lit(1).alias("_sure"), year.alias("_by"), F.lit(None).cast("string").alias("_year"), "position"), "kept")
+    rest = mentioned.join(kept.select("id").distinct(), "id", "left_anti")
     query = F.when(F.col("extra_info") != "", F.lower(F.trim(F.concat_ws(" ", "document_type", "document_number", "extra_info")))).otherwise(F.lower("mention"))
-    cands = _agreeing(rest, catalog, ("document_number", "issuer_body")).withColumn("group_id", F.struct("id", "mention")).select("group_id", query.alias("query"), F.col("position").alias("cand_id"), F.col("full_name").alias("cand"), "document_id", "c_issue_year")
+    cands = _agreeing(rest, catalog, ("document_number", "issuer_body")).select(F.col("id").alias("group_id"), query.alias("query"), F.col("position").alias("cand_id"), F.col("full_name").alias("cand"), "document_id", "c_issue_year")
     cands = stored(cands, "candidates")
     near = pair_similarity(cands.select("group_id", "query", "cand_id", "cand")).filter(F.col("similarity") >= cutoff)
     by = Window.partitionBy("group_id").orderBy(F.round("similarity", 9).desc(), F.desc("c_issue_year"), "cand_id")
     fallback = near.join(cands, ["group_id", "cand_id"]).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top_n)
-    return kept.unionByName(fallback.select("group_id.id", "group_id.mention", "document_id", F.col("cand").alias("full_name"), F.col("similarity").alias("score"), "rank"))
+    return kept.unionByName(
+        fallback.select(
+            F.col("group_id").alias("id"), "group_id.mention", "document_id", F.col("cand").alias("full_name"), F.col("similarity").alias("score"),
+            F.lit(0).alias("_sure"), F.round("similarity", 9).alias("_by"), F.col("c_issue_year").alias("_year"), F.col("cand_id").alias("position"),
+        )
+    )
 
 
 def dynamic_match(mentioned: DataFrame, catalog: DataFrame, top_n: int = 2, cutoff: float = 0.5) -> DataFrame:
     """(id, mention, document_id, score, rank): present properties weigh by reliability, made to sum to one; rows must
-    agree in all; extra words add their weight times the TF-IDF similarity of the two texts."""
+    agree in all; extra words add their weight times the TF-IDF similarity of the two texts. Each distinct mention is
+    matched once."""
+    order = F.round("score", 9).desc(), F.col("position")
+    found = _each_once(mentioned, lambda distinct: _dynamic(distinct, catalog, top_n, cutoff, order), order, top_n)
+    return found.select("id", "mention", "document_id", "score", "rank")
+
+
+def _dynamic(mentioned: DataFrame, catalog: DataFrame, top_n: int, cutoff: float, order: tuple) -> DataFrame:
     mentioned = stored(mentioned, "mentions")
     total = sum((F.when(F.col(p) != "", w).otherwise(0.0) for p, w in RELIABILITY.items()), F.lit(0.0))
     share = lambda p: F.when(F.col(p) != "", RELIABILITY[p]).otherwise(0.0) / F.nullif(F.col("total"), F.lit(0.0))
     rows = _agreeing(mentioned.withColumn("total", total), catalog, ("document_number", "issue_year", "issuer_body"))
-    base = rows.withColumn("base", sum((share(p) for p in PROPERTY_WEIGHTS), F.lit(0.0))).withColumn("extra_weight", share("extra_info")).withColumn("group_id", F.struct("id", "mention"))
+    base = rows.withColumn("base", sum((share(p) for p in PROPERTY_WEIGHTS), F.lit(0.0))).withColumn("extra_weight", share("extra_info")).withColumnRenamed("id", "group_id")
     base = stored(base, "agreeing")
     extra = base.filter("extra_info <> ''").select("group_id", F.lower("extra_info").alias("query"), F.col("position").alias("cand_id"), F.lower("full_name").alias("cand"))
     near = pair_similarity(extra, True, STOP_WORDS).withColumnRenamed("cand_id", "position")
     scored = base.join(near, ["group_id", "position"], "left").withColumn("score", F.col("base") + F.col("extra_weight") * F.coalesce("similarity", F.lit(0.0)))
-    order = Window.partitionBy("group_id").orderBy(F.round("score", 9).desc(), "position")
-    return scored.filter(F.col("score") >= cutoff).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n).select("id", "mention", "document_id", "score", "rank")
+    best = Window.partitionBy("group_id").orderBy(*order)
+    return scored.filter(F.col("score") >= cutoff).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top_n).select(F.col("group_id").alias("id"), "mention", "document_id", "score", "position")
 
 
 def partial_names(catalog: DataFrame) -> DataFrame:

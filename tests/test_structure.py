@@ -117,3 +117,20 @@ def test_fallback_by_similarity(spark):
     text = spark.createDataFrame([(7, "Bộ luật doanh nghiệp")], "id int, text string")
     mentioned = text.select("id", F.explode(M.structured_mentions(F.col("text"))).alias("m")).select("id", "m.*")
     assert [r["document_id"] for r in M.weighted_match(mentioned, catalog, 1, 0.5).collect()] == ["D2"]
+
+
+def test_mentions_are_matched_once(spark, monkeypatch):
+    """The catalog meets each distinct mention, not each row that has it; all rows get what it stands for."""
+    names = "position int, document_id string, full_name string, document_type string, document_number string, issue_year string, issuer_body string, filename string"
+    catalog = spark.createDataFrame([(i, f"D{i}", f"nghị định 1/2020 {i}", "nghị định", "1", "2020", "btc", f"f{i}") for i in range(5)], names)
+    text = spark.createDataFrame([(i, "nghị định 1/2020/NĐ-CP bộ tài chính về thuế") for i in range(40)], "id int, text string")
+    mentioned = text.select("id", F.explode(M.structured_mentions(F.col("text"))).alias("m")).select("id", "m.*")
+    met, agreeing = [], M._agreeing
+    monkeypatch.setattr(M, "_agreeing", lambda m, c, p: met.append(m.count()) or agreeing(m, c, p))
+    for match in (M.weighted_match, M.dynamic_match):
+        got = match(mentioned, catalog, 2, 0.1).collect()
+        assert sorted((r["id"], r["rank"], r["document_id"]) for r in got) == [(i, r, f"D{r - 1}") for i in range(40) for r in (1, 2)]
+    assert met and max(met) == 1
+    twice = mentioned.select("id", "mention").union(spark.createDataFrame([(3, "Nghị định 9/2020"), (50, "Luật 1"), (51, None)], "id int, mention string"))
+    plan = M.best_match(twice.withColumn("mention", F.when(F.col("id") < 40, F.lit("nghị định 1/2020")).otherwise(F.col("mention"))), catalog)
+    assert sorted(map(tuple, plan.collect())) == [(i, "D0", "f0", 1.0) for i in range(40)]
