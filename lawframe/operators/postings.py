@@ -1,8 +1,8 @@
 """A keyword index: grams of GRAM characters with their places, written once, so that searches read no text.
 
-Each text, lower-cased, is cut into overlapping grams (shorter ones at its end), and the index holds (gram, id, places),
-dealt to buckets by a hash of the gram and within these by the id, so that the rows of a gram that all texts hold lie in
-many files. A keyword is found where grams that cover it lie at the right distances: the same rows as a search for the
+Each text, lower-cased, is cut into overlapping grams (shorter ones at its end), and the index holds (bucket, gram, id,
+places). Texts are dealt by id and alone shuffled; each task writes the grams of its texts in order of bucket and gram, so
+that row groups of other buckets are left out and the rows of a gram that all texts hold lie in many files. A keyword is found where grams that cover it lie at the right distances: the same rows as a search for the
 substring, whatever the case. Only the buckets of the keywords' grams are read.
 """
 
@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from lawframe.scratch import small, stored
 
-GRAM, BUCKETS, SPREAD = 3, 64, 8
+GRAM, BUCKETS = 3, 64
+#: Bytes of a row group, the least that a search reads or leaves out.
+ROW_GROUP = 4 << 20
 
 
 def grams(text: Column) -> Column:
@@ -33,13 +35,17 @@ def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(F.substr(gram, F.lit(1), F.lit(1))), F.lit(BUCKETS)).cast("int")
 
 
+def _placed(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, gram, places, bucket) of texts, in order within each task; the texts are all that is shuffled."""
+    texts = rows.filter(F.length(text) > 0).select(F.col(key).alias("id"), F.col(text).alias("text")).repartition("id")
+    found = texts.select("id", F.explode(grams(F.col("text"))).alias("g"))
+    places = found.groupBy("id", F.col("g.gram").alias("gram")).agg(F.sort_array(F.collect_list("g.place")).alias("places"))
+    return places.withColumn("bucket", _bucket(F.col("gram"))).sortWithinPartitions("bucket", "gram", "id")
+
+
 def build(rows: DataFrame, path: str, key: str = "record_id", text: str = "content") -> None:
     """Index `rows` (key, text; a row a key) under `path`. Null and empty texts are in no posting."""
-    found = rows.filter(F.length(text) > 0).select(F.col(key).alias("id"), F.explode(grams(F.col(text))).alias("g"))
-    places = found.groupBy("id", F.col("g.gram").alias("gram")).agg(F.sort_array(F.collect_list("g.place")).alias("places"))
-    spread = F.pmod(F.xxhash64("id"), F.lit(SPREAD))
-    placed = places.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", spread).sortWithinPartitions("bucket", "gram", "id")
-    placed.write.partitionBy("bucket").parquet(path)
+    _placed(rows, key, text).write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
 
 
 def search(spark: SparkSession, path: str, keywords: list[str]) -> DataFrame:

@@ -90,3 +90,11 @@ def test_payload_paths(spark):
     assert ids(P.where(rows, {"$.a.b": [1, 2], "$.t[0]": ["x", "z"]})) == [0]
     got = sorted((r["id"], r["pos"], r["name"]) for r in P.entries(rows, "id").collect())
     assert got == [(0, 0, "a"), (0, 1, "t"), (1, 0, "a"), (2, 0, "a"), (6, 0, "a"), (6, 1, "t"), (7, 0, "a"), (7, 1, "s")]
+
+
+def test_an_index_shuffles_texts_alone(spark):
+    rows = spark.createDataFrame([(1, "abab"), (2, None), (3, "ä")], "record_id int, content string")
+    made = postings._placed(rows, "record_id", "content")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+    assert sorted((r["id"], r["gram"], r["places"]) for r in made.collect()) == [(1, "ab", [2]), (1, "aba", [0]), (1, "b", [3]), (1, "bab", [1]), (3, "ä", [0])]
