@@ -30,6 +30,8 @@ from lawframe.scratch import stored
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 1024, 12
 #: Points of a chunk, and queries that a chunk meets at once.
 CHUNK, BLOCK = 16_384, 4096
+#: Vectors whose distances to all centres are held at once.
+SLICE = 1024
 #: Points of which recall is measured.
 TRIED = 200
 #: Scores are rounded to five places; distances that differ by less may tie.
@@ -92,9 +94,12 @@ class VectorIndex:
                 sound = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), width), False))
                 if not sound.num_rows:
                     continue
-                row, cell = choose(_matrix(sound.column("embedding")), sound).nonzero()
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([sound.column("query_id").take(at), sound.column("embedding").take(at), pa.array(cell.astype(np.int32))], schema.names)
+                for begin in range(0, sound.num_rows, SLICE):  # with a row a query and cell, a batch would be many times itself
+                    part = sound.slice(begin, SLICE)
+                    row, cell = choose(_matrix(part.column("embedding")), part).nonzero()
+                    for i in range(0, len(row), CHUNK):
+                        at = pa.array(row[i : i + CHUNK])
+                        yield pa.RecordBatch.from_arrays([part.column("query_id").take(at), part.column("embedding").take(at), pa.array(cell[i : i + CHUNK].astype(np.int32))], schema.names)
 
         return queries.mapInArrow(scan, schema)
 
@@ -233,9 +238,11 @@ def build(points: DataFrame, path: str, metric: str = "cosine", cells: int | Non
         import pyarrow as pa
 
         for batch in batches:
-            away = distances(placed(_matrix(batch.column("embedding")), metric), shared.value)
-            cell = away.argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(away[np.arange(len(cell)), cell])], schema.names)
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                away = distances(placed(_matrix(part.column("embedding")), metric), shared.value)
+                cell = away.argmin(1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(away[np.arange(len(cell)), cell])], schema.names)
 
     dealt = stored(rows.mapInArrow(deal, schema), "dealt")
     sizes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
