@@ -134,3 +134,13 @@ def test_mentions_are_matched_once(spark, monkeypatch):
     twice = mentioned.select("id", "mention").union(spark.createDataFrame([(3, "Nghị định 9/2020"), (50, "Luật 1"), (51, None)], "id int, mention string"))
     plan = M.best_match(twice.withColumn("mention", F.when(F.col("id") < 40, F.lit("nghị định 1/2020")).otherwise(F.col("mention"))), catalog)
     assert sorted(map(tuple, plan.collect())) == [(i, "D0", "f0", 1.0) for i in range(40)]
+
+
+def test_wanted_ids_go_to_the_sections(spark):
+    """Ids that all files have made one task read every file's sections of that id."""
+    rows = [("a", 0, "ch1", "Chương 1", "x"), ("b", 0, "ch1", "Chương 1", "y"), ("b", 1, "ch1_art002", "Điều 2", "z"), ("c", 0, "ch12", "Chương 12", "w")]
+    found = spark.createDataFrame([(*r, "") for r in rows], "file string, ord int, section_id string, header string, title string, content string")
+    wanted = spark.createDataFrame([("ch1",), ("ch1_art002",), ("ch1",), ("none",)], "wanted string")
+    got = S.section_in_files(found, wanted)
+    assert sorted((r["wanted"], r["file"], r["text"]) for r in got.collect()) == [("ch1", "a", "Chương 1\nx\n"), ("ch1_art002", "b", "Điều 2\nz\n")]
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
