@@ -98,3 +98,19 @@ def test_an_index_shuffles_texts_alone(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
     assert sorted((r["id"], r["gram"], r["places"]) for r in made.collect()) == [(1, "ab", [2]), (1, "aba", [0]), (1, "b", [3]), (1, "bab", [1]), (3, "ä", [0])]
+
+
+def test_blocks_and_rare_tokens_change_nothing(spark, sf_dir):
+    """Few tokens broadcast and small blocks give the rows of everything broadcast and one block; documents that share an
+    id count as one, those without an id as none."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("doc_id < 80")
+    docs = docs.unionByName(docs.filter("doc_id = 3").select(F.lit(4).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text")).unionByName(docs.filter("doc_id = 5").selectExpr("cast(null as bigint) as doc_id", "text"))
+    terms = tfidf.packed(docs)
+    idf = tfidf.fitted(terms, tfidf._total(docs))
+    take = lambda df: {(r["doc_id"], r["token"]): (r["tf"], round(r["weight"], 9)) for r in df.collect()}
+    want = take(tfidf._weights(terms, idf))
+    assert take(tfidf._weights(terms, idf, 2000)) == want == take(tfidf._weights(terms, idf, 0)) and all(k[0] is not None for k in want)
+    held = tfidf._vectors(terms, idf)
+    asked = held.filter("doc_id % 5 = 0").withColumnRenamed("doc_id", "query_id")
+    pairs = [{(r["query_id"], r["doc_id"], round(r["similarity"], 9)) for r in tfidf._compared(asked, held, 0.3, 4000, 20000, block).collect()} for block in (1 << 20, 1500)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) >= 16
