@@ -82,3 +82,45 @@ def test_conversations_grow(spark):
     assert sorted(map(tuple, made.collect())) == [
         (1, 2, "a: x\nb: y"), (1, 3, "a: x\nb: y\n: z"), (1, 4, "a: x\nb: y\n: z\na: w"), (2, 1, "a: "), (2, 2, "a: \nb: "),
     ]
+
+
+def test_waiting_calls_take_one_access_and_one_timer():
+    """However many calls wait, a batch reads and writes a key's state once."""
+    import pandas as pd
+
+    class Held:
+        value, accesses = None, 0
+
+        def exists(self):
+            self.accesses += 1
+            return self.value is not None
+
+        def get(self):
+            self.accesses += 1
+            return self.value
+
+        def update(self, value):
+            self.accesses += 1
+            self.value = value
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = Held(), []
+
+        def getValueState(self, name, schema):
+            return self.held
+
+        def registerTimer(self, ms):
+            self.timers.append(ms)
+
+    limiter, handle = T.Admitting(1, 10 * S, fixed=True), Handle()
+    limiter.init(handle)
+    frame = pd.DataFrame({"us": [i * S for i in range(50)], "id": range(50)})
+    made = pd.concat(limiter.handleInputRows((7,), iter([frame]), None))
+    assert made["id"].tolist() == [0] and handle.timers == [10_000] and handle.held.accesses <= 3
+
+    class At:
+        getExpiryTimeInMs = getCurrentWatermarkInMs = staticmethod(lambda: 35_000)
+
+    made = pd.concat(limiter.handleExpiredTimer((7,), At, At))
+    assert made["admitted_us"].tolist() == [10 * S, 20 * S, 30 * S] and handle.timers == [10_000, 40_000]
