@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawframe.functions import text as T
+from lawframe.scratch import stored
 
 
 def section_records(found: DataFrame, appendix_level: int = 5) -> DataFrame:
@@ -15,6 +16,7 @@ def section_records(found: DataFrame, appendix_level: int = 5) -> DataFrame:
     inherit what they lack, a clause its article's title and content, a point its clause's as that came to be. A section
     with others below it is named by its title alone, hashed twice.
     """
+    found = stored(found.select("doc_id", "ord", "parent_ord", "section_id", "marker", "title", "content"), "sections")
     above = found.select(F.col("doc_id").alias("_doc"), F.col("ord").alias("_ord"), F.struct("marker", "title", "content").alias("_up"), F.col("parent_ord").alias("_next"))
     rows = found
     for i, key in ((1, "parent_ord"), (2, "_next1")):

@@ -144,3 +144,12 @@ def test_wanted_ids_go_to_the_sections(spark):
     got = S.section_in_files(found, wanted)
     assert sorted((r["wanted"], r["file"], r["text"]) for r in got.collect()) == [("ch1", "a", "Chương 1\nx\n"), ("ch1_art002", "b", "Điều 2\nz\n")]
     assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
+
+
+def test_lines_are_sorted_once_and_sections_made_once(spark):
+    """Marked lines took three sorts; records made the sections four times."""
+    from lawframe.operators.records import section_records
+
+    marked = S.marked_lines(laws(spark, LAW))._jdf.queryExecution().executedPlan().toString()
+    assert marked.count("Sort [") <= 1
+    assert section_records(S.sections(laws(spark, LAW)))._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 0
