@@ -10,6 +10,10 @@ reaches a target. `search_exact` needs none: by the triangle inequality a cell w
 and the k-th best distance so far can hold nothing nearer, so all other cells are asked in a second step, and the rows are
 those of `knn_join`.
 
+`has_near` only asks whether a query has a near point. Neighbouring cells make a region, and a query goes to that of its
+nearest centre, where most queries with a near point find one; the rest go to the other regions within reach. A task
+holds a region's points and prunes by cell, so a query travels once a region and not once a cell.
+
 Points with a null vector, or one of another length than most of the sample, are in no cell and are never found.
 Equal scores go to the lesser record_id.
 """
@@ -23,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lawframe.operators.search import DUPLICATE_THRESHOLD, _arrow_fields, _matrix, _nearest
-from lawframe.scratch import stored
+from lawframe.operators.search import DUPLICATE_THRESHOLD, TILE, _arrow_fields, _matrix, _nearest, _unit
+from lawframe.scratch import small, stored
 
 #: Points from which centres are fitted, centres at most, and rounds of k-means.
 SAMPLE, MOST_CELLS, ROUNDS = 20_000, 1024, 12
@@ -36,6 +40,8 @@ SLICE = 1024
 TRIED = 200
 #: Scores are rounded to five places; distances that differ by less may tie.
 SLACK = 2e-3
+#: By how much less a score may be and still be rounded up.
+HALF_PLACE = 5e-6
 
 
 def placed(vectors: np.ndarray, metric: str) -> np.ndarray:
@@ -67,6 +73,72 @@ def centres(sample: np.ndarray, cells: int, seed: int = 7) -> np.ndarray:
     return found
 
 
+def reach_of(threshold: float) -> float:
+    """Unit vectors of a rounded cosine of at least `threshold` are so near to each other."""
+    return np.inf if threshold <= 0 else np.sqrt(max(2 - 2 * (threshold - HALF_PLACE), 0)) + 1e-4
+
+
+def _singles(column) -> np.ndarray:
+    """Unit vectors in single precision."""
+    parts = [_unit(_matrix(column.slice(at, SLICE))).astype(np.float32) for at in range(0, len(column), SLICE)]
+    return np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
+
+
+def with_near(some, against, middle: np.ndarray, radius: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of `some` (embedding, own, least: the nearest centre and its distance) have a point in `against` (embedding,
+    cell) that scores at least `threshold`.
+
+    A query meets the points of its own cell first, then those of other cells within reach, in each the points about as
+    far from the centre as itself, and no more once one is found. Scores are of single precision; those that it can't
+    tell from the threshold are made again in double precision and rounded.
+    """
+    asked, met = (x.column("embedding").combine_chunks() for x in (some, against))
+    q, p = _singles(asked), _singles(met)
+    own, least = (some.column(c).to_numpy() for c in ("own", "least"))
+    found, reach = np.zeros(len(q), bool), reach_of(threshold)
+    if not len(q) or not len(p):
+        return found
+    edge, margin = threshold - HALF_PLACE, (q.shape[1] + 8) * 1.2e-7
+
+    def hits(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+        scores = q[rows] @ p[points].T
+        best = scores.max(1)
+        hit = best >= edge + margin
+        for i in np.flatnonzero(~hit & (best >= edge - margin)):
+            close = points[scores[i] >= edge - margin]
+            exact = _unit(_matrix(asked.slice(int(rows[i]), 1))) @ _unit(_matrix(met.take(close))).T
+            hit[i] = (np.round(exact, 5) >= threshold).any()
+        return hit
+
+    of = np.where(np.isfinite(p).all(1), against.column("cell").to_numpy(), -1)
+    held = {}
+    for c in np.unique(of[of >= 0]):
+        points = np.flatnonzero(of == c)
+        away = distances(p[points].astype(float), middle[c : c + 1])[:, 0]
+        order = away.argsort()
+        held[c] = points[order], away[order]
+    for mine in (True, False):
+        for c, (points, away) in held.items():
+            rows = np.flatnonzero(~found & ((own == c) == mine))
+            if not len(rows):
+                continue
+            far = distances(q[rows].astype(float), middle[c : c + 1])[:, 0]
+            if not mine:
+                near = ~(far - radius[c] > reach) & ~(far > least[rows] + 2 * reach)
+                rows, far = rows[near], far[near]
+            order = far.argsort()
+            rows, far = rows[order], far[order]
+            for at in range(0, len(rows), TILE[0]):
+                left, between = rows[at : at + TILE[0]], far[at : at + TILE[0]]
+                begin, end = np.searchsorted(away, between[0] - reach), np.searchsorted(away, between[-1] + reach, "right")
+                size = TILE[0]
+                while begin < end and len(left):
+                    hit = hits(left, points[begin : min(begin + size, end)])
+                    found[left[hit]] = True
+                    left, begin, size = left[~hit], begin + size, min(4 * size, TILE[1])
+    return found
+
+
 @dataclass
 class VectorIndex:
     """A written index. `rows`: cell, chunk, record_id, embedding; `centres[i]` is the centre of cell i."""
@@ -185,7 +257,7 @@ class VectorIndex:
             raise ValueError(f"no bound for {self.metric}")
         sc = self.rows.sparkSession.sparkContext
         held = sc.broadcast((self.centres, self.radius))
-        reach = np.inf if threshold <= 0 else np.sqrt(max(2 - 2 * threshold, 0)) + SLACK
+        reach = reach_of(threshold)
 
         def choose(q, _):
             middle, radius = held.value
@@ -196,6 +268,85 @@ class VectorIndex:
         found = self._scored(self._asked(queries, choose), 1) if self.cells else self.search(queries, 1, 1).drop("rank")
         return self._ranked(found.filter(F.col("similarity_score") >= threshold), 1)
 
+    def regions(self) -> np.ndarray:
+        """The region of each cell: neighbouring cells that together have about CHUNK points."""
+        count = max(int(np.ceil(np.sqrt(self.cells))), -(-int(self.counts.sum()) // CHUNK))
+        return distances(self.centres, centres(self.centres, min(self.cells, count))).argmin(1)
+
+    def _dealt(self, queries: DataFrame, region: np.ndarray, reach: float, first: bool) -> DataFrame:
+        """(query_id, embedding, region, own, least): each query with the region of its nearest centre, or else with all
+        other regions within reach."""
+        schema = StructType([queries.schema["query_id"], queries.schema["embedding"], *StructType.fromDDL("region int, own int, least double").fields])
+        members = np.zeros((self.cells, region.max() + 1), np.float32)
+        members[np.arange(self.cells), region] = self.counts > 0
+        held, width = self.rows.sparkSession.sparkContext.broadcast((self.centres, self.radius, region, members)), self.centres.shape[1]
+
+        def scan(batches):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            middle, radius, region, members = held.value
+            for batch in batches:
+                sound = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), width), False))
+                for begin in range(0, sound.num_rows, SLICE):
+                    part = sound.slice(begin, SLICE)
+                    points = placed(_matrix(part.column("embedding")), "cosine")
+                    away = distances(points, middle)
+                    own, least = away.argmin(1), away.min(1)
+                    if first:
+                        asked = np.zeros((len(own), members.shape[1]), bool)
+                        asked[np.arange(len(own)), region[own]] = True
+                    else:
+                        within = ~(away - radius > reach) & ~(away > least[:, None] + 2 * reach)
+                        asked = within.astype(np.float32) @ members > 0
+                        asked[np.arange(len(own)), region[own]] = False
+                    if reach < np.inf:  # a zero vector is alike to all by 0
+                        asked[~points.any(1)] = False
+                    row, to = asked.nonzero()
+                    for i in range(0, len(row), CHUNK):
+                        at, some = pa.array(row[i : i + CHUNK]), row[i : i + CHUNK]
+                        yield pa.RecordBatch.from_arrays([part.column("query_id").take(at), part.column("embedding").take(at), pa.array(to[i : i + CHUNK].astype(np.int32)), pa.array(own[some].astype(np.int32)), pa.array(least[some])], schema.names)
+
+        return queries.mapInArrow(scan, schema)
+
+    def _met(self, asked: DataFrame, region: np.ndarray, threshold: float) -> DataFrame:
+        """query_id of the rows of `_dealt` with a near point in the region that they ask; a task holds at most about
+        2 * CHUNK points of a region and CHUNK queries."""
+        asked, spark = stored(asked, "asked"), self.rows.sparkSession
+        blocks = {r["region"]: -(-r["count"] // CHUNK) for r in asked.groupBy("region").count().collect()}  # a row a region
+        schema = StructType([asked.schema["query_id"]])
+        if not blocks:
+            return spark.createDataFrame([], schema)
+        points = np.bincount(region, self.counts)
+        sizes = F.broadcast(spark.createDataFrame([(int(r), n, max(1, -(-int(points[r]) // (2 * CHUNK)))) for r, n in blocks.items()], "region int, blocks int, chunks int"))
+        of_cell = F.broadcast(spark.createDataFrame([(i, int(r)) for i, r in enumerate(region)], "cell int, region int"))
+        each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+        one_of = lambda name, *key: F.pmod(F.xxhash64(*key), name).cast("int")
+        left = asked.join(sizes, "region").withColumn("block", one_of("blocks", "query_id", "embedding")).withColumn("chunk", each("chunks"))
+        right = self.rows.drop("chunk").join(of_cell, "cell").join(sizes, "region").withColumn("chunk", one_of("chunks", "record_id", "embedding")).withColumn("block", each("blocks"))
+        keys, held = ("region", "chunk", "block"), spark.sparkContext.broadcast((self.centres, self.radius))
+
+        def meet(some, against):
+            import pyarrow as pa
+
+            return some.select(["query_id"]).filter(pa.array(with_near(some, against, *held.value, threshold)))
+
+        left = left.select(*keys, "query_id", "embedding", "own", "least").groupBy(*keys)
+        return stored(left.cogroup(right.select(*keys, "embedding", "cell").groupBy(*keys)).applyInArrow(meet, schema), "near")
+
+    def has_near(self, queries: DataFrame, threshold: float) -> DataFrame:
+        """query_id of the queries that have a point of at least `threshold` (cosine), nothing missed; one may stand
+        several times. `queries` (query_id, embedding) are read twice."""
+        if self.metric != "cosine":
+            raise ValueError(f"no bound for {self.metric}")
+        queries = queries.select("query_id", "embedding")
+        if not self.cells:
+            return queries.select("query_id").limit(0)
+        region, reach = self.regions(), reach_of(threshold)
+        first = self._met(self._dealt(queries, region, reach, True), region, threshold)
+        left = queries.join(small(first), "query_id", "left_anti")
+        return first.unionByName(self._met(self._dealt(left, region, reach, False), region, threshold))
+
     def probes_for(self, recall: float, k: int = 10) -> int:
         """The least number of probes (doubling, then halving the step) that finds `recall` of the k nearest, measured
         on TRIED points of the index itself against the exact answer."""
@@ -268,5 +419,5 @@ def load(spark: SparkSession, path: str, points: StructType | None = None) -> Ve
 
 def without_near_duplicates(new: DataFrame, index: VectorIndex, threshold: float = DUPLICATE_THRESHOLD) -> DataFrame:
     """As the exact anti join of `search`, against the points of an index; only the cells that can hold one are read."""
-    found = index.near(new.select(F.col("record_id").alias("query_id"), "embedding"), threshold)
-    return new.join(found.select(F.col("query_id").alias("record_id")), "record_id", "left_anti")
+    found = index.has_near(new.select(F.col("record_id").alias("query_id"), "embedding"), threshold)
+    return new.join(small(found.select(F.col("query_id").alias("record_id"))), "record_id", "left_anti")

@@ -11,7 +11,7 @@ from lawframe.operators import vector_index as V
 from lawframe.operators.records import qa_records, refined_question
 from lawframe.operators.vector_index import VectorIndex
 from lawframe.plans.providers import Embedder, embedded, generate
-from lawframe.scratch import stored
+from lawframe.scratch import small, stored
 
 
 def new_points(records: DataFrame, points: DataFrame, embedder: Embedder, text: str = "content", index: VectorIndex | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def upload(records: DataFrame, points: DataFrame, embedder: Embedder, text: str
     Records whose id is stored stay out before anything is embedded. `counts` has total, known, near_duplicate (with
     those that got no vector) and uploaded.
     """
-    fresh = K.delete(records, points, "record_id")
+    fresh = K.delete(records, small(points.select("record_id")), "record_id")
     added = stored(new_points(fresh, points, embedder, text, index), "added")
     return added, K.upload_counts(records, points, added)
 

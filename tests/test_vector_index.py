@@ -113,3 +113,46 @@ def test_near_reads_few_cells(spark, tmp_path):
     n = queries_of(points).count()
     index.near(queries_of(points), 0.999).collect()
     assert asked[0] < n * 25 / 4
+
+
+@pytest.mark.parametrize("threshold", [1.0, 0.999, 0.97, 0.5, 0.0, -0.9])
+def test_has_near_equals_brute_force(spark, tmp_path, threshold, monkeypatch):
+    monkeypatch.setattr(V, "CHUNK", 50)  # regions in several chunks, and queries in several blocks
+    points, x = clustered(spark)
+    stored = points.filter("record_id % 3 = 0")
+    index = V.build(stored, str(tmp_path / "index"), cells=25)
+    moved = [(i, [float(v) for v in x[i - i % 3] * 2 + 0.01 * (i % 5)]) for i in range(0, 1500, 4)]
+    odd = [(2000, [0.0] * 12), (2001, None), (2002, [1.0]), (2003, [float("nan")] * 12), (2004, [float(v) for v in -x[0]])]
+    asked = spark.createDataFrame(moved + odd, "query_id long, embedding array<float>").unionByName(queries_of(points).withColumn("query_id", F.col("query_id") + 3000))
+    sound = asked.filter("size(embedding) = 12 and query_id <> 2003")
+    want = {r["query_id"] for r in knn_join(sound, stored.filter("size(embedding) = 12"), 1).collect() if r["similarity_score"] >= threshold}
+    assert {r["query_id"] for r in index.has_near(asked, threshold).collect()} == want
+
+
+def test_scores_at_the_threshold():
+    """Single precision can't tell these; rounded in double precision they differ. A point that is no number hides none."""
+    import pyarrow as pa
+
+    angles = np.arccos(np.array([0.998995 + 2e-8, 0.998995 - 2e-8, 0.9989]))
+    some = pa.table({"embedding": pa.array([[float(np.cos(a)), float(np.sin(a))] for a in angles]), "own": pa.array([0, 0, 1], pa.int32()), "least": pa.array([0.0, 0.0, 0.0])})
+    against = pa.table({"embedding": pa.array([[float("nan"), 0.0], [0.0, 0.0], [1.0, 0.0]]), "cell": pa.array([0, 0, 0], pa.int32())})
+    assert V.with_near(some, against, np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([1.0, 0.0]), 0.999).tolist() == [True, False, False]
+
+
+def test_near_duplicates_travel_once(spark, tmp_path, monkeypatch):
+    """A row whose own surroundings hold a near point asks nothing else, however many cells lie within reach."""
+    rng = np.random.default_rng(1)
+    x = np.ones(12) + rng.normal(size=(1200, 12)) * 0.1
+    points = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(1200)], "record_id long, embedding array<float>")
+    index = V.build(points, str(tmp_path / "index"), cells=25)
+    asked, stored = [], V.stored
+
+    def counted(df, name):
+        held = stored(df, name)
+        if name == "asked":
+            asked.append(held.count())
+        return held
+
+    monkeypatch.setattr(V, "stored", counted)
+    assert V.without_near_duplicates(points, index, 0.99).count() == 0
+    assert sum(asked) == 1200
