@@ -38,6 +38,8 @@ PASSAGE = 255
 U = np.uint64
 #: Bits of the filter that spares anchors of unknown cores a shuffle; a fixed size, whatever the corpus.
 FILTER_BITS = 27
+#: Bytes of texts whose anchors are sought together, so that arrays stay in the processor's cache.
+AT_ONCE = 1 << 18
 BASE = U(0x9E3779B97F4A7C15)
 INVERSE = U(pow(int(BASE), -1, 2**64))
 BYTES = np.random.default_rng(5).integers(0, 2**64, 256, U)
@@ -67,28 +69,47 @@ class _Powers:
 _powers = _Powers()
 
 
-def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """For each anchor of strings of `length` bytes: its place, the first and last start that it serves, and the hashes of its core and context."""
-    b = np.frombuffer(text, np.uint8)
-    n, size = len(b), length - WINDOW + 1
-    if n < length:
+def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """For each anchor of strings of `length` bytes: the number of its text, its place there, the first and last start
+    that it serves, and the hashes of its core and context; in order of texts and places."""
+    found, at = [_anchors(b"", np.zeros(0, np.int64), length)], 0
+    while at < len(texts):
+        upto, held = at, 0
+        while upto < len(texts) and (upto == at or held + len(texts[upto]) <= AT_ONCE):
+            held += len(texts[upto])
+            upto += 1
+        text, *rest = _anchors(b"".join(texts[at:upto]), np.cumsum([len(t) for t in texts[at:upto]]), length)
+        found.append((text + at, *rest))
+        at = upto
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _anchors(joined: bytes, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """`anchors` of texts that lie one behind the other and end at `ends`."""
+    b = np.frombuffer(joined, np.uint8)
+    begins = np.r_[0, ends][:-1]
+    starts = np.maximum(ends - begins - length + 1, 0)
+    total, size = int(starts.sum()), length - WINDOW + 1
+    if not total:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none
-    gram = b.astype(U)
-    for k in (1, 2, 4):
-        gram = gram[:-k] | gram[k:] << U(8 * k)
-    least = _mix(gram) & U(0xFFFFFFFF00000000) | np.arange(len(gram), dtype=U)
+        return none, none, none, none, none, none
+    start = np.arange(total) + np.repeat(begins - starts.cumsum() + starts, starts)
+    # windows that reach over a text's end are looked at by no start
+    least = _mix(np.ndarray(len(b) - 7, "<u8", joined, strides=(1,)).astype(U))
+    least &= U(0xFFFFFFFF00000000)
+    least |= np.arange(len(least), dtype=U)
     for k in (1, 2, 4, 8, 16, 32):
         least = np.minimum(least[:-k], least[k:])
-    at = (least[: n - length + 1] & U(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[first[1:] - 1, len(at) - 1]
-    place, powers = at[first], _powers.upto(n)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(BYTES[b] * powers.up[:n], dtype=U, out=sums[1:])
+    at = (least[start] & U(0xFFFFFFFF)).astype(np.int64)
+    head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    first, last, place = start[head], start[np.r_[head[1:] - 1, total - 1]], at[head]
+    powers = _powers.upto(len(b))
+    sums = np.zeros(len(b) + 1, U)
+    np.cumsum(BYTES[b] * powers.up[: len(b)], dtype=U, out=sums[1:])
     core = _mix((sums[place + size] - sums[place]) * powers.down[place])
     context = _mix((sums[last + length] - sums[first]) * powers.down[first]) ^ _mix((place - first << 8 | last - first).astype(U))
-    return place, first, last, core.view(np.int64), context.view(np.int64)
+    text = np.searchsorted(ends, first, "right")
+    return text, place - begins[text], first - begins[text], last - begins[text], core.view(np.int64), context.view(np.int64)
 
 
 def repeated_starts(contexts: list[tuple[int, bytes, bytes, int]], shards: int = 4) -> list[np.ndarray]:
@@ -201,13 +222,19 @@ def starts_within(size: int, low: np.ndarray, high: np.ndarray, shorter: int, le
     return open_[span:] - open_[:-span] == span
 
 
-def anchors_within(text: bytes, low: list[int], high: list[int], shorter: int, length: int) -> tuple[np.ndarray, ...]:
+def anchors_within(texts: list[bytes], runs: list[tuple[np.ndarray, np.ndarray]], shorter: int, length: int) -> tuple[np.ndarray, ...]:
     """`anchors` of the runs of starts that may repeat; only the bytes of these strings are looked at."""
-    runs = zip(*_spans(starts_within(len(text), np.array(low, np.int64), np.array(high, np.int64), shorter, length)), strict=True)
-    parts = [(a, anchors(text[a : b + length], length)) for a, b in runs]
-    if not parts:
-        return anchors(b"", length)
-    return *(np.concatenate([p[k] + a for a, p in parts]) for k in range(3)), *(np.concatenate([p[k] for _, p in parts]) for k in (3, 4))
+    pieces = [(k, a, t[a : b + length]) for k, (t, r) in enumerate(zip(texts, runs, strict=True)) for a, b in zip(*_spans(starts_within(len(t), *r, shorter, length)), strict=True)]
+    piece, *places, core, context = anchors([p[2] for p in pieces], length)
+    text, begin = (np.array([p[k] for p in pieces], np.int64)[piece] for k in (0, 1))
+    return text, *(p + begin for p in places), core, context
+
+
+def _runs(column) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Firsts and lasts of each row of an Arrow column of spans."""
+    offsets = column.offsets.to_numpy()
+    first, last = (x.to_numpy() for x in column.flatten().flatten())
+    return [(first[a:b], last[a:b]) for a, b in zip((offsets[:-1] - offsets[0]).tolist(), (offsets[1:] - offsets[0]).tolist(), strict=True)]
 
 
 def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800, length: int = LENGTH, within: DataFrame | None = None, shorter: int = PASSAGE) -> DataFrame:
@@ -222,29 +249,23 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800,
     texts, limited = ["key", "mark", "text"], within is not None
     if limited:
         touched = keyed.join(small(within.select("key", "mark")), ["key", "mark"], "left_semi")
-        runs = within.select("key", "mark", F.col("spans.first").alias("low"), F.col("spans.last").alias("high"))
-        keyed, texts = stored(touched.join(runs, ["key", "mark"]), "touched"), [*texts, "low", "high"]
+        keyed, texts = stored(touched.join(within, ["key", "mark"]), "touched"), [*texts, "spans"]
     counted = schema_of(keyed, ["key", "mark"], "nth int, width int, core long, context long, n long")
 
-    def found_in(batch) -> list[tuple[np.ndarray, ...]]:
-        """For each text its anchors, those that may repeat."""
+    def found_in(batch) -> tuple[np.ndarray, ...]:
+        """The anchors of the batch's texts, those that may repeat."""
         given = batch.column("text").to_pylist()
-        if not limited:
-            return [anchors(t, length) for t in given]
-        return [anchors_within(t, a, b, shorter, length) for t, a, b in zip(given, batch.column("low").to_pylist(), batch.column("high").to_pylist(), strict=True)]
+        return anchors_within(given, _runs(batch.column("spans")), shorter, length) if limited else anchors(given, length)
 
     def count(batches):
         import pyarrow as pa
 
         claim()
         for batch in slices(batches, 4 << 20):
-            found = found_in(batch)
-            sizes = np.array([len(x[0]) for x in found])
-            if not sizes.sum():
+            row, _, first, last, core, context = found_in(batch)
+            if not len(row):
                 continue
-            _, first, last, core, context = (np.concatenate(x) for x in zip(*found, strict=True))
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            nth = np.arange(len(core)) - np.repeat(sizes.cumsum() - sizes, sizes)
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
             # copies within a slice travel as one row
             order = np.lexsort((context, core))
             heads = np.flatnonzero(np.r_[True, (core[order][1:] != core[order][:-1]) | (context[order][1:] != context[order][:-1])])
@@ -276,14 +297,15 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800,
         import pyarrow as pa
 
         for batch in slices(batches):
-            made = []
-            for text, found, asked in zip(batch.column("text").to_pylist(), found_in(batch), batch.column("wanted").to_pylist(), strict=True):
-                place, first, last = (x.tolist() for x in found[:3])
-                for x in asked:
-                    a, lo, hi = place[x["nth"]], first[x["nth"]], last[x["nth"]]
-                    made.append((x["core"], x["context"], x["n"], text[lo:a], text[a + length - WINDOW + 1 : hi + length]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else [()] * 5, kinds, strict=True)], cut.names)
+            row, place, first, last, _, _ = found_in(batch)
+            nth, core, context, n = batch.column("wanted").flatten().flatten()
+            asked = np.repeat(np.arange(batch.num_rows), np.diff(batch.column("wanted").offsets.to_numpy()))
+            at = np.searchsorted(row, asked) + nth.to_numpy()
+            texts_ = batch.column("text").to_pylist()
+            ends = list(zip(asked.tolist(), place[at].tolist(), first[at].tolist(), last[at].tolist(), strict=True))
+            before = pa.array([texts_[k][lo:a] for k, a, lo, _ in ends], pa.binary())
+            behind = pa.array([texts_[k][a + length - WINDOW + 1 : hi + length] for k, a, _, hi in ends], pa.binary())
+            yield pa.RecordBatch.from_arrays([core, context, n, before, behind], cut.names)
 
     contexts = stored(having.join(wanted, ["key", "mark"]).select(*texts, "wanted").mapInArrow(extract, cut), "contexts")
     _free(spark)
@@ -320,14 +342,10 @@ def repeated_spans(docs: DataFrame, most: int = 20_000, bucket_rows: int = 800,
 
         known = shared.value
         for batch in slices(batches):
-            found = found_in(batch)
-            sizes = np.array([len(x[0]) for x in found])
-            if not sizes.sum():
-                continue
-            _, first, _, core, context = (np.concatenate(x) for x in zip(*found, strict=True))
+            row, _, first, _, core, context = found_in(batch)
             bit = core.view(U) >> U(64 - FILTER_BITS)
             maybe = np.flatnonzero(known[bit >> U(6)] >> (bit & U(63)) & U(1))
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes)[maybe])
+            at = pa.array(row[maybe])
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("mark").take(at), pa.array(first[maybe].astype(np.int32)), pa.array(core[maybe]), pa.array(context[maybe])], member.names)
 
     placed = keyed.select(*texts).mapInArrow(members, member).join(repeats, ["core", "context"])
@@ -373,10 +391,8 @@ def remove_repeats(docs: DataFrame, *carried: str, whole_characters: bool = Fals
     cutting = rows.join(touched, ["_key", "_mark"], "left_semi").join(spans.withColumnsRenamed({"key": "_key", "mark": "_mark", "spans": "_spans", "wide": "_wide"}), ["_key", "_mark"])
     schema = schema_of(rows, ["doc_id", *extra], "text binary, n_bytes long, n_removed long, n_spans long, n_repeated long")
 
-    def covered(size: int, runs: list[dict], of: int) -> np.ndarray:
-        edge = np.zeros(size + 1, np.int32)
-        np.add.at(edge, [r["first"] for r in runs], 1)
-        np.add.at(edge, [r["last"] + of for r in runs], -1)
+    def covered(size: int, run: tuple[np.ndarray, np.ndarray], of: int) -> np.ndarray:
+        edge = np.bincount(run[0], minlength=size + 1) - np.bincount(run[1] + of, minlength=size + 1)
         return edge[:-1].cumsum() > 0
 
     def cut(batches):
@@ -384,8 +400,9 @@ def remove_repeats(docs: DataFrame, *carried: str, whole_characters: bool = Fals
 
         for batch in slices(batches):
             made = []
-            for raw, runs, wide in zip(*(batch.column(c).to_pylist() for c in ("_text", "_spans", "_wide")), strict=True):
-                gone = covered(len(raw), runs, length)
+            wider = _runs(batch.column("_wide")) if passages else [None] * batch.num_rows
+            for raw, run, wide in zip(batch.column("_text").to_pylist(), _runs(batch.column("_spans")), wider, strict=True):
+                gone = covered(len(raw), run, length)
                 left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 if whole_characters:
                     left = left.decode("utf-8", "ignore").encode()
@@ -398,5 +415,6 @@ def remove_repeats(docs: DataFrame, *carried: str, whole_characters: bool = Fals
 
 
 def op3_suffix(spark, sf_dir: str) -> DataFrame:
-    """Per document what repeated strings of LENGTH bytes take away."""
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+    """Per document what repeated strings of LENGTH bytes take away, and the bytes that stand in repeated passages of PASSAGE bytes."""
+    made = remove_repeats(table(spark, sf_dir, "documents"), passages=PASSAGE)
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"), "n_repeated")

@@ -146,6 +146,30 @@ def test_repeats_of_other_lengths(spark, odd, length, passages):
     assert sorted((r["doc_id"] or 0, r["n_repeated"]) for r in rows) == covered
 
 
+def test_repeats_query_shows_shorter_passages(spark, tmp_path):
+    """Passages of over 50 words that have under 400 bytes: the contract keeps them, n_repeated tells of them."""
+    passage = " ".join(w[:6] for w in H.prose(6, 400).split()[:51])
+    assert 255 <= len(passage.encode()) < 400
+    texts = [H.prose(20 + i, 60) + (f"\n{passage}\n" if i % 2 else "\n") + H.prose(40 + i, 60) for i in range(8)] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = suffix.op3_suffix(spark, str(tmp_path)).collect()
+    docs = [(i, (t or "").encode()) for i, t in enumerate(texts)]
+    want = [(d, n, removed, spans, hashlib.sha256(left).hexdigest()) for d, n, removed, spans, left in H.removed_by_brute_force(docs)]
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want) and not any(r["n_removed"] for r in rows)
+    covered = {d: removed for d, _, removed, _, _ in H.removed_by_brute_force(docs, suffix.PASSAGE)}
+    assert {r["doc_id"]: r["n_repeated"] for r in rows} == covered and {d for d, n in covered.items() if n} == {1, 3, 5, 7}
+
+
+def test_anchors_of_many_texts(monkeypatch):
+    texts = [H.prose(k, 30 * k).encode() for k in range(1, 12)] + [b"", b"ab" * 300, b"x"]
+    each = [suffix.anchors([t], 255) for t in texts]
+    for most in (1, 3000, 1 << 18):
+        monkeypatch.setattr(suffix, "AT_ONCE", most)
+        text, *rest = suffix.anchors(texts, 255)
+        assert text.tolist() == [k for k, x in enumerate(each) for _ in x[0]]
+        assert all(np.array_equal(a, np.concatenate(b)) for a, b in zip(rest, list(zip(*each))[1:], strict=True))
+
+
 def test_merge_orders_suffixes():
     rng = np.random.default_rng(1)
     strings = [rng.integers(1, 4, rng.integers(5, 30)).astype(np.uint16) for _ in range(40)]
