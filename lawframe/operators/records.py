@@ -2,34 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawframe.functions import text as T
+from lawframe.operators.structure import with_ancestors
 from lawframe.scratch import stored
 
 
-def section_records(found: DataFrame, appendix_level: int = 5) -> DataFrame:
+def section_records(found: DataFrame, appendix_level: int = 5, by: tuple = ("doc_id",)) -> DataFrame:
     """One record a section.
 
     Chapters and articles without a title have their content as one, and keep their own content. Clauses and points
     inherit what they lack, a clause its article's title and content, a point its clause's as that came to be. A section
-    with others below it is named by its title alone, hashed twice.
+    with others below it is named by its title alone, hashed twice. `by` names a document; its sections meet in windows.
     """
-    found = stored(found.select("doc_id", "ord", "parent_ord", "section_id", "marker", "title", "content"), "sections")
-    above = found.select(F.col("doc_id").alias("_doc"), F.col("ord").alias("_ord"), F.struct("marker", "title", "content").alias("_up"), F.col("parent_ord").alias("_next"))
-    rows = found
-    for i, key in ((1, "parent_ord"), (2, "_next1")):
-        rows = rows.join(above.withColumnsRenamed({"_up": f"_up{i}", "_next": f"_next{i}"}), (F.col("doc_id") == F.col("_doc")) & (F.col(key) == F.col("_ord")), "left").drop("_doc", "_ord")
-    below = found.filter("parent_ord is not null").select(F.col("doc_id").alias("_doc"), F.col("parent_ord").alias("_ord")).distinct().withColumn("_has", F.lit(True))
-    rows = rows.join(below, (F.col("doc_id") == F.col("_doc")) & (F.col("ord") == F.col("_ord")), "left")
+    rows = with_ancestors(found, "_up", "marker", "title", "content", by=by)
+    rows = rows.withColumns({f"_up{i}": F.try_element_at("_up", F.lit(-i)) for i in (1, 2)})
+    # what hangs below a section stands right behind it
+    rows = rows.withColumn("_has", F.coalesce(F.lead("parent_ord").over(Window.partitionBy(*by).orderBy("ord")) == F.col("ord"), F.lit(False)))
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     inherits = lambda c: F.col(c).isin("clause", "point")
     higher = lambda c: F.when(inherits("_up1.marker"), blank(f"_up2.{c}"))
     named = F.coalesce(blank("_up1.title"), higher("title"), F.when(inherits("_up1.marker"), blank("_up2.content")).otherwise(blank("_up1.content")))
     title = F.coalesce(blank("title"), F.when(inherits("marker") & F.col("_up1").isNotNull(), named).otherwise(blank("content")), F.lit(""))
     content = F.coalesce(blank("content"), F.when(inherits("marker"), F.coalesce(blank("_up1.content"), higher("content"))), F.lit(""))
-    filled = rows.withColumn("_t", title).withColumn("content", content).withColumn("title", F.col("_t"))
+    filled = stored(rows.select("doc_id", "section_id", "marker", "_has", title.alias("title"), content.alias("content")), "records")
     return filled.select(
         T.unique_id(F.col("title"), F.when(F.col("_has") & ~inherits("marker"), F.col("title")).otherwise(F.col("content")), "DOC").alias("record_id"),
         F.col("doc_id").alias("document_id"), "title", "content", F.col("section_id").alias("chunk_id"),

@@ -22,3 +22,41 @@ def test_mentions_without_a_year_are_matched(spark, tmp_path):
     parts = spark.createDataFrame([(101, ""), (102, "blush thistle"), (103, "almond")], "p_partkey long, p_name string")
     got, want = both(spark, "M4_weighted_match", tmp_path, documents=docs, part=parts)
     assert got == want == [(11, "D101", 0.86603, 1)]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_sections_are_shuffled_once(spark, sf_dir, monkeypatch):
+    """Records joined the sections three times and compact texts were written and joined level by level."""
+    from lawframe.operators import records
+    from lawframe.operators import structure as S
+    from lawframe.plans import ingest
+    from lawframe.plans.structure_queries import _law
+
+    made, kept = [], records.stored
+    monkeypatch.setattr(records, "stored", lambda df, name: made.append(shuffles(df)) or kept(df, name))
+    records.section_records(S.sections(_law(spark, sf_dir)))
+    assert made == [1]
+    assert shuffles(S.reconstructed(S.sections(_law(spark, sf_dir)), full=True, compact=True)) == 1
+    assert shuffles(ingest.simplified(S.sections(_law(spark, sf_dir)), embed=lambda c: F.array(F.length(c).cast("double")))) == 1
+
+
+def test_pieces_of_blank_sections(spark):
+    """Compact texts, of sections that may be blank, as stripping level by level makes them."""
+    from lawframe.operators import structure as S
+
+    rows = [(0, None, 1, "D_ch1", " ", "c"), (1, 0, 2, "D_ch1_art1", "", ""), (2, 1, 3, "D_ch1_art1_cl_1", "", "  x "), (3, 1, 3, "D_ch1_art1_cl_2", "", ""), (4, 0, 2, "D_ch1_art2", "t", "u "), (5, 4, 3, "D_ch1_art2_cl_1", "", " "), (6, None, 1, "D_ch2", "", ""), (7, None, 1, "D_ch3", "e", "")]
+    found = spark.createDataFrame([("D", *r, "h") for r in rows], "doc_id string, ord int, parent_ord int, level int, section_id string, title string, content string, header string")
+
+    def text(at):
+        _, _, _, key, title, content = rows[at]
+        pad = "    " * (len(key.split("_")) - 2 - key.count("cl_"))
+        return ("".join(f"{pad}{x}\n" for x in (title, content) if x) + "".join(text(r[0]) for r in rows if r[1] == at)).strip()
+
+    tops = [text(r[0]) for r in rows if r[1] is None]
+    assert S.reconstructed(found, compact=True).first()["text"] == "\n".join(tops).strip()
+    pieces = {r["ord"]: r["piece"] for r in S.compact_pieces(found).collect()}
+    below = lambda at: [at, *(x for r in rows if r[1] == at for x in below(r[0]))]
+    assert all("".join(pieces[i] for i in below(r[0])) == text(r[0]) for r in rows)
