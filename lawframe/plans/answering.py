@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lawframe.functions import text as T
 from lawframe.functions.text import backfilled_source, citation_suffix, matches_any
-from lawframe.functions.vectors import cosine
 from lawframe.operators import postings
 from lawframe.operators import search as S
 from lawframe.operators.store import cached_answers
@@ -57,21 +56,22 @@ def keyword_index(points: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def retrieve_by_keywords(queries: DataFrame, points: DataFrame, index: DataFrame, qa_k: int = 3, doc_k: int = 6, **search) -> DataFrame:
+def retrieve_by_keywords(queries: DataFrame, points: DataFrame, index: DataFrame | None = None, qa_k: int = 3, doc_k: int = 6, **search) -> DataFrame:
     """As `retrieve` for queries (query_id, embedding, keywords), with `by_keywords`: among the points that hold one of a
     query's own keywords, without thresholds; where none does, or it has no keywords, by `retrieve`.
 
-    Keywords meet points in the index, so no text is read; scores are made for the pairs that meet alone, and tasks
-    forward the best of their own.
+    A batch of queries looks for all its keywords in one pass over the points' texts. With an index its postings tell
+    which points hold them, and no text is read. Pairs of queries and points are scored where the points lie.
     """
     queries = stored(queries.select("query_id", "embedding", "keywords"), "asked")
-    words = queries.select("query_id", F.explode(F.array_distinct("keywords")).alias("keyword"))
-    met = words.join(postings.search_all(index, words), "keyword").select("query_id", "id.collection", "id.record_id").distinct()
-    vectors = points.select("collection", "record_id", F.col("embedding").alias("_v"))
-    scored = met.join(vectors, ["collection", "record_id"]).join(queries.select("query_id", "embedding"), "query_id").select("query_id", "collection", "record_id", F.round(cosine("embedding", "_v"), 5).alias("similarity_score"))
+    if index is None:
+        found = S.knn_holding(queries, points, max(qa_k, doc_k))
+    else:
+        words = queries.select("query_id", F.explode(F.array_distinct("keywords")).alias("keyword"))
+        held = postings.search_all(index, words).groupBy("id.collection", "id.record_id").agg(F.collect_set("keyword").alias("_held"))
+        found = S.knn_holding(queries, points.select("collection", "record_id", "embedding").join(held, ["collection", "record_id"]), max(qa_k, doc_k), "_held")
     of_qa = F.lower("collection").contains("qa")
-    order = Window.partitionBy("query_id", "collection").orderBy(F.desc_nulls_last("similarity_score"), "record_id")
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(qa_k, doc_k)).filter(F.col("rank") <= F.when(of_qa, qa_k).otherwise(doc_k))
+    best = found.filter(F.col("rank") <= F.when(of_qa, qa_k).otherwise(doc_k))
     best = stored(best.withColumn("branch", F.when(of_qa, 0).otherwise(1)), "by_keywords")
     rest = queries.join(best.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "embedding")
     plain = retrieve(rest, points, qa_k, doc_k, **search).withColumn("by_keywords", F.lit(False))
@@ -90,7 +90,7 @@ def answer(queries: DataFrame, points: DataFrame, cache: DataFrame | None = None
         asked = probed.filter("not hit").drop("response_text", "hit", "cache_key")
     if keyword_gen:
         named = with_keywords(asked.select("query_id", "query_text", "embedding"), keyword_gen)
-        hits = retrieve_by_keywords(named, points, keyword_index(points), **search)
+        hits = retrieve_by_keywords(named, points, **search)
     else:
         hits = retrieve(asked.select("query_id", "embedding"), points, **search)
     hits = hits.withColumn("rank", F.col("branch") * 1000 + F.col("rank")).withColumn("source", backfilled_source(F.col("source"), F.col("chunk_id")))

@@ -69,3 +69,23 @@ def test_likeness_parts_clauses(spark, tmp_path):
     assert [sum(f"{d}_ch1_art002" in r for r in got) for d in (1, 2)] == [1, 2]
 
 
+
+
+def test_keywords_do_not_shuffle_pairs(spark, sf_dir):
+    """Each pair of a query and a point that holds its keyword was shuffled, and so was every place of the keyword's grams."""
+    from lawframe.operators import search as S
+    from lawframe.plans import answering
+
+    points = spark.createDataFrame([("qa" if i % 3 == 0 else "doc", i, [float(i % 7), 1.0] if i % 11 else [0.0, 0.0], f"The land {i % 5}") for i in range(300)], "collection string, record_id int, embedding array<float>, content string")
+    asked = spark.createDataFrame([(i, [1.0, float(i % 4)], ["THE", f"d {i % 6}"][i % 2 :]) for i in range(40)] + [(50, None, ["land"]), (51, [1.0, 0.0], None)], "query_id int, embedding array<float>, keywords array<string>")
+    found = S.knn_holding(asked, points, 4)
+    assert shuffles(found) == 1 and found._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+    take = lambda df: sorted((r["query_id"], r["collection"], r["record_id"], r["similarity_score"], r["rank"], r["by_keywords"]) for r in df.collect())
+    one, indexed = (take(answering.retrieve_by_keywords(asked, points, index, qa=0.2, doc=0.2)) for index in (None, answering.keyword_index(points)))
+    assert one == indexed and {r[0] for r in one if r[-1]} == {i for i in range(40) if i % 2 == 0 or i % 6 < 5} | {50}
+    nulls = S.knn_holding(asked, points.withColumn("embedding", F.when(F.col("record_id") % 11 > 0, F.col("embedding"))), 4)
+    assert sorted(map(tuple, nulls.collect()), key=str) == sorted(map(tuple, found.collect()), key=str)
+    small = [tuple(r) for r in S.knn_holding(asked, points, 4, block=7).collect()]
+    assert sorted(small, key=str) == sorted(map(tuple, found.collect()), key=str)
+    first = [(r["record_id"], r["similarity_score"]) for r in found.filter("query_id = 50 and collection = 'qa'").orderBy("rank").collect()]
+    assert first == [(0, None), (3, None), (6, None), (9, None)]
