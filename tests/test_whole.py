@@ -89,3 +89,21 @@ def test_keywords_do_not_shuffle_pairs(spark, sf_dir):
     assert sorted(small, key=str) == sorted(map(tuple, found.collect()), key=str)
     first = [(r["record_id"], r["similarity_score"]) for r in found.filter("query_id = 50 and collection = 'qa'").orderBy("rank").collect()]
     assert first == [(0, None), (3, None), (6, None), (9, None)]
+
+
+def test_postings_are_packed(spark):
+    """A row a gram and chunk of texts; it was a row a gram and text."""
+    import pyarrow as pa
+
+    from lawframe.operators import postings
+
+    texts = ["abab", "x", "b🎉ab", "abc" * 40, "bab"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "record_id long, content string")
+    schema = postings._arrow_schema(postings._packed(rows, "record_id", "content").drop("bucket").schema)
+    batches = [pa.RecordBatch.from_pydict({"id": list(range(a, b)), "text": texts[a:b]}) for a, b in ((0, 2), (2, 5))]
+    want = {(i, t[p : p + 3], p) for i, t in enumerate(texts) for p in range(len(t))}
+    for chunk, most in ((1 << 20, 1), (5, 3), (1, 5)):
+        made = [(r["gram"], x["id"], p) for b in postings._pack(schema, chunk)(iter(batches)) for r in b.to_pylist() for x in r["texts"] for p in x["places"]]
+        assert {(i, g, p) for g, i, p in made} == want and len(made) == len(want)
+        grams = [r["gram"] for b in postings._pack(schema, chunk)(iter(batches)) for r in b.to_pylist()]
+        assert max(map(grams.count, grams)) <= most
