@@ -107,3 +107,16 @@ def test_postings_are_packed(spark):
         assert {(i, g, p) for g, i, p in made} == want and len(made) == len(want)
         grams = [r["gram"] for b in postings._pack(schema, chunk)(iter(batches)) for r in b.to_pylist()]
         assert max(map(grams.count, grams)) <= most
+
+
+def test_similar_texts_stay_where_they_lie(spark, sf_dir):
+    """All vectors were shuffled, then copied to each block of queries; any number of blocks gives the same rows."""
+    from lawframe.operators import tfidf
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("doc_id < 120")
+    queries = docs.filter("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    one, many = (tfidf.similar_above(queries, docs, 0.3, block=block) for block in (tfidf.BLOCK, 900))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert shuffles(one) == shuffles(many) == 0 and plan.count("MapInArrow") > 2 and "CoGroup" not in plan
+    take = lambda df: sorted((r["query_id"], r["doc_id"], round(r["similarity"], 9)) for r in df.collect())
+    assert take(one) == take(many) and len(take(one)) >= queries.count()
