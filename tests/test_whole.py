@@ -60,6 +60,8 @@ def test_pieces_of_blank_sections(spark):
     pieces = {r["ord"]: r["piece"] for r in S.compact_pieces(found).collect()}
     below = lambda at: [at, *(x for r in rows if r[1] == at for x in below(r[0]))]
     assert all("".join(pieces[i] for i in below(r[0])) == text(r[0]) for r in rows)
+
+
 def test_likeness_parts_clauses(spark, tmp_path):
     """All clauses had one vector, so that only the number of words made parts."""
     text = lambda last: "\n".join(["t", "w " * 80, "x " * 20, "", "", f"{last} " * 20, "z"])
@@ -69,8 +71,6 @@ def test_likeness_parts_clauses(spark, tmp_path):
     assert [sum(f"{d}_ch1_art002" in r for r in got) for d in (1, 2)] == [1, 2]
 
 
-
-
 def test_keywords_do_not_shuffle_pairs(spark, sf_dir):
     """Each pair of a query and a point that holds its keyword was shuffled, and so was every place of the keyword's grams."""
     from lawframe.operators import search as S
